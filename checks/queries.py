@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import views as V
-from molaris.functions.numeric import percent, percent_scaled, round_half_even
+from molaris.functions.numeric import percent, scaled_percent, with_rounded
 from molaris.functions.rules import amount, met
 from molaris.functions.text import blank_to_null, drop_number_prefix
 from molaris.operators import areas, clean, export, findings as fnd, people, scope
@@ -106,7 +106,7 @@ def n1_headers(spark, sf):
 @query
 def n2_null_tokens(spark, sf):
     df = V.text_records(spark, sf)
-    return counted(df.select(blank_to_null(F.col("` PTEETH`")).alias("value")), "value")
+    return counted(df.selectExpr(f"{blank_to_null('` PTEETH`')} AS value"), "value")
 
 
 @query
@@ -151,8 +151,8 @@ def n6_filename_rules(spark, sf):
 @query
 def n7_prefix_strip(spark, sf):
     df = V.raw_facilities(spark, sf)
-    return counted(df.select(drop_number_prefix(F.col("AMPNAME")).alias("amp"),
-                             drop_number_prefix(F.col("pvname")).alias("pv")), "amp", "pv")
+    return counted(df.selectExpr(f"{drop_number_prefix('AMPNAME')} AS amp",
+                                 f"{drop_number_prefix('pvname')} AS pv"), "amp", "pv")
 
 
 @query
@@ -226,7 +226,7 @@ register("d9_band", derived("age", "band"))
 def d4_gum_normal(spark, sf):
     from molaris.functions.gum import normal_gum
     df = clean.tidy_headers(V.text_records(spark, sf))
-    return counted(df.select(F.coalesce(normal_gum(F.col("gum")), F.lit("")).alias("gum")), "gum")
+    return counted(df.selectExpr(f"coalesce({normal_gum('gum')}, '') AS gum"), "gum")
 
 
 def person(*columns):
@@ -248,13 +248,12 @@ def d13_date_text(spark, sf):
 
 @query
 def d14_percent(spark, sf):
-    n, d = F.col("l_partkey") % 1000, F.col("l_orderkey") % 1000
-    price = F.col("l_extendedprice") / (F.col("l_quantity") * 8)
-    return V.table(spark, sf, "lineitem").groupBy(
-        n.alias("n"), d.alias("d"), percent(n, d).alias("pct"), percent_scaled(n, d).alias("pct_scaled"),
-        round_half_even(price).alias("price"), round_half_even(-price, 1).alias("minus"),
-        round_half_even(n / F.lit(8.0), 0).alias("eighths"),
-    ).agg(F.count(F.lit(1)).alias("rows"))
+    ratios = V.table(spark, sf, "lineitem").selectExpr(
+        "l_partkey % 1000 AS n", "l_orderkey % 1000 AS d", "l_extendedprice / (l_quantity * 8) AS p")
+    shown = with_rounded(ratios.selectExpr("*", f"{percent('n', 'd')} AS x"), {
+        "pct": ("x", 2), "price": ("p", 2), "minus": ("-p", 1), "eighths": ("n / 8D", 0)})
+    return shown.selectExpr("*", f"{scaled_percent('x')} AS pct_scaled").groupBy(
+        "n", "d", "pct", "pct_scaled", "price", "minus", "eighths").agg(F.expr("count(1) AS rows"))
 
 
 # Filters -----------------------------------------------------------------------------------
@@ -271,8 +270,9 @@ RULES = {
 @query
 def f1_rules(spark, sf):
     df = V.records(spark, sf)
-    return df.agg(*[F.count_if(met(rule)).alias(name) for name, rule in RULES.items()],
-                  F.sum(amount("pcaries + dcaries")).alias("value"), F.sum(amount("sex")).alias("text_value"))
+    return df.agg(*[F.expr(f"count_if({met(rule)}) AS {name}") for name, rule in RULES.items()],
+                  F.expr(f"sum({amount('pcaries + dcaries')}) AS value"),
+                  F.expr(f"sum({amount('sex')}) AS text_value"))
 
 
 @query
@@ -289,7 +289,7 @@ def f3_area(spark, sf):
 @query
 def f4_quality(spark, sf):
     df = scope.scope(V.prepared(spark, sf, PRESCHOOL), PRESCHOOL)
-    return counted(df.select("band", scope.qualified(PRESCHOOL).alias("q")), "band", "q")
+    return counted(df.selectExpr("band", f"{scope.qualified(PRESCHOOL)} AS q"), "band", "q")
 
 
 DENOMINATORS = Profile(
@@ -320,7 +320,7 @@ def f7_failed(spark, sf):
 @query
 def f8_reasons(spark, sf):
     df = scope.failed(V.prepared(spark, sf, PRESCHOOL), PRESCHOOL)
-    return counted(df.select("band", scope.fail_reason(PRESCHOOL).alias("reason")), "band", "reason")
+    return counted(df.selectExpr("band", f"{scope.fail_reason(PRESCHOOL)} AS reason"), "band", "reason")
 
 
 # Aggregations ------------------------------------------------------------------------------

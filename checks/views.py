@@ -6,7 +6,7 @@ One ``lineitem`` row is one record, so the records need no join; ``supplier``, `
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from molaris.operators.derive import prepare
 from molaris.operators.lookup import attach_area, conform_facilities
@@ -19,60 +19,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _code(key: Column, width: int) -> Column:
-    text = key.cast("string")
-    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+def _code(key: str) -> str:
+    return f"lpad(CAST({key} AS STRING), greatest(5, length(CAST({key} AS STRING))), '0')"
+
+
+DAYS = "((l_orderkey * 7 + l_partkey * 13 + l_linenumber * 31) % 4900 - 200)"
+RECORD = {
+    "hoscode": f"IF(l_partkey % 211 <> 7, {_code('l_suppkey')}, NULL)",
+    "hosname": f"IF(l_orderkey % 2 = 1, concat('Unit ', {_code('l_suppkey')}), NULL)",
+    "pid": "CAST(l_orderkey AS STRING)",
+    "cid": "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)",
+    "name": "concat('N', l_partkey)",
+    "lname": "concat('L', l_orderkey % 1000)",
+    "sex": "IF(l_partkey % 89 = 0, NULL, CASE l_linenumber % 3 WHEN 0 THEN '9' WHEN 1 THEN '1' ELSE '2' END)",
+    "addr": "concat_ws('/', l_suppkey, l_linenumber)",
+    "check_typearea": "IF(l_orderkey % 3 = 0, '1', '3')",
+    "birth": f"IF(l_partkey % 193 <> 3, CAST(date_sub(CAST(l_shipdate AS DATE), CAST({DAYS} AS INT)) "
+             "AS TIMESTAMP_NTZ), NULL)",
+    "date_serv": "IF(l_returnflag = 'N' AND l_linestatus = 'F', NULL, CAST(l_shipdate AS TIMESTAMP_NTZ))",
+    "d_update": "CAST(l_shipdate AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, 0, l_orderkey % 86400)",
+    "denttype": f"IF({DAYS} < 2190, '2', '3')",
+    "providertype": "IF(l_partkey % 61 = 0, NULL, "
+                    "CASE l_returnflag WHEN 'A' THEN '02' WHEN 'R' THEN '06' WHEN 'N' THEN '01' END)",
+    "gum": "IF(l_partkey % 97 = 0, NULL, CASE l_orderkey % 7 WHEN 0 THEN '000000' WHEN 1 THEN '111111' "
+           "WHEN 2 THEN '999999' WHEN 3 THEN '010000' WHEN 4 THEN '30219' WHEN 5 THEN '012399' ELSE '220019' END)",
+}
+NUMBER = {
+    "pteeth": "l_partkey % 29",
+    "pcaries": f"IF(l_partkey % 97 = 0, NULL, IF(l_orderkey % 4700 < {DAYS}, l_partkey % 4, 0))",
+    "pfilling": "l_suppkey % 3",
+    "pextract": "l_partkey % 2",
+    "dteeth": "l_orderkey % 22",
+    "dcaries": f"IF(l_orderkey % 101 = 0, NULL, IF((l_orderkey * 3) % 4700 < {DAYS}, l_partkey % 4, 0))",
+    "dfilling": "l_suppkey % 2",
+    "dextract": "l_orderkey % 3",
+    "need_fluoride": "l_orderkey % 2 + 1",
+    "need_scaling": "IF(l_orderkey % 53 = 0, NULL, l_partkey % 2 + 1)",
+    "need_sealant": "l_orderkey % 3",
+    "need_pfilling": "IF(l_partkey % 7 = 0, NULL, l_partkey % 3)",
+    "need_dfilling": "IF(l_orderkey % 5 = 0, NULL, l_suppkey % 2)",
+    "need_pextract": "IF(l_partkey % 11 = 0, NULL, l_suppkey % 5 - 2)",
+    "need_dextract": "l_linenumber % 4 - 2",
+}
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed exam records, one per lineitem row."""
-    o, p, s, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
-    days = ((o * 7 + p * 13 + n * 31) % 4900 - 200).cast("int")
-    shipped = F.col("l_shipdate").cast("timestamp_ntz")
-    unseen = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F")
-
-    def number(value: Column, null_when: Column | None = None) -> Column:
-        value = value.cast("double")
-        return value if null_when is None else F.when(~null_when, value)
-
-    gum = F.lit(None).cast("string")
-    for i, code in enumerate(["000000", "111111", "999999", "010000", "30219", "012399", "220019"]):
-        gum = F.when((p % 97 != 0) & (o % 7 == i), code).otherwise(gum)
-    provider = F.when(F.col("l_returnflag") == "A", "02").when(
-        F.col("l_returnflag") == "R", "06").when(F.col("l_returnflag") == "N", "01")
-    columns = {
-        "hoscode": F.when(p % 211 != 7, _code(s, 5)),
-        "hosname": F.when(o % 2 == 1, F.concat(F.lit("Unit "), _code(s, 5))),
-        "pid": o.cast("string"),
-        "cid": F.concat_ws("-", o, n, p, s),
-        "name": F.concat(F.lit("N"), p.cast("string")),
-        "lname": F.concat(F.lit("L"), (o % 1000).cast("string")),
-        "sex": F.when(p % 89 != 0, F.when(n % 3 == 1, "1").when(n % 3 == 2, "2").otherwise("9")),
-        "addr": F.concat_ws("/", s, n),
-        "check_typearea": F.when(o % 3 == 0, "1").otherwise("3"),
-        "birth": F.when(p % 193 != 3, F.date_sub(F.to_date(shipped), days).cast("timestamp_ntz")),
-        "date_serv": F.when(~unseen, shipped),
-        "d_update": shipped + F.make_dt_interval(secs=(o % 86400).cast("decimal(18,6)")),
-        "denttype": F.when(days < 2190, "2").otherwise("3"),
-        "providertype": F.when(p % 61 != 0, provider),
-        "pteeth": number(p % 29),
-        "pcaries": number(F.when(o % 4700 < days, p % 4).otherwise(0), p % 97 == 0),
-        "pfilling": number(s % 3),
-        "pextract": number(p % 2),
-        "dteeth": number(o % 22),
-        "dcaries": number(F.when((o * 3) % 4700 < days, p % 4).otherwise(0), o % 101 == 0),
-        "dfilling": number(s % 2),
-        "dextract": number(o % 3),
-        "need_fluoride": number(o % 2 + 1),
-        "need_scaling": number(p % 2 + 1, o % 53 == 0),
-        "need_sealant": number(o % 3),
-        "need_pfilling": number(p % 3, p % 7 == 0),
-        "need_dfilling": number(s % 2, o % 5 == 0),
-        "need_pextract": number(s % 5 - 2, p % 11 == 0),
-        "need_dextract": number(n % 4 - 2),
-        "gum": gum,
-    }
-    return table(spark, sf_dir, "lineitem").select(*[c.alias(k) for k, c in columns.items()])
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        *[f"{x} AS {c}" for c, x in RECORD.items()],
+        *[f"CAST({x} AS DOUBLE) AS {c}" for c, x in NUMBER.items()])
 
 
 def raw_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,26 +77,26 @@ def raw_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     region are fixed lists of 25 and 5 rows.
     """
     supplier, nation, region = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    joined = (
-        supplier.where(F.col("s_suppkey") % 17 != 5)
-        .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
-    )
-    copies = F.when(F.col("s_suppkey") % 10 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    k, nat, reg = F.col("s_suppkey"), F.col("n_nationkey"), F.col("n_regionkey")
-    number = F.lpad(nat.cast("string"), 2, "0")
-    return joined.withColumn("copy", F.explode(copies)).select(
-        F.concat(_code(k, 5), F.when(F.col("copy") == 1, "  ").otherwise("")).alias("HOSCODE "),
-        F.concat(F.col("s_name"), F.when(F.col("copy") == 1, " again").otherwise("")).alias("hosname"),
-        F.concat(F.lit("type "), (k % 4).cast("string")).alias("hostype"),
-        F.lpad(nat.cast("string"), 4, "0").alias("ampcode"),
-        F.concat(number, F.lit("-District "), (nat % 20).cast("string")).alias("AMPNAME"),
-        F.lpad(reg.cast("string"), 2, "0").alias("pvcode"),
-        F.concat(F.lpad(reg.cast("string"), 2, "0"), F.lit("- "), F.col("r_name")).alias("pvname"),
-        F.concat(number, (k % 9).cast("string")).alias("tumcode"),
-        F.concat((k % 9).cast("string"), F.lit("-Sub "), (k % 9).cast("string")).alias("tumbonname"),
-        F.col("s_acctbal").alias("unused"),
-        F.col("copy").alias("_copy"),
+    number, sub = "lpad(CAST(n_nationkey AS STRING), 2, '0')", "(s_suppkey % 9)"
+    region_code = "lpad(CAST(r_regionkey AS STRING), 2, '0')"
+    return (
+        supplier.where("s_suppkey % 17 <> 5")
+        .join(F.broadcast(nation), F.expr("s_nationkey = n_nationkey"))
+        .join(F.broadcast(region), F.expr("n_regionkey = r_regionkey"))
+        .selectExpr("*", "explode(IF(s_suppkey % 10 = 3, array(0, 1), array(0))) AS copy")
+        .selectExpr(
+            f"concat({_code('s_suppkey')}, IF(copy = 1, '  ', '')) AS `HOSCODE `",
+            "concat(s_name, IF(copy = 1, ' again', '')) AS hosname",
+            "concat('type ', s_suppkey % 4) AS hostype",
+            "lpad(CAST(n_nationkey AS STRING), 4, '0') AS ampcode",
+            f"concat({number}, '-District ', n_nationkey % 20) AS AMPNAME",
+            f"{region_code} AS pvcode",
+            f"concat({region_code}, '- ', r_name) AS pvname",
+            f"concat({number}, {sub}) AS tumcode",
+            f"concat({sub}, '-Sub ', {sub}) AS tumbonname",
+            "s_acctbal AS unused",
+            "copy AS _copy",
+        )
     )
 
 
@@ -120,44 +115,27 @@ def prepared(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
 
 def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records as dirty text: odd headers, padding, blanks, mixed date layouts."""
-    typed = records(spark, sf_dir)
-    pid = F.col("pid").cast("bigint")
-    unit = F.substring_index("cid", "-", -1).cast("bigint")
-
-    def dirty(c: Column) -> Column:
-        return (
-            F.when(c.isNull() & (pid % 3 == 0), "<NA>").when(c.isNull() & (pid % 3 == 1), "-")
-            .when(c.isNull(), "").when(pid % 5 == 1, F.concat(F.lit(" "), c, F.lit("\u00a0")))
-            .otherwise(c)
-        )
-
-    def number(name: str) -> Column:
-        c = F.col(name).cast("int").cast("string")
-        odd = (pid + unit) % 29
-        return (
-            F.when(odd == 0, "5d").when(odd == 1, "N/A").when(odd == 2, " N/A")
-            .when(odd == 3, "1e1").when(odd == 4, "NAN").when(odd == 5, "1,000")
-            .otherwise(dirty(c))
-        )
-
-    def time(name: str) -> Column:
-        c = F.col(name)
-        text = (
-            F.when(pid % 5 == 0, F.date_format(c, "yyyyMMdd"))
-            .when(pid % 5 == 2, F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
-            .when(pid % 5 == 3, F.date_format(c, "yyyyMMddHHmmss"))
-            .otherwise(F.date_format(c, "yyyy-MM-dd"))
-        )
-        odd = (pid + unit) % 31
-        return (
-            F.when(odd == 0, "2001-02-30").when(odd == 1, "2545-01-15").when(odd == 2, "15/01/2001")
-            .when(odd == 3, "null").otherwise(dirty(text))
-        )
-
-    numbers = [c for c, t in typed.dtypes if t == "double"]
-    times = [c for c, t in typed.dtypes if t == "timestamp_ntz"]
-    return typed.select(*[
-        (number(c) if c in numbers else time(c) if c in times else dirty(F.col(c)))
-        .alias(f" {c.upper()}" if c in ("hoscode", "pteeth") else c)
-        for c in typed.columns
-    ])
+    odd = "(CAST(pid AS BIGINT) + CAST(substring_index(cid, '-', -1) AS BIGINT))"
+    pid = "CAST(pid AS BIGINT)"
+
+    def dirty(c: str) -> str:
+        return (f"CASE WHEN {c} IS NULL THEN CASE {pid} % 3 WHEN 0 THEN '<NA>' WHEN 1 THEN '-' ELSE '' END "
+                f"WHEN {pid} % 5 = 1 THEN concat(' ', {c}, '\u00a0') ELSE {c} END")
+
+    def number(c: str) -> str:
+        return (f"CASE {odd} % 29 WHEN 0 THEN '5d' WHEN 1 THEN 'N/A' WHEN 2 THEN ' N/A' WHEN 3 THEN '1e1' "
+                f"WHEN 4 THEN 'NAN' WHEN 5 THEN '1,000' ELSE {dirty(f'CAST(CAST({c} AS INT) AS STRING)')} END")
+
+    def time(c: str) -> str:
+        layout = ("CASE {pid} % 5 WHEN 0 THEN 'yyyyMMdd' WHEN 2 THEN 'yyyy-MM-dd HH:mm:ss' "
+                  "WHEN 3 THEN 'yyyyMMddHHmmss' ELSE 'yyyy-MM-dd' END").format(pid=pid)
+        return (f"CASE {odd} % 31 WHEN 0 THEN '2001-02-30' WHEN 1 THEN '2545-01-15' WHEN 2 THEN '15/01/2001' "
+                f"WHEN 3 THEN 'null' ELSE {dirty(f'date_format({c}, {layout})')} END")
+
+    def text(c: str) -> str:
+        if c in NUMBER:
+            return number(c)
+        return time(c) if c in ("birth", "date_serv", "d_update") else dirty(c)
+
+    return records(spark, sf_dir).selectExpr(*[
+        f"{text(c)} AS `{' ' + c.upper() if c in ('hoscode', 'pteeth') else c}`" for c in (*RECORD, *NUMBER)])

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 
-
-def years_between(birth: Column, at: Column) -> Column:
+def years_between(birth: str, at: str) -> str:
     """Completed years; the birthday itself counts. Null if either date is null."""
-    before_birthday = (F.month(at) * 100 + F.dayofmonth(at)) < (
-        F.month(birth) * 100 + F.dayofmonth(birth)
-    )
-    return F.year(at) - F.year(birth) - before_birthday.cast("int")
+    before_birthday = f"month({at}) * 100 + day({at}) < month({birth}) * 100 + day({birth})"
+    return f"year({at}) - year({birth}) - CAST({before_birthday} AS INT)"
 
 
-def months_between(birth: Column, at: Column) -> Column:
+def months_between(birth: str, at: str) -> str:
     """Completed months by calendar day, not by month length."""
-    return (
-        (F.year(at) - F.year(birth)) * 12
-        + (F.month(at) - F.month(birth))
-        - (F.dayofmonth(at) < F.dayofmonth(birth)).cast("int")
-    )
+    return (f"(year({at}) - year({birth})) * 12 + (month({at}) - month({birth})) "
+            f"- CAST(day({at}) < day({birth}) AS INT)")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
+from molaris.functions.sql import labelled
 from molaris.functions.text import strip
 
 # Sextant codes and their names.
@@ -19,34 +18,23 @@ GUM_LENGTH = 6
 GUM_UNREADABLE = "999999"
 
 
-def normal_gum(c: Column) -> Column:
+def normal_gum(c: str) -> str:
     """A six-character code, the unreadable code for other text, null for blank."""
-    text = strip(c)
-    return (
-        F.when(F.length(text) == GUM_LENGTH, text)
-        .when(F.length(text) > 0, F.lit(GUM_UNREADABLE))
-    )
+    return (f"CASE WHEN length({strip(c)}) = {GUM_LENGTH} THEN {strip(c)} "
+            f"WHEN length({strip(c)}) > 0 THEN '{GUM_UNREADABLE}' END")
 
 
-def sextants(gum: Column, code: str) -> Column:
+def sextants(gum: str, code: str) -> str:
     """How many sextants carry ``code``; null when the gum code is blank."""
-    return F.length(gum) - F.length(F.replace(gum, F.lit(code), F.lit("")))
+    return f"length({gum}) - length(replace({gum}, '{code}', ''))"
 
 
-def gum_status(gum: Column) -> Column:
+def gum_status(gum: str) -> str:
     """Highest readable code, 9 if none is readable, null when blank."""
-    return (
-        F.when(gum.contains("3"), "3")
-        .when(gum.contains("2"), "2")
-        .when(gum.contains("1"), "1")
-        .when(gum.contains("0"), "0")
-        .when(gum.isNotNull(), "9")
-    )
+    cases = " ".join(f"WHEN contains({gum}, '{c}') THEN '{c}'" for c in ("3", "2", "1", "0"))
+    return f"CASE {cases} WHEN {gum} IS NOT NULL THEN '9' END"
 
 
-def gum_label(status: Column) -> Column:
+def gum_label(status: str) -> str:
     """Name of a status code; null for unknown codes."""
-    label = F.lit(None).cast("string")
-    for code, name in GUM_LABELS.items():
-        label = F.when(status == code, name).otherwise(label)
-    return label
+    return labelled(status, GUM_LABELS)

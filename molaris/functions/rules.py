@@ -8,22 +8,20 @@ write ``x <=> 'v'`` for equal, ``NOT (x <=> 'v')`` for not equal, and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 Rule = str | bool | None
 
 
-def met(rule: Rule) -> Column:
-    """Boolean column that is never null. No rule means every row meets it."""
+def met(rule: Rule) -> str:
+    """Boolean expression that is never null. No rule means every row meets it."""
     if rule is None:
-        return F.lit(True)
+        return "true"
     if isinstance(rule, bool):
-        return F.lit(rule)
-    return F.coalesce(F.expr(rule).cast("boolean"), F.lit(False))
+        return str(rule).lower()
+    return f"coalesce(CAST(({rule}) AS BOOLEAN), false)"
 
 
-def amount(rule: Rule) -> Column:
+def amount(rule: Rule) -> str:
     """Numeric value of a rule, null where it is not a number."""
     if rule is None or isinstance(rule, bool):
-        return F.lit(1.0 if rule is not False else 0.0)
-    return F.expr(rule).try_cast("double")
+        return "0D" if rule is False else "1D"
+    return f"try_cast(({rule}) AS DOUBLE)"

@@ -1,8 +1,8 @@
-"""Text cleaning as built-in column expressions (no UDF, stays in codegen)."""
+"""Text cleaning as built-in expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from molaris.functions.sql import quoted, quoted_list
 
 # What counts as blank in an exported record.
 # Compared after trimming, case-sensitive.
@@ -24,54 +24,52 @@ _COMPACT_TIME = r"^(\d{4})(\d{2})(\d{2})(?:(\d{2})(\d{2})(\d{2}))?$"
 _ISO_TIME = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
 
 
-def strip(c: Column) -> Column:
+def strip(c: str) -> str:
     """Trim Unicode whitespace on both ends."""
-    return F.trim(c, F.lit(_SPACES))
+    return f"trim(BOTH {quoted(_SPACES)} FROM {c})"
 
 
-def blank_to_null(c: Column) -> Column:
+def blank_to_null(c: str) -> str:
     """Trimmed text, null where the value is one of the blank tokens."""
-    text = strip(c)
-    return F.when(~c.isin(FILE_NULL_TOKENS) & ~text.isin(NULL_TOKENS), text)
+    return (f"CASE WHEN {c} NOT IN {quoted_list(FILE_NULL_TOKENS)} "
+            f"AND {strip(c)} NOT IN {quoted_list(NULL_TOKENS)} THEN {strip(c)} END")
 
 
-def to_number(c: Column) -> Column:
+def to_number(c: str) -> str:
     """Text to double, null when it is not a plain number.
 
     A cast alone would also take Java literals (``5d``, ``0x1p3``), so the text has to
     end like a decimal number and hold no ``x``.
     """
-    last = F.substring(c, -1, 1)
-    plain = (last.between("0", "9") | (last == ".")) & ~F.lower(c).contains("x")
-    return F.when(plain | F.lower(c).isin(_INFINITIES), c.try_cast("double"))
+    last = f"substring({c}, -1, 1)"
+    return (f"CASE WHEN (({last} BETWEEN '0' AND '9' OR {last} = '.') AND NOT contains(lower({c}), 'x')) "
+            f"OR lower({c}) IN {quoted_list(_INFINITIES)} THEN try_cast({c} AS DOUBLE) END")
 
 
-def to_time(c: Column) -> Column:
+def to_time(c: str) -> str:
     """Text to timestamp without zone; null for anything but the four known layouts.
 
     Layouts: ``yyyy-MM-dd``, ``yyyyMMdd``, each with an optional time of day. The choice
     is made per value, so it does not depend on which row comes first.
     """
-    compact = F.regexp_replace(c, _COMPACT_TIME, "$1-$2-$3 $4:$5:$6")
-    iso = (
-        F.when(c.rlike(_ISO_TIME), c)
-        .when(c.rlike(_COMPACT_TIME), F.rtrim(compact, F.lit(" :")))
-    )
-    return valid_time(iso.try_cast("timestamp_ntz"))
+    spread = f"trim(TRAILING ' :' FROM regexp_replace({c}, {quoted(_COMPACT_TIME)}, '$1-$2-$3 $4:$5:$6'))"
+    iso = (f"CASE WHEN {c} RLIKE {quoted(_ISO_TIME)} THEN {c} "
+           f"WHEN {c} RLIKE {quoted(_COMPACT_TIME)} THEN {spread} END")
+    return valid_time(f"try_cast({iso} AS TIMESTAMP_NTZ)")
 
 
-def valid_time(t: Column) -> Column:
+def valid_time(t: str) -> str:
     """The time itself inside the supported window, else null."""
-    first = F.lit(FIRST_VALID_TIME).cast("timestamp_ntz")
-    last = F.lit(LAST_VALID_TIME).cast("timestamp_ntz")
-    return F.when(t.between(first, last), t)
+    return (f"CASE WHEN {t} BETWEEN TIMESTAMP_NTZ '{FIRST_VALID_TIME}' "
+            f"AND TIMESTAMP_NTZ '{LAST_VALID_TIME}' THEN {t} END")
 
 
-def drop_number_prefix(c: Column) -> Column:
+def drop_number_prefix(c: str) -> str:
     """``01-Name`` to ``Name``; digits of any script count."""
-    return strip(F.regexp_replace(c, r"(?U)^\d+-", ""))
+    pattern = r"(?U)^\d+-"
+    return strip(f"regexp_replace({c}, {quoted(pattern)}, '')")
 
 
-def file_name(name: Column) -> Column:
+def file_name(c: str) -> str:
     """Plain file name from the URI-escaped ``_metadata.file_name``."""
-    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return f"url_decode(replace({c}, '+', '%2B'))"

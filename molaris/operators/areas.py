@@ -6,7 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
-from molaris.functions.numeric import percent, percent_scaled, ratio
+from molaris.functions.numeric import percent, ratio, round_half_even, scaled_percent
+from molaris.functions.sql import quoted
 from molaris.functions.text import strip
 from molaris.operators.cells import AREA_KEYS, Measures, at_levels
 from molaris.plans import labels as L
@@ -21,33 +22,28 @@ def headline(cells: DataFrame, profile: Profile, levels: Iterable[str] = ("all",
     """
     m = Measures(profile)
     levels = list(levels)
-    seen = F.col(m.examined) > 0
-    grouped = at_levels(cells, levels).groupBy("level", *AREA_KEYS) if levels != ["all"] else (
-        cells.withColumns({"_hoscode": F.col("hoscode"), "_ampname": F.col("ampname")}).groupBy())
-    shown = [m.target, m.examined, m.pending, m.qualified]
+    if levels == ["all"]:
+        # No grouping, so that the row is there even without records.
+        grouped = cells.withColumnsRenamed({"hoscode": "_hoscode", "ampname": "_ampname"}).groupBy()
+        areas = ["'all' AS level", *[f"CAST(NULL AS STRING) AS {k}" for k in AREA_KEYS]]
+    else:
+        areas = ["level", *AREA_KEYS]
+        grouped = at_levels(cells, levels).groupBy(*areas)
+    counts = {"target": m.target, "examined": m.examined, "pending": m.pending, "qualified": m.qualified}
     totals = grouped.agg(
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in shown],
-        F.count_distinct(F.when(seen, F.col("_hoscode"))).alias("hospitals"),
-        F.count_distinct(F.when(seen, F.col("_ampname"))).alias("districts"),
-        F.min("date_min").alias("date_min"),
-        F.max("date_max").alias("date_max"),
+        *[F.expr(f"coalesce(sum({c}), 0) AS {name}") for name, c in counts.items()],
+        F.expr(f"count(DISTINCT IF({m.examined} > 0, _hoscode, NULL)) AS hospitals"),
+        F.expr(f"count(DISTINCT IF({m.examined} > 0, _ampname, NULL)) AS districts"),
+        F.expr("min(date_min) AS date_min"),
+        F.expr("max(date_max) AS date_max"),
     )
-    if levels == ["all"]:
-        totals = totals.select(F.lit("all").alias("level"),
-                               *[F.lit(None).cast("string").alias(k) for k in AREA_KEYS], "*")
-    target, examined, pending, qualified = (F.col(name) for name in shown)
-    return totals.select(
-        "level", *AREA_KEYS,
-        examined.alias("examined"),
-        qualified.alias("qualified"),
-        percent_scaled(qualified, examined).alias("qualified_pct"),
-        "hospitals", "districts",
-        *[F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("-")).alias(c)
-          for c in ("date_min", "date_max")],
-        target.alias("target"),
-        percent(examined, target).alias("examined_pct"),
-        pending.alias("pending"),
-        (target - examined - pending).alias("out_of_range"),
+    return totals.selectExpr(
+        "*", f"{percent('qualified', 'examined')} AS _q", f"{percent('examined', 'target')} AS _e",
+    ).selectExpr(
+        *areas, "examined", "qualified", f"{scaled_percent('_q')} AS qualified_pct", "hospitals", "districts",
+        *[f"coalesce(date_format({c}, 'yyyy-MM-dd'), '-') AS {c}" for c in ("date_min", "date_max")],
+        "target", f"{round_half_even('_e')} AS examined_pct", "pending",
+        "target - examined - pending AS out_of_range",
     )
 
 
@@ -58,32 +54,26 @@ def breakdown(cells: DataFrame, profile: Profile, by: str = "district") -> DataF
     a key has several codes or names the smallest is shown; records have no first row.
     """
     m = Measures(profile)
-    key = {"district": "ampname", "unit": "hoscode"}[by]
-    shown = [m.target, m.examined, m.pending, m.qualified, m.caries_free, m.dmft]
-    name = F.nullif(F.col("hosname"), F.lit("")) if by == "unit" else F.nullif(F.col(key), F.lit(""))
-    grouped = cells.groupBy(key).agg(
-        *[F.sum(c).alias(c) for c in shown],
-        F.min("ampcode" if by == "district" else key).alias("_code"),
-        F.min(name).alias("_name"),
-    )
-    target, examined, pending, qualified, caries_free, dmft = (F.col(c) for c in shown)
-    label = F.coalesce(F.col(key), F.lit(L.UNKNOWN_AREA))
-    out = grouped.select(
-        label.alias("key"),
-        F.coalesce("_code", F.lit("")).alias("code"),
-        F.coalesce(F.col("_name"), F.nullif(F.col(key), F.lit("")), F.lit(L.UNKNOWN_AREA)).alias("name"),
-        target.alias("target"),
-        examined.alias("examined"),
-        pending.alias("pending"),
-        (examined - qualified).alias("failed"),
-        percent(examined, target).alias("examined_pct"),
-        qualified.alias("qualified"),
-        percent(qualified, examined).alias("qualified_pct"),
-        caries_free.alias("caries_free"),
-        percent(caries_free, qualified).alias("caries_free_pct"),
-        ratio(dmft, qualified).alias("dmft"),
-    )
-    return out.orderBy(F.nullif(F.col("code"), F.lit("")).asc_nulls_last(), "name", "key")
+    key, code, name = {"district": ("ampname", "ampcode", "ampname"),
+                       "unit": ("hoscode", "hoscode", "hosname")}[by]
+    counts = {"target": m.target, "examined": m.examined, "pending": m.pending,
+              "qualified": m.qualified, "caries_free": m.caries_free, "_dmft": m.dmft}
+    unknown = quoted(L.UNKNOWN_AREA)
+    grouped = cells.selectExpr(
+        f"{key} AS _key", f"{code} AS _code", f"nullif({name}, '') AS _name",
+        *[f"{c} AS {title}" for title, c in counts.items()],
+    ).groupBy("_key").agg(
+        F.expr("coalesce(min(_code), '') AS code"), F.expr("min(_name) AS _name"),
+        *[F.expr(f"sum({title}) AS {title}") for title in counts])
+    return grouped.selectExpr(
+        "*", f"{percent('examined', 'target')} AS _e", f"{percent('qualified', 'examined')} AS _q",
+        f"{percent('caries_free', 'qualified')} AS _c", f"{ratio('_dmft', 'qualified')} AS _d",
+    ).selectExpr(
+        f"coalesce(_key, {unknown}) AS key", "code", f"coalesce(_name, nullif(_key, ''), {unknown}) AS name",
+        "target", "examined", "pending", "examined - qualified AS failed",
+        f"{round_half_even('_e')} AS examined_pct", "qualified", f"{round_half_even('_q')} AS qualified_pct",
+        "caries_free", f"{round_half_even('_c')} AS caries_free_pct", f"{round_half_even('_d')} AS dmft",
+    ).orderBy(F.expr("nullif(code, '')").asc_nulls_last(), "name", "key")
 
 
 def area_tree(df: DataFrame) -> DataFrame:
@@ -93,30 +83,26 @@ def area_tree(df: DataFrame) -> DataFrame:
     Blank names become the unknown label; records without a facility code give no facility
     node but still their district; a code with several names shows the smallest.
     """
-    def blank(name: str):
-        return F.nullif(strip(F.col(name)), F.lit("")) if name in df.columns else F.lit(None).cast("string")
+    have, unknown, none = set(df.columns), quoted(L.UNKNOWN_AREA), "CAST(NULL AS STRING)"
+
+    def text(c: str) -> str:
+        return f"nullif({strip(c)}, '')" if c in have else none
 
-    names = df.select(*[blank(c).alias(c) for c in ("pvname", "ampname", "hoscode", "hosname")]).distinct()
-    unknown = F.lit(L.UNKNOWN_AREA)
-    none = F.lit(None).cast("string")
+    names = df.selectExpr(
+        f"coalesce({text('pvname')}, {unknown}) AS pvname", f"coalesce({text('ampname')}, {unknown}) AS ampname",
+        f"{text('hoscode')} AS code", f"{text('hosname')} AS name").distinct()
 
-    def node(level: str, amp, code, name):
-        return F.struct(F.lit(level).alias("level"), F.coalesce("pvname", unknown).alias("pvname"),
-                        amp.alias("ampname"), code.alias("code"), name.alias("name"))
+    def node(level: str, amp: str, code: str, name: str) -> str:
+        return f"struct('{level}' AS level, pvname, {amp} AS ampname, {code} AS code, {name} AS name)"
 
-    amp = F.coalesce("ampname", unknown)
-    nodes = F.array(
+    nodes = ", ".join([
         node("province", none, none, none),
-        node("district", amp, none, none),
-        F.when(F.col("hoscode").isNotNull(),
-               node("facility", amp, F.col("hoscode"), F.coalesce("hosname", "hoscode"))),
-    )
+        node("district", "ampname", none, none),
+        f"IF(code IS NULL, NULL, {node('facility', 'ampname', 'code', 'coalesce(name, code)')})",
+    ])
     return (
-        names.select(F.explode(nodes).alias("n"))
-        .where(F.col("n").isNotNull())
-        .select("n.*")
-        .groupBy("level", "pvname", "ampname", "code")
-        .agg(F.min("name").alias("name"))
+        names.selectExpr(f"explode(array({nodes})) AS n").where("n IS NOT NULL").selectExpr("n.*")
+        .groupBy("level", "pvname", "ampname", "code").agg(F.min("name").alias("name"))
         .orderBy("pvname", F.col("ampname").asc_nulls_first(), F.col("name").asc_nulls_first(), "code")
     )
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from molaris.functions.rules import Rule, amount, met
+from molaris.functions.sql import name as column_name
 from molaris.operators.derive import band_number
 from molaris.operators.scope import check_applies, check_failed, denominator, in_scope, qualified
 from molaris.plans.rules import COUNT_PCT, MEAN, QUALITY, Check, Profile, Table
@@ -33,22 +34,24 @@ TOTAL = "total"
 
 
 class Measures:
-    """The measures a profile needs, each computed once however many tables show it."""
+    """The measures a profile needs, each computed once however many tables show it.
+
+    ``aggregates`` maps a short column name to its aggregate as SQL text.
+    """
 
     def __init__(self, profile: Profile):
         self.profile = profile
-        self._bases: dict[str, Column] = {}
+        self._bases: dict[str, str] = {}
         self._names: dict[tuple, str] = {}
-        self.aggregates: dict[str, Column] = {}
-        self.sums: set[str] = set()
-        self.target = self._add(("target",), F.count(F.lit(1)))
-        self.pending = self._add(("pending",), F.count_if(~F.coalesce(F.col("examined"), F.lit(False))))
-        scope_table = Table("", "", COUNT_PCT, denominator="examined")
-        qualified_table = Table("", "", COUNT_PCT, denominator="qualified")
-        self.examined = self.base(scope_table)
-        self.qualified = self.base(qualified_table)
-        self.caries_free = self.count(qualified_table, profile.overview.caries_free)
-        self.dmft = self.total(qualified_table, profile.overview.dmft)
+        self.aggregates: dict[str, str] = {}
+        self.target = self._add(("target",), "count(1)")
+        self.pending = self._add(("pending",), "count_if(NOT coalesce(examined, false))")
+        all_examined = Table("", "", COUNT_PCT, denominator="examined")
+        all_qualified = Table("", "", COUNT_PCT, denominator="qualified")
+        self.examined = self.base(all_examined)
+        self.qualified = self.base(all_qualified)
+        self.caries_free = self.count(all_qualified, profile.overview.caries_free)
+        self.dmft = self.total(all_qualified, profile.overview.dmft)
         for table in profile.tables:
             if table.kind == QUALITY:
                 for check in profile.quality_checks:
@@ -59,52 +62,44 @@ class Measures:
                 for metric in table.metrics:
                     (self.total if table.kind == MEAN else self.count)(table, metric.rule)
 
-    def _add(self, key: tuple, aggregate: Column, is_sum: bool = False) -> str:
+    def _add(self, key: tuple, aggregate: str) -> str:
         if key not in self._names:
             name = f"m{len(self._names)}"
             self._names[key] = name
             self.aggregates[name] = aggregate
-            if is_sum:
-                self.sums.add(name)
         return self._names[key]
 
     def _base_flag(self, table: Table) -> str:
-        choice = "examined" if table.denominator == "all" else table.denominator
-        name = "_in_scope" if choice == "examined" else (
-            "_qualified" if choice == "qualified" else f"_base_{choice}")
-        if name not in self._bases and name != "_in_scope":
-            self._bases[name] = F.col("_in_scope") & F.coalesce(
-                denominator(self.profile, table), F.lit(False))
-        return name
+        if table.denominator in ("examined", "all"):
+            return "_in_scope"
+        if table.denominator not in self._bases:
+            self._bases[table.denominator] = denominator(self.profile, table)
+        return f"_base{list(self._bases).index(table.denominator)}"
 
     def base(self, table: Table) -> str:
         flag = self._base_flag(table)
-        return self._add(("base", flag), F.count_if(F.col(f"`{flag}`")))
+        return self._add(("base", flag), f"count_if({flag})")
 
     def count(self, table: Table, rule: Rule) -> str:
         flag = self._base_flag(table)
-        return self._add(("count", flag, rule), F.count_if(F.col(f"`{flag}`") & met(rule)))
+        return self._add(("count", flag, rule), f"count_if({flag} AND {met(rule)})")
 
     def total(self, table: Table, rule: Rule) -> str:
         flag = self._base_flag(table)
-        value = F.sum(F.when(F.col(f"`{flag}`"), amount(rule)))
-        return self._add(("total", flag, rule), F.coalesce(value, F.lit(0.0)), is_sum=True)
+        return self._add(("total", flag, rule),
+                         f"coalesce(sum(CASE WHEN {flag} THEN {amount(rule)} END), 0D)")
 
     def fails(self, check: Check) -> str:
-        failed = F.col("_in_scope") & check_failed(self.profile, check)
-        return self._add(("fails", check), F.count_if(failed))
+        return self._add(("fails", check), f"count_if(_in_scope AND {check_failed(self.profile, check)})")
 
     def applies(self, check: Check) -> str:
-        applies = F.col("_in_scope") & check_applies(self.profile, check)
-        return self._add(("applies", check), F.count_if(applies))
+        return self._add(("applies", check), f"count_if(_in_scope AND {check_applies(self.profile, check)})")
 
     def flags(self, df: DataFrame) -> DataFrame:
-        """The records with one flag column per base."""
-        return df.withColumn("_in_scope", in_scope(self.profile)).withColumns(
-            {name: flag for name, flag in self._bases.items()})
-
-    def zero(self, name: str) -> Column:
-        return F.lit(0.0) if name in self.sums else F.lit(0).cast("bigint")
+        """The records with one never-null flag column per base."""
+        return df.selectExpr("*", f"{in_scope(self.profile)} AS _in_scope").selectExpr(
+            "*", *[f"_in_scope AND coalesce({rule}, false) AS _base{i}"
+                   for i, rule in enumerate(self._bases.values())])
 
 
 def row_kinds(profile: Profile) -> set[str]:
@@ -119,37 +114,28 @@ def build_cells(df: DataFrame, profile: Profile) -> DataFrame:
     """
     m = Measures(profile)
     kinds = row_kinds(profile)
-    for c in AREA_KEYS + NAME_KEYS:
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("string"))
-    date = F.col("date_serv") if "date_serv" in df.columns else F.lit(None).cast("timestamp_ntz")
-    no_row = F.lit(None).cast("int")
-    flagged = m.flags(df).withColumns({
-        "_age": F.when(F.col("_in_scope"), F.col("age").cast("int")) if "age" in kinds else no_row,
-        "_band": F.when(F.col("_in_scope"), band_number(profile, F.col("age")))
-        if "band" in kinds else no_row,
-        "_date": F.when(F.col("_in_scope"), date),
-    })
-    return flagged.groupBy(*AREA_KEYS, *NAME_KEYS, "_age", "_band").agg(
-        *[a.alias(name) for name, a in m.aggregates.items()],
-        F.min("_date").alias("date_min"),
-        F.max("_date").alias("date_max"),
+    have = set(df.columns)
+    missing = [f"CAST(NULL AS STRING) AS {c}" for c in AREA_KEYS + NAME_KEYS if c not in have]
+    date = "date_serv" if "date_serv" in have else "CAST(NULL AS TIMESTAMP_NTZ)"
+    age = "CAST(age AS INT)" if "age" in kinds else "CAST(NULL AS INT)"
+    band = band_number(profile) if "band" in kinds else "CAST(NULL AS INT)"
+    flagged = m.flags(df).selectExpr(
+        "*", *missing,
+        f"CASE WHEN _in_scope THEN {age} END AS _age",
+        f"CASE WHEN _in_scope THEN {band} END AS _band",
+        f"CASE WHEN _in_scope THEN {date} END AS _date",
     )
+    aggregates = [f"{a} AS {name}" for name, a in m.aggregates.items()]
+    return flagged.groupBy(*AREA_KEYS, *NAME_KEYS, "_age", "_band").agg(
+        *map(F.expr, aggregates), F.expr("min(_date) AS date_min"), F.expr("max(_date) AS date_max"))
 
 
 def sum_measures(m: Measures) -> list[Column]:
-    return [F.sum(name).alias(name) for name in m.aggregates]
+    return [F.expr(f"sum({name}) AS {name}") for name in m.aggregates]
 
 
-def _level_structs(levels: Iterable[str]) -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(level).alias("level"),
-            *[(F.col(k) if k in LEVELS[level] else F.lit(None).cast("string")).alias(k)
-              for k in AREA_KEYS],
-        )
-        for level in levels
-    ])
+def _null_but(level: str) -> str:
+    return ", ".join(f"{k if k in LEVELS[level] else 'CAST(NULL AS STRING)'} AS {k}" for k in AREA_KEYS)
 
 
 def at_levels(cells: DataFrame, levels: Iterable[str]) -> DataFrame:
@@ -158,24 +144,25 @@ def at_levels(cells: DataFrame, levels: Iterable[str]) -> DataFrame:
     The facility and district a cell belongs to stay available as ``_hoscode`` and
     ``_ampname``.
     """
-    own = cells.withColumns({"_hoscode": F.col("hoscode"), "_ampname": F.col("ampname")})
-    levelled = own.withColumn("_level", F.explode(_level_structs(levels)))
-    return levelled.drop(*AREA_KEYS).select("_level.*", *[
-        c for c in levelled.columns if c not in (*AREA_KEYS, "_level")])
+    areas = ", ".join(f"struct('{level}' AS level, {_null_but(level)})" for level in levels)
+    rest = [column_name(c) for c in cells.columns if c not in AREA_KEYS]
+    return cells.selectExpr(
+        f"explode(array({areas})) AS _area", "hoscode AS _hoscode", "ampname AS _ampname", *rest,
+    ).selectExpr("_area.*", "_hoscode", "_ampname", *rest)
 
 
-def _slot(kind: str, number: Column) -> Column:
-    return F.struct(F.lit(kind).alias("row_kind"), number.cast("int").alias("row_ord"))
+def _slot(kind: str, number: str) -> str:
+    return f"struct('{kind}' AS row_kind, {number} AS row_ord)"
 
 
-def _spine(profile: Profile) -> list[Column]:
+def _spine(profile: Profile) -> list[str]:
     """Every row a table of the profile must show, empty or not."""
     kinds = row_kinds(profile)
     slots = []
     if "age" in kinds:
-        slots += [_slot("age", F.lit(a)) for a in range(profile.age_min, profile.age_max + 1)]
+        slots += [_slot("age", str(a)) for a in range(profile.age_min, profile.age_max + 1)]
     if "band" in kinds:
-        slots += [_slot("band", F.lit(i)) for i in range(len(profile.bands))]
+        slots += [_slot("band", str(i)) for i in range(len(profile.bands))]
     return slots
 
 
@@ -189,35 +176,29 @@ def report_rows(cells: DataFrame, profile: Profile, levels: Iterable[str] = ("al
     m = Measures(profile)
     levels = list(levels)
     keys = ["level", *AREA_KEYS, "row_kind", "row_ord"]
-    slots = F.filter(
-        F.array(_slot("age", F.col("_age")), _slot("band", F.col("_band")), _slot(TOTAL, F.lit(0))),
-        lambda s: s["row_ord"].isNotNull(),
-    )
+    own_slots = ", ".join([_slot("age", "_age"), _slot("band", "_band"), _slot(TOTAL, "0")])
     rolled = (
         at_levels(cells, levels)
-        .withColumn("_slot", F.explode(slots))
-        .select("level", *AREA_KEYS, "_slot.*", *m.aggregates)
-        .groupBy(*keys)
-        .agg(*sum_measures(m))
+        .selectExpr("level", *AREA_KEYS,
+                    f"explode(filter(array({own_slots}), s -> s.row_ord IS NOT NULL)) AS _slot",
+                    *m.aggregates)
+        .selectExpr("level", *AREA_KEYS, "_slot.*", *m.aggregates)
+        .groupBy(*keys).agg(*sum_measures(m))
     )
+    zero = {f.name: f"CAST(0 AS {f.dataType.simpleString()})" for f in cells.schema.fields}
     if "all" in levels:
         # The whole population has its rows even when there is no record at all.
-        empty = cells.sparkSession.range(0, 1, 1, 1).select(
-            F.lit("all").alias("level"),
-            *[F.lit(None).cast("string").alias(k) for k in AREA_KEYS],
-            F.lit(TOTAL).alias("row_kind"), F.lit(0).alias("row_ord"),
-            *[m.zero(name).alias(name) for name in m.aggregates],
-        )
+        empty = cells.sparkSession.range(0, 1, 1, 1).selectExpr(
+            "'all' AS level", *[f"CAST(NULL AS STRING) AS {k}" for k in AREA_KEYS],
+            f"'{TOTAL}' AS row_kind", "0 AS row_ord", *[f"{zero[c]} AS {c}" for c in m.aggregates])
         rolled = rolled.unionByName(empty)
-    own = F.struct("row_kind", "row_ord")
-    targets = F.when(F.col("row_kind") == TOTAL, F.array(own, *_spine(profile))).otherwise(F.array(own))
-    is_own = (F.col("_to.row_kind") == F.col("row_kind")) & (F.col("_to.row_ord") == F.col("row_ord"))
+    spine = ", ".join(["struct(row_kind, row_ord)", *_spine(profile)])
     return (
-        rolled.withColumn("_to", F.explode(targets))
-        .select("level", *AREA_KEYS, F.col("_to.row_kind").alias("row_kind"),
-                F.col("_to.row_ord").alias("row_ord"),
-                *[F.when(is_own, F.col(name)).otherwise(m.zero(name)).alias(name)
-                  for name in m.aggregates])
-        .groupBy(*keys)
-        .agg(*sum_measures(m))
+        rolled.selectExpr(
+            "*", f"explode(IF(row_kind = '{TOTAL}', array({spine}), array(struct(row_kind, row_ord)))) AS _to")
+        .selectExpr(
+            "level", *AREA_KEYS, "_to.row_kind AS row_kind", "_to.row_ord AS row_ord",
+            *[f"IF(_to.row_kind = row_kind AND _to.row_ord = row_ord, {c}, {zero[c]}) AS {c}"
+              for c in m.aggregates])
+        .groupBy(*keys).agg(*sum_measures(m))
     )

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from molaris.functions import text
+from molaris.functions import sql, text
 from molaris.plans.rules import NameColumn
 
 # The typed columns of a record.
@@ -32,47 +32,49 @@ def tidy_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
 
 
-def clean_column(name: str, kind: T.DataType) -> Column:
-    """Typed, blank-free value of one column; text and typed inputs are both accepted."""
-    c = F.col(f"`{name}`")
-    is_text = isinstance(kind, T.StringType)
-    if name in NUMERIC_COLUMNS:
-        if is_text:
-            return text.to_number(text.blank_to_null(c))
-        number = c.cast("double")
-        return F.when(~F.isnan(number), number)
-    if name in TIME_COLUMNS:
-        if is_text:
-            return text.to_time(text.blank_to_null(c))
-        return text.valid_time(c.cast("timestamp_ntz"))
-    return text.blank_to_null(c if is_text else c.cast("string"))
+def _typed(column: str, c: str, is_text: bool) -> str:
+    if column in NUMERIC_COLUMNS:
+        return text.to_number(c) if is_text else f"nanvl(CAST({c} AS DOUBLE), NULL)"
+    if column in TIME_COLUMNS:
+        return text.to_time(c) if is_text else text.valid_time(f"CAST({c} AS TIMESTAMP_NTZ)")
+    return c
 
 
 def conform(df: DataFrame) -> DataFrame:
     """Tidy headers, null the blank tokens, type the known columns, keep the rest as text.
 
-    Columns whose name starts with ``_`` are left alone. One narrow projection.
+    Text and typed columns are both accepted. Columns whose name starts with ``_`` are left
+    alone. Two narrow projections: blanks first, then types.
     """
     df = tidy_headers(df)
-    return df.select(
-        *[
-            F.col(f"`{f.name}`")
-            if f.name.startswith("_")
-            else clean_column(f.name, f.dataType).alias(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    kinds = dict(df.dtypes)
+    typed_already = {c for c in kinds if kinds[c] != "string" and c in NUMERIC_COLUMNS + TIME_COLUMNS}
+    own = [c for c in kinds if not c.startswith("_")]
+
+    def blanks(c: str) -> str:
+        if c not in own or c in typed_already:
+            return sql.name(c)
+        source = sql.name(c) if kinds[c] == "string" else f"CAST({sql.name(c)} AS STRING)"
+        return f"{text.blank_to_null(source)} AS {sql.name(c)}"
+
+    def types(c: str) -> str:
+        if c not in own:
+            return sql.name(c)
+        return f"{_typed(c, sql.name(c), c not in typed_already)} AS {sql.name(c)}"
 
+    return df.selectExpr(*map(blanks, kinds)).selectExpr(*map(types, kinds))
 
-def name_value(spec: NameColumn) -> Column:
+
+def name_value(spec: NameColumn) -> str:
     """Value the file-name rules give: first literal, case-insensitive hit, else the default."""
-    source = F.lower(F.coalesce(F.col(SOURCE_FILE), F.lit("")))
-    hits = [
-        F.when(source.contains(rule.contains.lower()), F.lit(rule.value))
+    source = f"lower(coalesce({SOURCE_FILE}, ''))"
+    hits = " ".join(
+        f"WHEN contains({source}, {sql.quoted(rule.contains.lower())}) THEN {sql.quoted(rule.value)}"
         for rule in spec.rules
         if rule.contains
-    ]
-    return F.coalesce(*hits, F.lit(spec.default).cast("string"))
+    )
+    default = sql.quoted(spec.default)
+    return f"CASE {hits} ELSE {default} END" if hits else default
 
 
 def add_name_columns(df: DataFrame, specs: Sequence[NameColumn]) -> DataFrame:
@@ -82,6 +84,6 @@ def add_name_columns(df: DataFrame, specs: Sequence[NameColumn]) -> DataFrame:
     for spec in specs:
         value = name_value(spec)
         if spec.column in df.columns and not spec.overwrite:
-            value = F.coalesce(F.col(spec.column).cast("string"), value)
-        df = df.withColumn(spec.column, value)
+            value = f"coalesce(CAST({sql.name(spec.column)} AS STRING), {value})"
+        df = df.withColumn(spec.column, F.expr(value))
     return df

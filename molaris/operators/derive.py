@@ -2,64 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from molaris.functions.dates import months_between, years_between
 from molaris.functions.gum import GUM_CODES, gum_label, gum_status, normal_gum, sextants
+from molaris.functions.sql import quoted
 from molaris.plans.rules import Profile
 
 PERMANENT_INDEX = ["pcaries", "pfilling", "pextract"]
 MILK_INDEX = ["dcaries", "dfilling", "dextract"]
 
 
-def index_sum(columns: list[str]) -> Column:
+def index_sum(columns: list[str]) -> str:
     """Row sum with null as 0; null only when every part is null."""
-    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in columns), F.lit(0.0))
-    return F.when(F.coalesce(*columns).isNotNull(), total)
+    total = " + ".join(f"coalesce({c}, 0D)" for c in columns)
+    return f"CASE WHEN coalesce({', '.join(columns)}) IS NOT NULL THEN {total} END"
 
 
-def band_number(profile: Profile, age: Column) -> Column:
+def _band_case(profile: Profile, age: str, results: list[str], kind: str) -> str:
+    cases = " ".join(f"WHEN {age} BETWEEN {b.min} AND {b.max} THEN {r}"
+                     for b, r in zip(profile.bands, results))
+    return f"CAST(CASE {cases} END AS {kind})" if cases else f"CAST(NULL AS {kind})"
+
+
+def band_number(profile: Profile, age: str = "age") -> str:
     """Position of the first band that holds the age; null outside all bands."""
-    number = F.lit(None).cast("int")
-    for i, band in reversed(list(enumerate(profile.bands))):
-        number = F.when(age.between(band.min, band.max), F.lit(i)).otherwise(number)
-    return number
+    return _band_case(profile, age, [str(i) for i in range(len(profile.bands))], "INT")
 
 
-def band_label(profile: Profile, age: Column) -> Column:
+def band_label(profile: Profile, age: str = "age") -> str:
     """Label of the first band that holds the age; null outside all bands."""
-    label = F.lit(None).cast("string")
-    for band in reversed(profile.bands):
-        label = F.when(age.between(band.min, band.max), F.lit(band.label)).otherwise(label)
-    return label
+    return _band_case(profile, age, [quoted(b.label) for b in profile.bands], "STRING")
 
 
 def prepare(df: DataFrame, profile: Profile | None = None) -> DataFrame:
     """Age, examined flag, gum codes, caries indices and, with a profile, the age band.
 
     Missing inputs degrade: no dates give a null age, no service date means not examined,
-    no gum column gives null gum columns. One narrow projection.
+    no gum column gives null gum columns. Narrow projections only.
     """
     have = set(df.columns)
-    added: dict[str, Column] = {}
-    if {"date_serv", "birth"} <= have:
-        added["age"] = years_between(F.col("birth"), F.col("date_serv"))
-        added["age_month"] = months_between(F.col("birth"), F.col("date_serv"))
-    else:
-        added["age"] = F.lit(None).cast("int")
-    added["examined"] = F.col("date_serv").isNotNull() if "date_serv" in have else F.lit(False)
-    gum = normal_gum(F.col("gum")) if "gum" in have else F.lit(None).cast("string")
-    for code in GUM_CODES:
-        added[f"gum_sx_{code}"] = sextants(gum, code)
-    status = gum_status(gum)
-    added["gum_status"] = status
-    if "gum" in have:
-        added["gum_label"] = gum_label(status)
+    dated = {"date_serv", "birth"} <= have
+    added = {
+        "age": years_between("birth", "date_serv") if dated else "CAST(NULL AS INT)",
+        "examined": "date_serv IS NOT NULL" if "date_serv" in have else "false",
+        "_gum": normal_gum("gum") if "gum" in have else "CAST(NULL AS STRING)",
+    }
+    if dated:
+        added["age_month"] = months_between("birth", "date_serv")
     if set(PERMANENT_INDEX) <= have:
         added["dmft_p"] = index_sum(PERMANENT_INDEX)
     if set(MILK_INDEX) <= have:
         added["dmft_d"] = index_sum(MILK_INDEX)
-    out = df.withColumns(added)
+    first = df.selectExpr(*_kept(df, added), *_aliased(added))
+
+    coded = {f"gum_sx_{code}": sextants("_gum", code) for code in GUM_CODES}
+    coded["gum_status"] = gum_status("_gum")
+    if "gum" in have:
+        coded["gum_label"] = gum_label(gum_status("_gum"))
     if profile is not None and profile.bands:
-        out = out.withColumn("band", band_label(profile, F.col("age")))
-    return out
+        coded["band"] = band_label(profile)
+    return first.selectExpr(*[c for c in _kept(first, coded) if c != "`_gum`"], *_aliased(coded))
+
+
+def _kept(df: DataFrame, added: dict[str, str]) -> list[str]:
+    return [f"`{c}`" for c in df.columns if c not in added]
+
+
+def _aliased(added: dict[str, str]) -> list[str]:
+    return [f"{x} AS `{c}`" for c, x in added.items()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from molaris.functions import sql
 from molaris.operators.cells import AREA_KEYS
 from molaris.plans import labels as L
 from molaris.plans.rules import Profile
@@ -26,23 +27,16 @@ def header_table(headline: DataFrame, profile: Profile, as_of: str, area: tuple[
 
     ``area`` names the filter the report was made with; a drill-down row names itself.
     """
-    given = L.HEADER_AREA_SEPARATOR.join(a for a in area if a)
-    own = F.nullif(F.concat_ws(L.HEADER_AREA_SEPARATOR, *AREA_KEYS), F.lit(""))
-    values = {
-        "label": F.lit(profile.label),
-        "area": F.coalesce(own, F.lit(given or L.HEADER_ALL_AREAS)),
-        "as_of": F.lit(as_of),
+    given = L.HEADER_AREA_SEPARATOR.join(a for a in area if a) or L.HEADER_ALL_AREAS
+    own = f"nullif(concat_ws({sql.quoted(L.HEADER_AREA_SEPARATOR)}, {', '.join(AREA_KEYS)}), '')"
+    known = {
+        "label": sql.quoted(profile.label),
+        "area": f"coalesce({own}, {sql.quoted(given)})",
+        "as_of": sql.quoted(as_of),
     }
-    rows = F.array(*[
-        F.struct(F.lit(i).alias("ord"), F.lit(title).alias("item"),
-                 values.get(key, F.col(key) if key in headline.columns else F.lit(None))
-                 .cast("string").alias("value"))
-        for i, (key, title) in enumerate(L.HEADER_ROWS)
-    ])
+    rows = ", ".join(
+        f"struct({i} AS ord, {sql.quoted(title)} AS item, CAST({known.get(key, key)} AS STRING) AS value)"
+        for i, (key, title) in enumerate(L.HEADER_ROWS))
     areas = ["level", *AREA_KEYS]
-    return (
-        headline.select(*areas, F.explode(rows).alias("r"))
-        .orderBy(*areas, "r.ord")
-        .select(*areas, F.col("r.ord").alias("ord"), F.col("r.item").alias(L.HEADER_ITEM),
-                F.col("r.value").alias(L.HEADER_VALUE))
-    )
+    return headline.selectExpr(*areas, f"explode(array({rows})) AS r").orderBy(*areas, "r.ord").selectExpr(
+        *areas, "r.ord AS ord", f"r.item AS {sql.name(L.HEADER_ITEM)}", f"r.value AS {sql.name(L.HEADER_VALUE)}")

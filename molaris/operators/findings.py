@@ -6,9 +6,10 @@ a number fixed by the rule set, so collecting it into an array is bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from molaris.functions.numeric import shown
+from molaris.functions.sql import labelled, name as column_name, quoted, quoted_list, sentence
 from molaris.operators.cells import AREA_KEYS
 from molaris.operators.report import CHECK, METRIC, PASS
 from molaris.plans import labels as L
@@ -17,15 +18,8 @@ from molaris.plans.rules import COUNT_PCT, QUALITY, Profile
 _KEYS = ["level", *AREA_KEYS, "table_ord", "table_no", "kind"]
 
 
-def _contains_any(name: Column, words: list[str]) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | name.contains(word)
-    return hit
-
-
-def higher_is_better(metric: Column) -> Column:
-    return _contains_any(metric, L.HIGHER_IS_BETTER)
+def higher_is_better(metric: str) -> str:
+    return "(" + " OR ".join(f"contains({metric}, {quoted(w)})" for w in L.HIGHER_IS_BETTER) + ")"
 
 
 def primary_metrics(profile: Profile) -> dict[str, str]:
@@ -40,218 +34,172 @@ def primary_metrics(profile: Profile) -> dict[str, str]:
     return chosen
 
 
-def _is_primary(profile: Profile) -> Column:
-    flag = F.col("role") == PASS
-    for no, metric in primary_metrics(profile).items():
-        flag = flag | ((F.col("table_no") == no) & (F.col("metric") == metric))
-    return flag
-
+def _is_primary(profile: Profile) -> str:
+    tests = [f"role = '{PASS}'"] + [f"(table_no = {quoted(no)} AND metric = {quoted(metric)})"
+                                    for no, metric in primary_metrics(profile).items()]
+    return "(" + " OR ".join(tests) + ")"
 
-def _sentence(pattern: str, *parts: Column | str) -> Column:
-    return F.format_string(pattern, *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
+def _tone(value: str) -> str:
+    return f"CASE WHEN {value} >= {L.GOOD_FROM} THEN 'good' WHEN {value} >= {L.WARN_FROM} THEN 'warn' ELSE 'bad' END"
 
-def _tone(value: Column) -> Column:
-    return F.when(value >= L.GOOD_FROM, "good").when(value >= L.WARN_FROM, "warn").otherwise("bad")
 
-
-def _finding(code: str, tone: Column | str, text: Column, when: Column,
-             order: int = 0, item: Column | None = None, item_ord: Column | None = None) -> Column:
-    return F.when(when, F.struct(
-        F.lit(code).alias("code"),
-        F.lit(order).alias("seq"),
-        (F.lit(-1) if item_ord is None else item_ord).cast("int").alias("item_ord"),
-        (F.lit("") if item is None else item).alias("item"),
-        (F.lit(tone) if isinstance(tone, str) else tone).alias("tone"),
-        text.alias("text"),
-    ))
+def _finding(code: str, seq: int, tone: str, text: str, when: str,
+             item: str = "''", item_ord: str = "-1") -> str:
+    return (f"IF({when}, struct('{code}' AS code, {seq} AS seq, {item_ord} AS item_ord, {item} AS item, "
+            f"{tone} AS tone, {text} AS text), NULL)")
 
 
 def compare_to_total(long: DataFrame) -> DataFrame:
-    """Each figure beside its table's total figure and the signed gap between the two."""
-    w = Window.partitionBy(*_KEYS, "metric_ord")
-    total = F.max(F.when(F.col("is_total"), F.col("value"))).over(w)
-    return long.repartition(*[F.col(k) for k in _KEYS]).withColumn("total_value", total).withColumn(
-        "gap", F.col("value") - F.col("total_value"))
+    """Each figure beside its table's total figure and the signed gap between the two.
+
+    One exchange on (area, table) serves this window and the groupings after it.
+    """
+    keys = ", ".join([*_KEYS, "metric_ord"])
+    return long.repartition(*_KEYS).selectExpr(
+        "*", f"max(IF(is_total, value, NULL)) OVER (PARTITION BY {keys}) AS total_value",
+    ).selectExpr("*", "value - total_value AS gap")
 
 
 def _row_facts(long: DataFrame, profile: Profile) -> DataFrame:
-    """One row per report row: its primary figure and the metrics that stand out."""
-    low = (F.col("role") == METRIC) & ~higher_is_better(F.col("metric"))
-    primary = F.col("_primary")
-    first_metric = -F.col("metric_ord")
-    named = F.struct("metric", "value", "gap", "n")
+    """One row per report row: its primary figure and the metrics that stand out.
+
+    Where metrics tie, the first one wins.
+    """
+    low = f"role = '{METRIC}' AND NOT {higher_is_better('metric')}"
+    named = "struct(metric, value, gap, n)"
+    picks = {
+        "standout": f"IF({low} AND NOT _primary AND gap >= {L.MIN_GAP}D, struct(gap, -metric_ord), NULL)",
+        "top_problem": f"IF({low} AND value > 0, struct(value, -metric_ord), NULL)",
+        "top_cause": f"IF(role = '{CHECK}' AND n > 0, struct(n, -metric_ord), NULL)",
+    }
     return (
         compare_to_total(long)
-        .withColumn("_primary", _is_primary(profile))
+        .selectExpr("*", f"{_is_primary(profile)} AS _primary")
         .groupBy(*_KEYS, "row_ord", "row_label", "is_total")
         .agg(
-            F.max(F.when(primary, F.col("value"))).alias("value"),
-            F.max(F.when(primary, F.col("total_value"))).alias("total_value"),
-            F.max(F.when(primary, F.col("base"))).alias("base"),
-            F.max(F.when(primary, F.col("n"))).alias("n"),
-            F.max(F.when(primary, F.col("metric"))).alias("metric"),
-            # First metric wins a tie.
-            F.max_by(named, F.when(low & ~primary & (F.col("gap") >= L.MIN_GAP),
-                                   F.struct("gap", first_metric))).alias("standout"),
-            F.max_by(named, F.when(low & (F.col("value") > 0),
-                                   F.struct("value", first_metric))).alias("top_problem"),
-            F.max_by(named, F.when((F.col("role") == CHECK) & (F.col("n") > 0),
-                                   F.struct("n", first_metric))).alias("top_cause"),
+            *[F.expr(f"max(IF(_primary, {c}, NULL)) AS {c}")
+              for c in ("value", "total_value", "gap", "base", "n", "metric")],
+            *[F.expr(f"max_by({named}, {rank}) AS {c}") for c, rank in picks.items()],
         )
     )
 
 
-def _row_name(label: Column, profile: Profile) -> Column:
+def _with_words(df: DataFrame, profile: Profile) -> DataFrame:
+    """Row name, unit, point word and direction of the primary metric."""
     by_age = [t.no for t in profile.tables if t.row_kind == "age"]
-    pattern_age = _sentence(L.ROW_OF_AGE, label)
-    return F.when(F.col("table_no").isin(by_age), pattern_age).otherwise(_sentence(L.ROW_OF_BAND, label))
-
-
-def _extreme(series: Column, sign: int) -> Column:
-    """First row of the series with the smallest (sign 1) or largest (sign -1) value."""
-    ranked = F.transform(series, lambda r: F.struct(
-        (r["value"] * sign).alias("k"), r["row_ord"].alias("o"), r.alias("row")))
-    return F.array_min(ranked)["row"]
+    is_age = f"table_no IN {quoted_list(by_age)}" if by_age else "false"
+    percent = f"kind = '{COUNT_PCT}'"
+    return df.selectExpr(
+        "*",
+        f"IF({is_age}, {sentence(L.ROW_OF_AGE, 'row_label')}, {sentence(L.ROW_OF_BAND, 'row_label')}) AS name",
+        f"IF({percent}, '%', '') AS unit",
+        f"IF({percent}, {quoted(L.POINTS)}, {quoted(L.TEETH)}) AS word",
+        f"{higher_is_better('metric')} AS high",
+    )
 
 
-def _quality_row(facts: DataFrame) -> Column:
+def _quality_line() -> str:
     """Pass rate of one group against the total."""
-    value, gap = F.col("value"), F.col("value") - F.col("total_value")
-    failed = F.col("base") - F.col("n")
-    return F.concat(
-        _sentence(L.S_ROW_QUALITY, shown(value)),
-        F.when(F.abs(gap) >= L.MIN_GAP, _sentence(
-            L.S_ROW_QUALITY_GAP, F.when(gap > 0, L.HIGHER).otherwise(L.LOWER),
-            shown(F.abs(gap), 1))).otherwise(""),
-        F.when(failed > 0, _sentence(L.S_ROW_QUALITY_FAILED, shown(failed, 0))).otherwise(""),
+    side = f"IF(gap > 0, {quoted(L.HIGHER)}, {quoted(L.LOWER)})"
+    return (
+        f"concat({sentence(L.S_ROW_QUALITY, shown('value'))}, "
+        f"IF(abs(gap) >= {L.MIN_GAP}D, {sentence(L.S_ROW_QUALITY_GAP, side, shown('abs(gap)', 1))}, ''), "
+        f"IF(base > n, {sentence(L.S_ROW_QUALITY_FAILED, shown('base - n', 0))}, ''))"
     )
 
 
-def _metric_row(unit: Column, word: Column, tone: Column) -> Column:
+def _metric_line() -> str:
     """Primary metric of one group against the total, with the metric that stands out."""
-    gap, extra = F.col("value") - F.col("total_value"), F.col("standout")
-    return F.concat(
-        _sentence(L.S_ROW, F.col("metric"), shown(F.col("value")), unit),
-        F.when(F.abs(gap) >= L.MIN_GAP, _sentence(
-            L.S_ROW_GAP, F.when(tone == "good", L.BETTER).otherwise(L.WORSE),
-            shown(F.abs(gap), 1), word)).otherwise(""),
-        F.when(extra.isNotNull(), _sentence(
-            L.S_ROW_STANDOUT, extra["metric"], shown(extra["value"]), unit,
-            shown(F.abs(extra["gap"]), 1), word)).otherwise(""),
-        F.when(F.col("base") < L.SMALL_BASE, _sentence(
-            L.S_ROW_SMALL, shown(F.col("base"), 0))).otherwise(""),
+    side = f"IF(better, {quoted(L.BETTER)}, {quoted(L.WORSE)})"
+    extra = sentence(L.S_ROW_STANDOUT, "standout.metric", shown("standout.value"), "unit",
+                     shown("abs(standout.gap)", 1), "word")
+    return (
+        f"concat({sentence(L.S_ROW, 'metric', shown('value'), 'unit')}, "
+        f"IF(abs(gap) >= {L.MIN_GAP}D, {sentence(L.S_ROW_GAP, side, shown('abs(gap)', 1), 'word')}, ''), "
+        f"IF(standout IS NOT NULL, {extra}, ''), "
+        f"IF(base < {L.SMALL_BASE}, {sentence(L.S_ROW_SMALL, shown('base', 0))}, ''))"
     )
 
 
-def _row_findings(facts: DataFrame) -> DataFrame:
+def _row_findings(facts: DataFrame, profile: Profile) -> DataFrame:
     """Adds ``finding``: the line of each group (not the total) that has a figure."""
-    unit = F.when(F.col("kind") == COUNT_PCT, "%").otherwise("")
-    word = F.when(F.col("kind") == COUNT_PCT, L.POINTS).otherwise(L.TEETH)
-    gap = F.col("value") - F.col("total_value")
-    better = F.when(higher_is_better(F.col("metric")), gap > 0).otherwise(gap < 0)
-    tone = F.when(F.abs(gap) >= L.MIN_GAP, F.when(better, "good").otherwise("bad")).otherwise("info")
-    shown_tone = F.when(F.col("base") < L.SMALL_BASE, "warn").otherwise(tone)
-    has = ~F.col("is_total") & F.col("value").isNotNull()
-    quality = F.col("kind") == QUALITY
-    place = {"item": F.col("row_label"), "item_ord": F.col("row_ord"), "order": 100}
-    return facts.withColumn("finding", F.coalesce(
-        _finding("I4", _tone(F.col("value")), _quality_row(facts), has & quality, **place),
-        _finding("I12", shown_tone, _metric_row(unit, word, tone), has & ~quality, **place),
-    ))
-
-
-def _table_facts(rows: DataFrame, profile: Profile) -> DataFrame:
-    """One row per (area, table): its total and the series of its groups in order."""
-    group = F.struct("row_ord", "value", _row_name(F.col("row_label"), profile).alias("name"))
-    total = F.struct("value", "base", "n", "metric", "top_cause", "top_problem")
-    small = F.col("base").between(1, L.SMALL_BASE - 1) & ~F.col("is_total")
-    small_text = _sentence(L.S_SMALL_ROW, _row_name(F.col("row_label"), profile), shown(F.col("base"), 0))
-    return rows.groupBy(*_KEYS).agg(
-        F.max(F.when(F.col("is_total"), total)).alias("t"),
-        F.array_sort(F.collect_list(
-            F.when(~F.col("is_total") & F.col("value").isNotNull(), group))).alias("series"),
-        F.array_sort(F.collect_list(F.when(small, F.struct("row_ord", small_text.alias("s"))))).alias("small"),
-        F.collect_list("finding").alias("row_findings"),
+    worded = _with_words(facts, profile).selectExpr("*", "IF(high, gap > 0, gap < 0) AS better")
+    tone = (f"CASE WHEN base < {L.SMALL_BASE} THEN 'warn' WHEN abs(gap) >= {L.MIN_GAP}D "
+            f"THEN IF(better, 'good', 'bad') ELSE 'info' END")
+    has = "NOT is_total AND value IS NOT NULL"
+    place = {"item": "row_label", "item_ord": "row_ord"}
+    quality = _finding("I4", 100, _tone("value"), _quality_line(), f"{has} AND kind = '{QUALITY}'", **place)
+    metric = _finding("I12", 100, tone, _metric_line(), f"{has} AND kind <> '{QUALITY}'", **place)
+    return worded.selectExpr("*", f"coalesce({quality}, {metric}) AS finding")
+
+
+def _table_facts(rows: DataFrame) -> DataFrame:
+    """One row per (area, table): its total, the series of its groups in order, and the
+    first, last, lowest and highest of them (the first wins a tie)."""
+    point = "struct(row_ord, value, name)"
+    small = sentence(L.S_SMALL_ROW, "name", shown("base", 0))
+    is_small = f"NOT is_total AND base > 0 AND base < {L.SMALL_BASE}"
+    has = "NOT is_total AND value IS NOT NULL"
+    grouped = rows.groupBy(*_KEYS).agg(
+        F.expr("max(IF(is_total, struct(value, base, n, metric, top_cause, top_problem, unit, word, high), NULL)) AS t"),
+        F.expr(f"array_sort(collect_list(IF({has}, {point}, NULL))) AS series"),
+        F.expr(f"min_by({point}, IF({has}, struct(value, row_ord), NULL)) AS lowest"),
+        F.expr(f"max_by({point}, IF({has}, struct(value, -row_ord), NULL)) AS highest"),
+        F.expr(f"array_sort(collect_list(IF({is_small}, struct(row_ord, {small} AS s), NULL))) AS small"),
+        F.expr("collect_list(finding) AS row_findings"),
     )
-
-
-def _steps(series: Column) -> Column:
-    """Adjacent pairs of a series with the change from one to the next."""
-    later = F.slice(series, F.lit(2), F.greatest(F.size(series) - 1, F.lit(0)))
-    return F.transform(later, lambda b, i: F.struct(
-        (b["value"] - F.get(series, i)["value"]).alias("value"),
-        b["row_ord"].alias("row_ord"),
-        F.get(series, i)["name"].alias("before"),
-        b["name"].alias("after"),
-    ))
-
-
-def _quality_summary() -> list[Column]:
-    t, series = F.col("t"), F.col("series")
-    quality = (F.col("kind") == QUALITY) & t.isNotNull()
-    failed = t["base"] - t["n"]
-    worst, best = _extreme(series, 1), _extreme(series, -1)
-    spread = best["value"] - worst["value"]
-    cause = t["top_cause"]
-    share = F.when(failed > 0, F.lit(100.0) * cause["n"] / failed)
+    steps = ("transform(slice(series, 2, greatest(size(series) - 1, 0)), (b, i) -> struct("
+             "b.value - get(series, i).value AS value, i AS i, get(series, i).name AS before, b.name AS after))")
+    return grouped.selectExpr(
+        *_KEYS, "t.*", "series", "lowest", "highest", "small", "row_findings",
+        "get(series, 0) AS first", "get(series, size(series) - 1) AS last", f"{steps} AS steps",
+    ).selectExpr(
+        "*", "last.value - first.value AS change",
+        "IF(high, lowest, highest) AS worst", "IF(high, highest, lowest) AS best",
+        "IF(high, array_min(steps), array_max(transform(steps, s -> "
+        "struct(s.value AS value, -s.i AS i, s.before AS before, s.after AS after)))) AS step",
+    ).selectExpr("*", "IF(high, change < 0, change > 0) AS worse", "IF(high, step.value < 0, step.value > 0) AS step_worse")
+
+
+def _quality_summary() -> list[str]:
+    quality = f"kind = '{QUALITY}'"
+    share = "100D * top_cause.n / nullif(base - n, 0)"
     return [
-        _finding("I1", _tone(F.coalesce(t["value"], F.lit(0.0))), _sentence(
-            L.S_QUALITY, shown(t["value"]), shown(t["n"], 0), shown(t["base"], 0), shown(failed, 0)),
-            quality, order=1),
-        _finding("I2", "warn", _sentence(
-            L.S_QUALITY_RANGE, worst["name"], shown(worst["value"]), best["name"],
-            shown(best["value"]), shown(spread, 1)),
-            quality & (spread >= L.MIN_GAP), order=2),
-        _finding("I3", "bad", F.concat(
-            _sentence(L.S_CAUSE, cause["metric"], shown(cause["n"], 0)),
-            F.when(share.isNotNull(), _sentence(L.S_CAUSE_SHARE, shown(share, 0))).otherwise(""),
-            F.lit(L.S_CAUSE_HINT)),
-            quality & cause.isNotNull(), order=3),
+        _finding("I1", 1, _tone("coalesce(value, 0D)"), sentence(
+            L.S_QUALITY, shown("value"), shown("n", 0), shown("base", 0), shown("base - n", 0)), quality),
+        _finding("I2", 2, "'warn'", sentence(
+            L.S_QUALITY_RANGE, "lowest.name", shown("lowest.value"), "highest.name", shown("highest.value"),
+            shown("highest.value - lowest.value", 1)),
+            f"{quality} AND highest.value - lowest.value >= {L.MIN_GAP}D"),
+        _finding("I3", 3, "'bad'",
+                 f"concat({sentence(L.S_CAUSE, 'top_cause.metric', shown('top_cause.n', 0))}, "
+                 f"IF(base > n, {sentence(L.S_CAUSE_SHARE, shown(share, 0))}, ''), {quoted(L.S_CAUSE_HINT)})",
+                 f"{quality} AND top_cause IS NOT NULL"),
     ]
 
 
-def _metric_summary() -> list[Column]:
-    t, series = F.col("t"), F.col("series")
-    metric = t["metric"]
-    high = higher_is_better(metric)
-    unit = F.when(F.col("kind") == COUNT_PCT, "%").otherwise("")
-    word = F.when(F.col("kind") == COUNT_PCT, L.POINTS).otherwise(L.TEETH)
-    told = (F.col("kind") != QUALITY) & (F.size(series) > 0)
-
-    first, last = F.get(series, F.lit(0)), F.get(series, F.size(series) - 1)
-    change = last["value"] - first["value"]
-    worse = F.when(high, change < 0).otherwise(change > 0)
-
-    lowest, highest = _extreme(series, 1), _extreme(series, -1)
-    worst, best = F.when(high, lowest).otherwise(highest), F.when(high, highest).otherwise(lowest)
-
-    steps = _steps(series)
-    step = F.when(high, _extreme(steps, 1)).otherwise(_extreme(steps, -1))
-    step_worse = F.when(high, step["value"] < 0).otherwise(step["value"] > 0)
-
-    top = t["top_problem"]
+def _metric_summary() -> list[str]:
+    told = f"kind <> '{QUALITY}' AND size(series) > 0"
     return [
-        _finding("I6", "info", _sentence(L.S_OVERALL, metric, shown(t["value"]), unit),
-                 told & t["value"].isNotNull(), order=1),
-        _finding("I7", F.when(worse, "bad").otherwise("good"), _sentence(
-            L.S_TREND, metric, shown(first["value"]), unit, first["name"],
-            shown(last["value"]), unit, last["name"],
-            F.when(change < 0, L.FELL).otherwise(L.ROSE), shown(F.abs(change), 1), word,
-            F.when(worse, L.OLDER_IS_WORSE).otherwise(L.OLDER_IS_BETTER)),
-            told & (F.abs(change) >= L.MIN_GAP), order=2),
-        _finding("I8", "warn", _sentence(
-            L.S_FOCUS, worst["name"], metric, shown(worst["value"]), unit,
-            F.when(high, L.LOWEST).otherwise(L.HIGHEST), best["name"], shown(best["value"]), unit),
-            told & (worst["row_ord"] != best["row_ord"]), order=3),
-        _finding("I9", "warn", _sentence(
-            L.S_STEP, step["before"], step["after"], shown(F.abs(step["value"]), 1), word),
-            told & (F.size(series) >= 3) & step_worse & (F.abs(step["value"]) >= L.MIN_GAP), order=4),
-        _finding("I10", "info", _sentence(L.S_TOP, top["metric"], shown(top["value"]), unit),
-                 told & top.isNotNull() & (top["metric"] != metric), order=5),
-        _finding("I11", "warn", F.concat(F.lit(L.S_SMALL), F.array_join(
-            F.transform(F.col("small"), lambda r: r["s"]), ", ")),
-            told & (F.size("small") > 0), order=6),
+        _finding("I6", 1, "'info'", sentence(L.S_OVERALL, "metric", shown("value"), "unit"),
+                 f"{told} AND value IS NOT NULL"),
+        _finding("I7", 2, "IF(worse, 'bad', 'good')", sentence(
+            L.S_TREND, "metric", shown("first.value"), "unit", "first.name", shown("last.value"), "unit",
+            "last.name", f"IF(change < 0, {quoted(L.FELL)}, {quoted(L.ROSE)})", shown("abs(change)", 1), "word",
+            f"IF(worse, {quoted(L.OLDER_IS_WORSE)}, {quoted(L.OLDER_IS_BETTER)})"),
+            f"{told} AND abs(change) >= {L.MIN_GAP}D"),
+        _finding("I8", 3, "'warn'", sentence(
+            L.S_FOCUS, "worst.name", "metric", shown("worst.value"), "unit",
+            f"IF(high, {quoted(L.LOWEST)}, {quoted(L.HIGHEST)})", "best.name", shown("best.value"), "unit"),
+            f"{told} AND worst.row_ord <> best.row_ord"),
+        _finding("I9", 4, "'warn'", sentence(
+            L.S_STEP, "step.before", "step.after", shown("abs(step.value)", 1), "word"),
+            f"{told} AND size(series) >= 3 AND step_worse AND abs(step.value) >= {L.MIN_GAP}D"),
+        _finding("I10", 5, "'info'", sentence(L.S_TOP, "top_problem.metric", shown("top_problem.value"), "unit"),
+                 f"{told} AND top_problem IS NOT NULL AND top_problem.metric <> metric"),
+        _finding("I11", 6, "'warn'", f"concat({quoted(L.S_SMALL)}, array_join(transform(small, r -> r.s), ', '))",
+                 f"{told} AND size(small) > 0"),
     ]
 
 
@@ -261,30 +209,27 @@ def findings(long: DataFrame, profile: Profile) -> DataFrame:
     Columns: area, table, ``code`` (which finding), ``item`` (the row, empty for a summary),
     ``tone`` and ``text``; ``seq`` and ``item_ord`` give the order within a table.
     """
-    rows = _row_findings(_row_facts(long, profile))
-    tables = _table_facts(rows, profile)
-    summary = F.array(*_quality_summary(), *_metric_summary())
-    every = F.concat(F.filter(summary, lambda f: f.isNotNull()), F.col("row_findings"))
-    return tables.select(*_KEYS, F.explode(every).alias("f")).select(*_KEYS, "f.*")
+    tables = _table_facts(_row_findings(_row_facts(long, profile), profile))
+    summary = ", ".join([*_quality_summary(), *_metric_summary()])
+    every = f"concat(filter(array({summary}), f -> f IS NOT NULL), row_findings)"
+    return tables.selectExpr(*_KEYS, f"explode({every}) AS f").selectExpr(*_KEYS, "f.*")
 
 
 def findings_table(found: DataFrame, profile: Profile, with_area: bool = False) -> DataFrame:
     """Findings as one flat table (table, level, item, status, text) in report order."""
-    if not profile.tables:
-        return found.sparkSession.range(0, 1, 1, 1).select(
-            *[F.lit("ไม่มีข้อสรุป" if k == "text" else "-").alias(title)
-              for k, title in L.FINDING_COLUMNS.items()])
-    head, level = F.lit(None).cast("string"), F.lit(L.SUMMARY_LEVEL)
-    for table in profile.tables:
-        mine = F.col("table_no") == table.no
-        head = F.when(mine, F.format_string(L.TABLE_HEAD, F.lit(table.no), F.lit(table.title))).otherwise(head)
-        level = F.when(mine & (F.col("item") != ""), F.lit(L.ROW_LABELS[table.row_kind])).otherwise(level)
-    status = F.lit("")
-    for tone, label in L.TONE_LABELS.items():
-        status = F.when(F.col("tone") == tone, label).otherwise(status)
     areas = ["level", *AREA_KEYS] if with_area else []
-    named = {"table": head, "level": level, "item": F.col("item"), "status": status, "text": F.col("text")}
-    return (
-        found.orderBy(*areas, "table_ord", "seq", "item_ord")
-        .select(*areas, *[named[k].alias(title) for k, title in L.FINDING_COLUMNS.items()])
-    )
+    titles = {k: column_name(v) for k, v in L.FINDING_COLUMNS.items()}
+    if not profile.tables:
+        empty = {k: "'-'" for k in titles} | {"text": quoted(L.NO_FINDINGS)}
+        return found.sparkSession.range(0, 1, 1, 1).selectExpr(*[f"{empty[k]} AS {t}" for k, t in titles.items()])
+    heads = {t.no: L.TABLE_HEAD % (t.no, t.title) for t in profile.tables}
+    rows = {t.no: L.ROW_LABELS[t.row_kind] for t in profile.tables}
+    shown_as = {
+        "table": labelled("table_no", heads),
+        "level": f"IF(item = '', {quoted(L.SUMMARY_LEVEL)}, {labelled('table_no', rows)})",
+        "item": "item",
+        "status": labelled("tone", L.TONE_LABELS, "''"),
+        "text": "text",
+    }
+    return found.orderBy(*areas, "table_ord", "seq", "item_ord").selectExpr(
+        *areas, *[f"{shown_as[k]} AS {t}" for k, t in titles.items()])

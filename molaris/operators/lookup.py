@@ -47,8 +47,8 @@ def conform_facilities(df: DataFrame, order: Column) -> DataFrame:
     keep = [c for c in FACILITY_COLUMNS if c in df.columns]
     cleaned = df.select(
         *[
-            text.strip(F.col(c)).alias(c) if c == "hoscode"
-            else text.drop_number_prefix(F.col(c)).alias(c) if c in PREFIXED_COLUMNS
+            F.expr(text.strip(c)).alias(c) if c == "hoscode"
+            else F.expr(text.drop_number_prefix(c)).alias(c) if c in PREFIXED_COLUMNS
             else F.col(c)
             for c in keep
         ],
@@ -59,10 +59,8 @@ def conform_facilities(df: DataFrame, order: Column) -> DataFrame:
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Measured check: do the rows and bytes of ``df`` stay under the broadcast bounds?"""
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns),
-                F.lit(0))
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"))
-    n, size_bytes = size.first()
+    width = " + ".join(f"coalesce(octet_length(CAST(`{c}` AS STRING)), 0)" for c in df.columns)
+    n, size_bytes = df.agg(F.expr("count(1)"), F.expr(f"coalesce(sum({width}), 0)")).first()
     return n <= BROADCAST_ROWS and size_bytes <= BROADCAST_BYTES
 
 
@@ -92,7 +90,7 @@ def attach_area(df: DataFrame, facilities: DataFrame, broadcast: bool | None = N
         "hoscode",
         *[F.col(c).alias(f"{c}_ref" if c in own else c) for c in facilities.columns if c != "hoscode"],
     )
-    out = left_lookup(df.withColumn("hoscode", text.strip(F.col("hoscode"))), dim, "hoscode", broadcast)
+    out = left_lookup(df.withColumn("hoscode", F.expr(text.strip("hoscode"))), dim, "hoscode", broadcast)
     fills = {}
     if "hosname_ref" in out.columns:
         fills["hosname"] = F.coalesce("hosname", "hosname_ref")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from molaris.functions.numeric import percent, ratio
+from molaris.functions.numeric import percent, ratio, round_half_even
+from molaris.functions.sql import name as column_name, quoted
 from molaris.operators.cells import AREA_KEYS, LEVELS, TOTAL, Measures, build_cells, report_rows
 from molaris.plans import labels as L
 from molaris.plans.rules import MEAN, QUALITY, Profile, Table
@@ -16,33 +17,32 @@ CHECK = "check"
 METRIC = "metric"
 
 
-def row_label(profile: Profile) -> Column:
+def row_label(profile: Profile) -> str:
     """Age, band label or the total label of a report row."""
-    label = F.when(F.col("row_kind") == TOTAL, F.lit(L.TOTAL_LABEL)).when(
-        F.col("row_kind") == "age", F.col("row_ord").cast("string"))
-    for i, band in enumerate(profile.bands):
-        label = label.when((F.col("row_kind") == "band") & (F.col("row_ord") == i), F.lit(band.label))
-    return label
+    bands = " ".join(f"WHEN row_kind = 'band' AND row_ord = {i} THEN {quoted(band.label)}"
+                     for i, band in enumerate(profile.bands))
+    return (f"CASE WHEN row_kind = '{TOTAL}' THEN {quoted(L.TOTAL_LABEL)} "
+            f"WHEN row_kind = 'age' THEN CAST(row_ord AS STRING) {bands} END")
 
 
-def _table_rows(rows: DataFrame, table: Table) -> Column:
-    return F.col("row_kind").isin(table.row_kind, TOTAL)
+def _shows(table: Table) -> str:
+    return f"row_kind IN ('{table.row_kind}', '{TOTAL}')"
 
 
-def _entries(profile: Profile, m: Measures) -> list[tuple[Table, int, str, str, str, str | None, str | None]]:
+def _figures(profile: Profile, m: Measures) -> list[tuple[Table, int, str, str, str, str, str]]:
     """(table, metric position, role, name, base, count, sum) of every figure in the report."""
     out = []
     for table in profile.tables:
         if table.kind == QUALITY:
-            out.append((table, 0, PASS, L.PASSED_LABEL, m.examined, m.qualified, None))
+            out.append((table, 0, PASS, L.PASSED_LABEL, m.examined, m.qualified, "NULL"))
             for i, check in enumerate(profile.quality_checks, start=1):
-                out.append((table, i, CHECK, check.name, m.applies(check), m.fails(check), None))
+                out.append((table, i, CHECK, check.name, m.applies(check), m.fails(check), "NULL"))
         else:
             for i, metric in enumerate(table.metrics):
-                is_mean = table.kind == MEAN
+                mean = table.kind == MEAN
                 out.append((table, i, METRIC, metric.name, m.base(table),
-                            None if is_mean else m.count(table, metric.rule),
-                            m.total(table, metric.rule) if is_mean else None))
+                            "NULL" if mean else m.count(table, metric.rule),
+                            m.total(table, metric.rule) if mean else "NULL"))
     return out
 
 
@@ -53,39 +53,26 @@ def long_report(rows: DataFrame, profile: Profile) -> DataFrame:
     table has its pass rate as metric 0 and its checks after it.
     """
     m = Measures(profile)
-    figures = [
-        F.when(
-            _table_rows(rows, table),
-            F.struct(
-                F.lit(profile.tables.index(table)).alias("table_ord"),
-                F.lit(table.no).alias("table_no"),
-                F.lit(table.kind).alias("kind"),
-                F.lit(role).alias("role"),
-                F.lit(i).alias("metric_ord"),
-                F.lit(name).alias("metric"),
-                F.lit(table.decimals).alias("decimals"),
-                F.col(base).alias("base"),
-                (F.col(count) if count else F.lit(None).cast("bigint")).alias("n"),
-                (F.col(total) if total else F.lit(None).cast("double")).alias("total"),
-            ),
-        )
-        for table, i, role, name, base, count, total in _entries(profile, m)
-    ]
-    value = F.lit(None).cast("double")
-    for places in sorted({t.decimals for t in profile.tables}):
-        rounded = F.when(F.col("kind") == MEAN, ratio(F.col("total"), F.col("base"), places)).otherwise(
-            percent(F.col("n"), F.col("base"), places))
-        value = F.when(F.col("decimals") == places, rounded).otherwise(value)
-    return (
-        rows.select("level", *AREA_KEYS, "row_kind", "row_ord", F.explode(F.array(*figures)).alias("f"))
-        .where(F.col("f").isNotNull())
-        .select("level", *AREA_KEYS, "row_kind", "row_ord", "f.*")
-        .select(
-            "level", *AREA_KEYS, "table_ord", "table_no", "kind", "row_ord",
-            row_label(profile).alias("row_label"),
-            (F.col("row_kind") == TOTAL).alias("is_total"),
-            "metric_ord", "role", "metric", "base", "n", "total", value.alias("value"),
-        )
+    figures = ", ".join(
+        f"IF({_shows(table)}, struct({profile.tables.index(table)} AS table_ord, {quoted(table.no)} AS table_no, "
+        f"'{table.kind}' AS kind, {i} AS metric_ord, '{role}' AS role, {quoted(name)} AS metric, "
+        f"{table.decimals} AS decimals, {base} AS base, CAST({count} AS BIGINT) AS n, "
+        f"CAST({total} AS DOUBLE) AS total), NULL)"
+        for table, i, role, name, base, count, total in _figures(profile, m)
+    )
+    places = sorted({t.decimals for t in profile.tables})
+    value = " ".join(f"WHEN {p} THEN {round_half_even('_x', p)}" for p in places)
+    figured = (
+        rows.selectExpr("level", *AREA_KEYS, "row_kind", "row_ord", f"explode(array({figures})) AS f")
+        .where("f IS NOT NULL")
+        .selectExpr("level", *AREA_KEYS, "row_kind", "row_ord", "f.*")
+    )
+    return figured.selectExpr(
+        "*", f"IF(kind = '{MEAN}', {ratio('total', 'base')}, {percent('n', 'base')}) AS _x",
+    ).selectExpr(
+        "level", *AREA_KEYS, "table_ord", "table_no", "kind", "row_ord",
+        f"{row_label(profile)} AS row_label", f"row_kind = '{TOTAL}' AS is_total",
+        "metric_ord", "role", "metric", "base", "n", "total", f"CASE decimals {value} END AS value",
     )
 
 
@@ -94,48 +81,44 @@ def report(df: DataFrame, profile: Profile, levels: Iterable[str] = ("all",)) ->
     return long_report(report_rows(build_cells(df, profile), profile, levels), profile)
 
 
-def row_position() -> list[Column]:
-    """Report order: groups in age or band order, the total last."""
-    return [F.col("row_kind") == TOTAL, F.col("row_ord")]
-
-
-def wide_columns(profile: Profile, no: str) -> list[Column]:
-    """The shown columns of one table with flat headings (``metric - part``)."""
+def _wide_columns(profile: Profile, table: Table) -> list[tuple[str, str, bool]]:
+    """(heading, expression, is a rounded figure) of the columns of one table."""
     m = Measures(profile)
-    table = profile.table(no)
-    d = table.decimals
-    columns = [row_label(profile).alias(L.ROW_LABELS[table.row_kind])]
+    columns = [(L.ROW_LABELS[table.row_kind], row_label(profile), False)]
     if table.kind == QUALITY:
-        columns += [
-            F.col(m.examined).alias(L.EXAMINED_LABEL),
-            F.col(m.qualified).alias(L.PASSED_LABEL),
-            percent(F.col(m.qualified), F.col(m.examined), d).alias(L.PERCENT_LABEL),
-        ]
+        columns += [(L.EXAMINED_LABEL, m.examined, False), (L.PASSED_LABEL, m.qualified, False),
+                    (L.PERCENT_LABEL, percent(m.qualified, m.examined), True)]
         for check in profile.quality_checks:
-            fails, base = F.col(m.fails(check)), F.col(m.applies(check))
-            columns += [fails.alias(L.FAILED_CHECK + check.name),
-                        percent(fails, base, d).alias(L.FAILED_CHECK_PERCENT + check.name)]
+            fails = m.fails(check)
+            columns += [(L.FAILED_CHECK + check.name, fails, False),
+                        (L.FAILED_CHECK_PERCENT + check.name, percent(fails, m.applies(check)), True)]
         return columns
-    base = F.col(m.base(table))
-    columns.append(base.alias(L.BASE_LABEL))
+    base = m.base(table)
+    columns.append((L.BASE_LABEL, base, False))
     for metric in table.metrics:
         if table.kind == MEAN:
-            columns.append(ratio(F.col(m.total(table, metric.rule)), base, d).alias(metric.name))
+            columns.append((metric.name, ratio(m.total(table, metric.rule), base), True))
         else:
-            hits = F.col(m.count(table, metric.rule))
-            columns += [hits.alias(f"{metric.name} - {L.COUNT_LABEL}"),
-                        percent(hits, base, d).alias(f"{metric.name} - {L.PERCENT_LABEL}")]
+            hits = m.count(table, metric.rule)
+            columns += [(f"{metric.name} - {L.COUNT_LABEL}", hits, False),
+                        (f"{metric.name} - {L.PERCENT_LABEL}", percent(hits, base), True)]
     return columns
 
 
 def wide_table(rows: DataFrame, profile: Profile, no: str, with_area: bool = False) -> DataFrame:
-    """One table as shown: a row per age or band, the total last. A projection, no pivot."""
+    """One table as shown: a row per age or band, the total last. A projection, no pivot.
+
+    Headings are flat (``metric - part``).
+    """
+    table = profile.table(no)
+    columns = _wide_columns(profile, table)
     areas = ["level", *AREA_KEYS] if with_area else []
-    return (
-        rows.where(_table_rows(rows, profile.table(no)))
-        .orderBy(*areas, *row_position())
-        .select(*areas, *wide_columns(profile, no))
-    )
+    shown = rows.where(_shows(table)).selectExpr(
+        *areas, f"row_kind = '{TOTAL}' AS _last", "row_ord AS _position",
+        *[f"{x} AS {column_name(title)}" for title, x, _ in columns])
+    final = [f"{round_half_even(column_name(t), table.decimals)} AS {column_name(t)}" if r else column_name(t)
+             for t, _, r in columns]
+    return shown.orderBy(*areas, "_last", "_position").selectExpr(*areas, *final)
 
 
-__all__ = ["LEVELS", "long_report", "report", "row_label", "wide_columns", "wide_table"]
+__all__ = ["LEVELS", "long_report", "report", "row_label", "wide_table"]

@@ -1,10 +1,14 @@
-"""Which rows count: area, scope of the report, quality, follow-up groups."""
+"""Which rows count: area, scope of the report, quality, follow-up groups.
+
+Predicates are SQL text, so they can be filters, flags or parts of an aggregate.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from molaris.functions.rules import met
+from molaris.functions.sql import quoted, quoted_list
 from molaris.plans.labels import NO_REASON, REASON_SEPARATOR
 from molaris.plans.rules import Check, Profile, Table
 
@@ -18,13 +22,10 @@ def filter_area(df: DataFrame, pv: str | None = None, amp: str | None = None,
     return df
 
 
-def in_scope(profile: Profile) -> Column:
+def in_scope(profile: Profile) -> str:
     """Examined, meets the row filter, age within the profile; never null."""
-    return (
-        F.coalesce(F.col("examined"), F.lit(False))
-        & met(profile.row_filter)
-        & F.coalesce(F.col("age").between(profile.age_min, profile.age_max), F.lit(False))
-    )
+    return (f"coalesce(examined AND age BETWEEN {profile.age_min} AND {profile.age_max}, false) "
+            f"AND {met(profile.row_filter)}")
 
 
 def scope(df: DataFrame, profile: Profile) -> DataFrame:
@@ -32,52 +33,52 @@ def scope(df: DataFrame, profile: Profile) -> DataFrame:
     return df.where(in_scope(profile))
 
 
-def qualified(profile: Profile) -> Column:
+def qualified(profile: Profile) -> str:
     """Base quality rule and the extra rules of the row's band.
 
     Three-valued on purpose: a row in no band that meets the base rule but not an extra
     rule is null, that is neither qualified nor failed.
     """
-    ok = met(profile.quality_filter)
+    parts = [met(profile.quality_filter)]
     if profile.bands:
-        for label, rule in profile.quality_extra:
-            ok = ok & (~(F.col("band") == label) | met(rule))
-    return ok
+        parts += [f"(NOT (band = {quoted(label)}) OR {met(rule)})" for label, rule in profile.quality_extra]
+    return "(" + " AND ".join(parts) + ")"
 
 
-def check_applies(profile: Profile, check: Check) -> Column:
+def check_applies(profile: Profile, check: Check) -> str:
     """Does the check concern this row? Checks without bands concern every row."""
     if not check.bands or not profile.bands:
-        return F.lit(True)
-    return F.coalesce(F.col("band").isin(*check.bands), F.lit(False))
+        return "true"
+    return f"coalesce(band IN {quoted_list(check.bands)}, false)"
 
 
-def check_failed(profile: Profile, check: Check) -> Column:
+def check_failed(profile: Profile, check: Check) -> str:
     """Applies and is not met; a null result counts as a failure."""
-    return check_applies(profile, check) & ~met(check.rule)
+    return f"({check_applies(profile, check)} AND NOT {met(check.rule)})"
 
 
-def denominator(profile: Profile, table: Table) -> Column:
+def denominator(profile: Profile, table: Table) -> str:
     """Rows of the scope that form the base of a table."""
     if table.denominator == "qualified":
         return qualified(profile)
     if table.denominator in ("examined", "all"):
-        return F.lit(True)
+        return "true"
     return met(table.denominator)
 
 
 def pending(df: DataFrame) -> DataFrame:
     """Not examined, whatever the age."""
-    return df.where(~F.coalesce(F.col("examined"), F.lit(False)))
+    return df.where("NOT coalesce(examined, false)")
 
 
 def failed(df: DataFrame, profile: Profile) -> DataFrame:
     """In scope, but not of the required quality."""
-    return scope(df, profile).where(~qualified(profile))
+    return scope(df, profile).where(f"NOT {qualified(profile)}")
 
 
-def fail_reason(profile: Profile) -> Column:
+def fail_reason(profile: Profile) -> str:
     """Names of the failed checks in check order; a fixed text when none failed."""
-    names = [F.when(check_failed(profile, c), F.lit(c.name)) for c in profile.quality_checks]
-    joined = F.concat_ws(REASON_SEPARATOR, *names) if names else F.lit("")
-    return F.when(joined != "", joined).otherwise(F.lit(NO_REASON))
+    names = [f"CASE WHEN {check_failed(profile, c)} THEN {quoted(c.name)} END"
+             for c in profile.quality_checks]
+    joined = f"concat_ws({', '.join([quoted(REASON_SEPARATOR), *names])})"
+    return f"coalesce(nullif({joined}, ''), {quoted(NO_REASON)})"

@@ -112,6 +112,7 @@ FINDING_COLUMNS = {"table": "ตาราง", "level": "ระดับ", "item
                    "status": "สถานะ", "text": "ข้อสรุป"}
 TABLE_HEAD = "ตารางที่ %s %s"
 SUMMARY_LEVEL = "ภาพรวม"
+NO_FINDINGS = "ไม่มีข้อสรุป"
 ROW_OF_AGE = "%s ปี"
 ROW_OF_BAND = "กลุ่ม %s ปี"
 POINTS, TEETH = "จุด", "ซี่"
