@@ -38,9 +38,15 @@ def register(name: str, f: Query) -> None:
 
 # Sources -----------------------------------------------------------------------------------
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def written_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The dirty records as a folder of files in three layouts."""
-    folder = new_folder(spark, "records")
+    """The dirty records as a folder of files in three layouts, written once per application."""
+    done = (spark.sparkContext.applicationId, sf_dir)
+    if done in _WRITTEN:
+        return _WRITTEN[done]
+    folder = _WRITTEN[done] = new_folder(spark, "records")
     raw = V.text_records(spark, sf_dir)
     pid = F.trim(F.translate("pid", " ", "")).cast("bigint")
 
@@ -173,12 +179,21 @@ register("j1_facility_lookup", _lookup(None))
 register("j1_facility_lookup_salted", _lookup(False))
 
 
+def cells_of(spark, sf, profile):
+    """Cells with the facility looked up after the sums."""
+    return build_cells(V.unattached(spark, sf, profile), profile, V.facilities(spark, sf))
+
+
+def long_of(spark, sf, profile, levels=("all",)):
+    return long_report(report_rows(cells_of(spark, sf, profile), profile, levels), profile)
+
+
 def school_long(spark, sf, levels=("all",)):
-    return report(V.prepared(spark, sf, SCHOOL_AGE), SCHOOL_AGE, levels)
+    return long_of(spark, sf, SCHOOL_AGE, levels)
 
 
 def preschool_long(spark, sf, levels=("all",)):
-    return report(V.prepared(spark, sf, PRESCHOOL), PRESCHOOL, levels)
+    return long_of(spark, sf, PRESCHOOL, levels)
 
 
 # Few records per age here, so the facility level shows empty groups.
@@ -326,7 +341,7 @@ def f8_reasons(spark, sf):
 # Aggregations ------------------------------------------------------------------------------
 
 def rows_of(spark, sf, profile, levels=("all",)):
-    return report_rows(build_cells(V.prepared(spark, sf, profile), profile), profile, levels)
+    return report_rows(cells_of(spark, sf, profile), profile, levels)
 
 
 def wide(profile, no):
@@ -390,8 +405,7 @@ HEADLINE = ["examined", "qualified", "qualified_pct", "hospitals", "districts",
 
 
 def headlines(profile, levels, columns):
-    return lambda spark, sf: areas.headline(
-        build_cells(V.prepared(spark, sf, profile), profile), profile, levels).select(*columns)
+    return lambda spark, sf: areas.headline(cells_of(spark, sf, profile), profile, levels).select(*columns)
 
 
 register("a6_headline", headlines(SCHOOL_AGE, ["all"], HEADLINE))
@@ -402,8 +416,7 @@ register("a7_reconcile", headlines(SCHOOL_AGE, ["all", "province"],
 
 
 def breakdowns(profile, by):
-    return lambda spark, sf: areas.breakdown(
-        build_cells(V.prepared(spark, sf, profile), profile), profile, by)
+    return lambda spark, sf: areas.breakdown(cells_of(spark, sf, profile), profile, by)
 
 
 register("a8_district_school_age", breakdowns(SCHOOL_AGE, "district"))
@@ -432,8 +445,7 @@ def a12_distinct(spark, sf):
 # Findings ----------------------------------------------------------------------------------
 
 def found(spark, sf, profile):
-    long = report(V.prepared(spark, sf, profile), profile, ["all", "district"])
-    return fnd.findings(long, profile).withColumn("profile", F.lit(profile.id))
+    return fnd.findings(long_of(spark, sf, profile, ["all", "district"]), profile).withColumn("profile", F.lit(profile.id))
 
 
 def finding(code):
@@ -524,8 +536,7 @@ def k2_breakdown_table(spark, sf):
 
 @query
 def k3_header_table(spark, sf):
-    cells = build_cells(V.prepared(spark, sf, SCHOOL_AGE), SCHOOL_AGE)
-    head = areas.headline(cells, SCHOOL_AGE, ["all", "district"])
+    head = areas.headline(cells_of(spark, sf, SCHOOL_AGE), SCHOOL_AGE, ["all", "district"])
     return export.header_table(head, SCHOOL_AGE, V.AS_OF).drop("hoscode")
 
 
@@ -540,7 +551,7 @@ def k4_csv(spark, sf):
 @query
 def k5_bundle(spark, sf):
     path = new_folder(spark, "bundle")
-    sinks.write_bundle(V.prepared(spark, sf, SCHOOL_AGE), SCHOOL_AGE, path, V.AS_OF)
+    sinks.write_bundle(cells_of(spark, sf, SCHOOL_AGE), SCHOOL_AGE, path, V.AS_OF)
     return sinks.read_part(spark, path, "table_5")
 
 

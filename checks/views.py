@@ -113,6 +113,11 @@ def prepared(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
     return prepare(attached(spark, sf_dir), profile)
 
 
+def unattached(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
+    """Derived records without the facility join."""
+    return prepare(records(spark, sf_dir), profile)
+
+
 def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records as dirty text: odd headers, padding, blanks, mixed date layouts."""
     odd = "(CAST(pid AS BIGINT) + CAST(substring_index(cid, '-', -1) AS BIGINT))"

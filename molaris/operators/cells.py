@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from molaris.functions.rules import Rule, amount, met
 from molaris.functions.sql import name as column_name
+from molaris.functions.text import strip
 from molaris.operators.derive import band_number
+from molaris.operators.lookup import attach_area
 from molaris.operators.scope import check_applies, check_failed, denominator, in_scope, qualified
 from molaris.plans.rules import COUNT_PCT, MEAN, QUALITY, Check, Profile, Table
 
@@ -107,27 +109,39 @@ def row_kinds(profile: Profile) -> set[str]:
     return {t.row_kind for t in profile.tables} - {"none"}
 
 
-def build_cells(df: DataFrame, profile: Profile) -> DataFrame:
+def build_cells(df: DataFrame, profile: Profile, facilities: DataFrame | None = None) -> DataFrame:
     """One row per (area names, facility, age or band) over the whole population.
 
     Rows out of scope keep a null age and band, so they count only towards totals.
+
+    Records that already carry their area need no ``facilities``. With them, the records are
+    summed by facility code first and only the cells are looked up, so the records are never
+    joined; use this when no rule of the profile names a facility column.
     """
     m = Measures(profile)
     kinds = row_kinds(profile)
     have = set(df.columns)
-    missing = [f"CAST(NULL AS STRING) AS {c}" for c in AREA_KEYS + NAME_KEYS if c not in have]
     date = "date_serv" if "date_serv" in have else "CAST(NULL AS TIMESTAMP_NTZ)"
     age = "CAST(age AS INT)" if "age" in kinds else "CAST(NULL AS INT)"
     band = band_number(profile) if "band" in kinds else "CAST(NULL AS INT)"
+    if facilities is not None:
+        df = df.withColumn("hoscode", F.expr(strip("hoscode")))
     flagged = m.flags(df).selectExpr(
-        "*", *missing,
+        "*",
         f"CASE WHEN _in_scope THEN {age} END AS _age",
         f"CASE WHEN _in_scope THEN {band} END AS _band",
         f"CASE WHEN _in_scope THEN {date} END AS _date",
     )
-    aggregates = [f"{a} AS {name}" for name, a in m.aggregates.items()]
-    return flagged.groupBy(*AREA_KEYS, *NAME_KEYS, "_age", "_band").agg(
-        *map(F.expr, aggregates), F.expr("min(_date) AS date_min"), F.expr("max(_date) AS date_max"))
+    keys = [c for c in AREA_KEYS + NAME_KEYS if c in have]
+    cells = flagged.groupBy(*keys, "_age", "_band").agg(
+        *[F.expr(f"{a} AS {name}") for name, a in m.aggregates.items()],
+        F.expr("min(_date) AS date_min"), F.expr("max(_date) AS date_max"))
+    if facilities is not None:
+        wanted = [c for c in facilities.columns if c in AREA_KEYS + NAME_KEYS]
+        cells = attach_area(cells, facilities.select(*wanted))
+    have = set(cells.columns)
+    missing = [f"CAST(NULL AS STRING) AS {c}" for c in AREA_KEYS + NAME_KEYS if c not in have]
+    return cells.selectExpr("*", *missing) if missing else cells
 
 
 def sum_measures(m: Measures) -> list[Column]:

@@ -76,9 +76,13 @@ def long_report(rows: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def report(df: DataFrame, profile: Profile, levels: Iterable[str] = ("all",)) -> DataFrame:
-    """All tables of a profile in long form, from prepared records, at the given levels."""
-    return long_report(report_rows(build_cells(df, profile), profile, levels), profile)
+def report(df: DataFrame, profile: Profile, levels: Iterable[str] = ("all",),
+           facilities: DataFrame | None = None) -> DataFrame:
+    """All tables of a profile in long form, from prepared records, at the given levels.
+
+    ``facilities`` as in ``build_cells``.
+    """
+    return long_report(report_rows(build_cells(df, profile, facilities), profile, levels), profile)
 
 
 def _wide_columns(profile: Profile, table: Table) -> list[tuple[str, str, bool]]:

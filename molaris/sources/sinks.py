@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from molaris.operators.areas import breakdown, headline
-from molaris.operators.cells import build_cells, report_rows
+from molaris.operators.cells import report_rows
 from molaris.operators.export import breakdown_table, header_table
 from molaris.operators.findings import findings, findings_table
 from molaris.operators.report import long_report, wide_table
@@ -20,16 +20,15 @@ def write_csv(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> Non
         "emptyValue", "").partitionBy(*partition_by).csv(path)
 
 
-def write_bundle(df: DataFrame, profile: Profile, path: str, as_of: str, fmt: str = "parquet",
+def write_bundle(cells: DataFrame, profile: Profile, path: str, as_of: str, fmt: str = "parquet",
                  levels: Iterable[str] = ("all",)) -> list[str]:
     """The whole report below ``path``: header, findings, breakdowns and each table.
 
-    The cells and the rolled-up rows are written first and read back, so the records are
+    ``cells`` come from ``build_cells``. They and the rolled-up rows are written first and read back, so the records are
     scanned once whatever the number of parts. Returns the names of the parts.
     """
-    spark: SparkSession = df.sparkSession
     levels = list(levels)
-    cells = _kept(build_cells(df, profile), f"{path}/cells")
+    cells = _kept(cells, f"{path}/cells")
     rows = _kept(report_rows(cells, profile, levels), f"{path}/rows")
     with_area = levels != ["all"]
     parts = {
