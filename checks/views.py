@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from molaris.operators.derive import prepare
 from molaris.operators.lookup import attach_area, conform_facilities
 from molaris.plans.rules import Profile
+from molaris.session import tune
 
 AS_OF = "2003-06-30"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _code(key: str) -> str:
@@ -132,10 +133,11 @@ def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                 f"WHEN 4 THEN 'NAN' WHEN 5 THEN '1,000' ELSE {dirty(f'CAST(CAST({c} AS INT) AS STRING)')} END")
 
     def time(c: str) -> str:
-        layout = ("CASE {pid} % 5 WHEN 0 THEN 'yyyyMMdd' WHEN 2 THEN 'yyyy-MM-dd HH:mm:ss' "
-                  "WHEN 3 THEN 'yyyyMMddHHmmss' ELSE 'yyyy-MM-dd' END").format(pid=pid)
+        shown = (f"CASE {pid} % 5 WHEN 0 THEN date_format({c}, 'yyyyMMdd') "
+                 f"WHEN 2 THEN date_format({c}, 'yyyy-MM-dd HH:mm:ss') "
+                 f"WHEN 3 THEN date_format({c}, 'yyyyMMddHHmmss') ELSE date_format({c}, 'yyyy-MM-dd') END")
         return (f"CASE {odd} % 31 WHEN 0 THEN '2001-02-30' WHEN 1 THEN '2545-01-15' WHEN 2 THEN '15/01/2001' "
-                f"WHEN 3 THEN 'null' ELSE {dirty(f'date_format({c}, {layout})')} END")
+                f"WHEN 3 THEN 'null' ELSE {dirty(shown)} END")
 
     def text(c: str) -> str:
         if c in NUMBER:

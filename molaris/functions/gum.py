@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from molaris.functions.sql import labelled
-from molaris.functions.text import strip
 
 # Sextant codes and their names.
 GUM_CODES = ["0", "1", "2", "3", "9"]
@@ -19,9 +18,10 @@ GUM_UNREADABLE = "999999"
 
 
 def normal_gum(c: str) -> str:
-    """A six-character code, the unreadable code for other text, null for blank."""
-    return (f"CASE WHEN length({strip(c)}) = {GUM_LENGTH} THEN {strip(c)} "
-            f"WHEN length({strip(c)}) > 0 THEN '{GUM_UNREADABLE}' END")
+    """Trimmed text to a six-character code: itself, the unreadable code for other text,
+    null for blank."""
+    return (f"CASE WHEN length({c}) = {GUM_LENGTH} THEN {c} "
+            f"WHEN length({c}) > 0 THEN '{GUM_UNREADABLE}' END")
 
 
 def sextants(gum: str, code: str) -> str:

@@ -19,43 +19,60 @@ LAST_VALID_TIME = "2262-04-11 23:47:16.854775"
 # Every character for which str.isspace() holds; plain trim() removes spaces only.
 _SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
-_INFINITIES = [s + w for s in ("", "+", "-") for w in ("inf", "infinity")]
-_COMPACT_TIME = r"^(\d{4})(\d{2})(\d{2})(?:(\d{2})(\d{2})(\d{2}))?$"
+_INFINITIES = [s + w for s in ("", "+", "-") for w in ("inf", "infinity", "Inf", "Infinity", "INF", "INFINITY")]
 _ISO_TIME = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
 
 
 def strip(c: str) -> str:
-    """Trim Unicode whitespace on both ends."""
-    return f"trim(BOTH {quoted(_SPACES)} FROM {c})"
+    """Trim Unicode whitespace on both ends.
+
+    Trimming a set of characters costs far more than a look at both ends, which settles
+    nearly every value.
+    """
+    spaces = quoted_list(_SPACES)
+    first = f"(({c} > ' ' AND {c} < '\u007f') OR substring({c}, 1, 1) NOT IN {spaces})"
+    last = f"substring({c}, -1, 1) NOT IN {spaces}"
+    return f"IF({first} AND {last}, {c}, trim(BOTH {quoted(_SPACES)} FROM {c}))"
+
+
+def trimmed_value(c: str) -> str:
+    """Trimmed text, null where the untrimmed text is a file reader's blank."""
+    return f"IF({c} IN {quoted_list(FILE_NULL_TOKENS)}, NULL, {strip(c)})"
 
 
-def blank_to_null(c: str) -> str:
-    """Trimmed text, null where the value is one of the blank tokens."""
-    return (f"CASE WHEN {c} NOT IN {quoted_list(FILE_NULL_TOKENS)} "
-            f"AND {strip(c)} NOT IN {quoted_list(NULL_TOKENS)} THEN {strip(c)} END")
+def known_value(c: str) -> str:
+    """Null where the trimmed text is a blank token."""
+    return f"IF({c} IN {quoted_list(NULL_TOKENS)}, NULL, {c})"
 
 
 def to_number(c: str) -> str:
-    """Text to double, null when it is not a plain number.
+    """Trimmed text to double, null when it is not a plain number.
 
     A cast alone would also take Java literals (``5d``, ``0x1p3``), so the text has to
     end like a decimal number and hold no ``x``.
     """
     last = f"substring({c}, -1, 1)"
-    return (f"CASE WHEN (({last} BETWEEN '0' AND '9' OR {last} = '.') AND NOT contains(lower({c}), 'x')) "
-            f"OR lower({c}) IN {quoted_list(_INFINITIES)} THEN try_cast({c} AS DOUBLE) END")
+    return (f"CASE WHEN ({last} BETWEEN '0' AND '9' OR {last} = '.') AND NOT contains({c}, 'x') "
+            f"AND NOT contains({c}, 'X') THEN try_cast({c} AS DOUBLE) "
+            f"WHEN {c} IN {quoted_list(_INFINITIES)} THEN try_cast({c} AS DOUBLE) END")
 
 
 def to_time(c: str) -> str:
-    """Text to timestamp without zone; null for anything but the four known layouts.
+    """Trimmed text to timestamp without zone; null for anything but the known layouts.
 
     Layouts: ``yyyy-MM-dd``, ``yyyyMMdd``, each with an optional time of day. The choice
     is made per value, so it does not depend on which row comes first.
     """
-    spread = f"trim(TRAILING ' :' FROM regexp_replace({c}, {quoted(_COMPACT_TIME)}, '$1-$2-$3 $4:$5:$6'))"
-    iso = (f"CASE WHEN {c} RLIKE {quoted(_ISO_TIME)} THEN {c} "
-           f"WHEN {c} RLIKE {quoted(_COMPACT_TIME)} THEN {spread} END")
-    return valid_time(f"try_cast({iso} AS TIMESTAMP_NTZ)")
+    def part(start: int, size: int) -> str:
+        return f"substring({c}, {start}, {size})"
+
+    day = f"{part(1, 4)}, '-', {part(5, 2)}, '-', {part(7, 2)}"
+    clock = f"' ', {part(9, 2)}, ':', {part(11, 2)}, ':', {part(13, 2)}"
+    digits = f"{c} RLIKE '^[0-9]+$'"
+    iso = (f"CASE length({c}) WHEN 8 THEN IF({digits}, concat({day}), NULL) "
+           f"WHEN 14 THEN IF({digits}, concat({day}, {clock}), NULL) "
+           f"ELSE IF({c} RLIKE {quoted(_ISO_TIME)}, {c}, NULL) END")
+    return f"try_cast({iso} AS TIMESTAMP_NTZ)"
 
 
 def valid_time(t: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from molaris.functions.dates import months_between, years_between
 from molaris.functions.gum import GUM_CODES, gum_label, gum_status, normal_gum, sextants
 from molaris.functions.sql import quoted
+from molaris.functions.text import strip
 from molaris.plans.rules import Profile
 
 PERMANENT_INDEX = ["pcaries", "pfilling", "pextract"]
@@ -46,7 +47,7 @@ def prepare(df: DataFrame, profile: Profile | None = None) -> DataFrame:
     added = {
         "age": years_between("birth", "date_serv") if dated else "CAST(NULL AS INT)",
         "examined": "date_serv IS NOT NULL" if "date_serv" in have else "false",
-        "_gum": normal_gum("gum") if "gum" in have else "CAST(NULL AS STRING)",
+        "_gum": strip("gum") if "gum" in have else "CAST(NULL AS STRING)",
     }
     if dated:
         added["age_month"] = months_between("birth", "date_serv")
@@ -55,6 +56,7 @@ def prepare(df: DataFrame, profile: Profile | None = None) -> DataFrame:
     if set(MILK_INDEX) <= have:
         added["dmft_d"] = index_sum(MILK_INDEX)
     first = df.selectExpr(*_kept(df, added), *_aliased(added))
+    first = first.selectExpr(*_kept(first, {"_gum": ""}), f"{normal_gum('_gum')} AS _gum")
 
     coded = {f"gum_sx_{code}": sextants("_gum", code) for code in GUM_CODES}
     coded["gum_status"] = gum_status("_gum")
