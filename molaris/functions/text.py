@@ -30,7 +30,7 @@ def strip(c: str) -> str:
     nearly every value.
     """
     spaces = quoted_list(_SPACES)
-    first = f"(({c} > ' ' AND {c} < '\u007f') OR substring({c}, 1, 1) NOT IN {spaces})"
+    first = f"(({c} >= '!' AND {c} < '\u007f') OR substring({c}, 1, 1) NOT IN {spaces})"
     last = f"substring({c}, -1, 1) NOT IN {spaces}"
     return f"IF({first} AND {last}, {c}, trim(BOTH {quoted(_SPACES)} FROM {c}))"
 
