@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import views as V
 from molaris.functions.numeric import percent, scaled_percent, with_rounded
 from molaris.functions.rules import amount, met
-from molaris.functions.text import drop_number_prefix, known_value, strip, trimmed_value
+from molaris.functions.text import blank_to_null, drop_number_prefix, strip
 from molaris.operators import areas, clean, export, findings as fnd, people, scope
 from molaris.operators.cells import LEVELS, build_cells, report_rows
 from molaris.operators.lookup import first_per_key
@@ -112,8 +112,7 @@ def n1_headers(spark, sf):
 @query
 def n2_null_tokens(spark, sf):
     df = V.text_records(spark, sf)
-    trimmed = df.selectExpr(f"{trimmed_value('` PTEETH`')} AS value")
-    return counted(trimmed.selectExpr(f"{known_value('value')} AS value"), "value")
+    return counted(df.selectExpr(f"{blank_to_null('` PTEETH`')} AS value"), "value")
 
 
 @query

@@ -23,46 +23,67 @@ _INFINITIES = [s + w for s in ("", "+", "-") for w in ("inf", "infinity", "Inf",
 _ISO_TIME = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
 
 
+_DECIMAL_END = quoted_list("0123456789.")
+
+
+def _ascii_start(c: str) -> str:
+    """Starts with a visible ASCII character; a plain comparison of bytes."""
+    return f"({c} >= '!' AND {c} < '\u007f')"
+
+
+def _clean_ends(c: str) -> str:
+    spaces = quoted_list(_SPACES)
+    return (f"({_ascii_start(c)} OR substring({c}, 1, 1) NOT IN {spaces}) "
+            f"AND substring({c}, -1, 1) NOT IN {spaces}")
+
+
+def _trim(c: str) -> str:
+    return f"trim(BOTH {quoted(_SPACES)} FROM {c})"
+
+
 def strip(c: str) -> str:
     """Trim Unicode whitespace on both ends.
 
     Trimming a set of characters costs far more than a look at both ends, which settles
     nearly every value.
     """
-    spaces = quoted_list(_SPACES)
-    first = f"(({c} >= '!' AND {c} < '\u007f') OR substring({c}, 1, 1) NOT IN {spaces})"
-    last = f"substring({c}, -1, 1) NOT IN {spaces}"
-    return f"IF({first} AND {last}, {c}, trim(BOTH {quoted(_SPACES)} FROM {c}))"
-
-
-def trimmed_value(c: str) -> str:
-    """Trimmed text, null where the untrimmed text is a file reader's blank."""
-    return f"IF({c} IN {quoted_list(FILE_NULL_TOKENS)}, NULL, {strip(c)})"
+    return f"IF({_clean_ends(c)}, {c}, {_trim(c)})"
 
 
-def known_value(c: str) -> str:
-    """Null where the trimmed text is a blank token."""
-    return f"IF({c} IN {quoted_list(NULL_TOKENS)}, NULL, {c})"
+def blank_to_null(c: str) -> str:
+    """Trimmed text, null where the value is one of the blank tokens."""
+    blanks = quoted_list(dict.fromkeys(FILE_NULL_TOKENS + NULL_TOKENS))
+    trimmed = f"IF({_trim(c)} IN {quoted_list(NULL_TOKENS)}, NULL, {_trim(c)})"
+    return f"IF({c} IN {blanks}, NULL, IF({_clean_ends(c)}, {c}, {trimmed}))"
 
 
 def to_number(c: str) -> str:
-    """Trimmed text to double, null when it is not a plain number.
+    """Text to double, null when it is not a plain number; outer whitespace does not count.
 
     A cast alone would also take Java literals (``5d``, ``0x1p3``), so the text has to
-    end like a decimal number and hold no ``x``.
+    end like a decimal number and hold no ``x``. No blank token is a number.
     """
-    last = f"substring({c}, -1, 1)"
-    return (f"CASE WHEN ({last} BETWEEN '0' AND '9' OR {last} = '.') AND NOT contains({c}, 'x') "
-            f"AND NOT contains({c}, 'X') THEN try_cast({c} AS DOUBLE) "
-            f"WHEN {c} IN {quoted_list(_INFINITIES)} THEN try_cast({c} AS DOUBLE) END")
+    def plain(t: str) -> str:
+        return f"substring({t}, -1, 1) IN {_DECIMAL_END} AND NOT contains({t}, 'x') AND NOT contains({t}, 'X')"
+
+    t = strip(c)
+    other = f"IF(({plain(t)}) OR {t} IN {quoted_list(_INFINITIES)}, try_cast({t} AS DOUBLE), NULL)"
+    return f"IF({_ascii_start(c)} AND {plain(c)}, try_cast({c} AS DOUBLE), {other})"
 
 
 def to_time(c: str) -> str:
-    """Trimmed text to timestamp without zone; null for anything but the known layouts.
+    """Text to timestamp without zone; null for anything but the known layouts and for
+    dates outside the valid window. Outer whitespace does not count.
 
     Layouts: ``yyyy-MM-dd``, ``yyyyMMdd``, each with an optional time of day. The choice
     is made per value, so it does not depend on which row comes first.
     """
+    clean = f"{_ascii_start(c)} AND substring({c}, -1, 1) IN {_DECIMAL_END}"
+    inside = f"substring({c}, 1, 4) BETWEEN '1678' AND '2261'"
+    return f"IF({clean} AND {inside}, {_parsed_time(c)}, {valid_time(_parsed_time(strip(c)))})"
+
+
+def _parsed_time(c: str) -> str:
     def part(start: int, size: int) -> str:
         return f"substring({c}, {start}, {size})"
 

@@ -32,41 +32,25 @@ def tidy_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
 
 
-def _typed(column: str, c: str, is_text: bool) -> str:
+def _clean(column: str, kind: str) -> str:
+    c = sql.name(column)
+    if column.startswith("_"):
+        return c
     if column in NUMERIC_COLUMNS:
-        return text.to_number(c) if is_text else f"nanvl(CAST({c} AS DOUBLE), NULL)"
+        return text.to_number(c) if kind == "string" else f"nanvl(CAST({c} AS DOUBLE), NULL)"
     if column in TIME_COLUMNS:
-        return text.to_time(c) if is_text else f"CAST({c} AS TIMESTAMP_NTZ)"
-    return text.known_value(c)
+        return text.to_time(c) if kind == "string" else text.valid_time(f"CAST({c} AS TIMESTAMP_NTZ)")
+    return text.blank_to_null(c if kind == "string" else f"CAST({c} AS STRING)")
 
 
 def conform(df: DataFrame) -> DataFrame:
     """Tidy headers, null the blank tokens, type the known columns, keep the rest as text.
 
     Text and typed columns are both accepted. Columns whose name starts with ``_`` are left
-    alone. Three narrow projections, so that no value is worked out twice: trim, type, and
-    the window of valid dates. (Blank tokens are neither numbers nor dates.)
+    alone. One narrow projection.
     """
     df = tidy_headers(df)
-    kinds = dict(df.dtypes)
-    typed_already = {c for c in kinds if kinds[c] != "string" and c in NUMERIC_COLUMNS + TIME_COLUMNS}
-    own = [c for c in kinds if not c.startswith("_")]
-
-    def trim(c: str) -> str:
-        if c not in own or c in typed_already:
-            return sql.name(c)
-        source = sql.name(c) if kinds[c] == "string" else f"CAST({sql.name(c)} AS STRING)"
-        return f"{text.trimmed_value(source)} AS {sql.name(c)}"
-
-    def types(c: str) -> str:
-        if c not in own:
-            return sql.name(c)
-        return f"{_typed(c, sql.name(c), c not in typed_already)} AS {sql.name(c)}"
-
-    def window(c: str) -> str:
-        return f"{text.valid_time(sql.name(c))} AS {sql.name(c)}" if c in TIME_COLUMNS else sql.name(c)
-
-    return df.selectExpr(*map(trim, kinds)).selectExpr(*map(types, kinds)).selectExpr(*map(window, kinds))
+    return df.selectExpr(*[f"{_clean(c, kind)} AS {sql.name(c)}" for c, kind in df.dtypes])
 
 
 def name_value(spec: NameColumn) -> str:
