@@ -1,4 +1,4 @@
-"""The registered queries over the given tables; SQL_TEXT has those that SQL can express."""
+"""The registered queries over the given tables; SQL_TEXT has the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molaris.llm import bpe
-from molaris.llm.common import table, vocabulary
+from molaris.llm import bpe, knn, lines, packing, quality, secrets, simhash, tokenfile, toxicity
+from molaris.llm.common import new_folder, table, tune, vocabulary
+
+
+def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every query (ids divisible by 20)."""
+    return knn.top_k(table(spark, sf_dir, "embeddings"), "id % 20 = 0", k=20, scale=64)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with the forest's verdict; values as digests."""
+    found, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +36,114 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, fp, component = simhash.near_duplicates(docs)
+    return found.select(
+        "doc_id", F.expr(f"lower(lpad(hex({fp}), 16, '0'))").alias("fingerprint"), F.col(component).alias("component_id"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document; labels are learnt from four fifths of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    rest = "crc32(CAST({} AS STRING)) % 5"
+    learn = docs.filter(f"{rest.format('doc_id')} <> 0").select(F.col("doc_id").alias("id"), "text")
+    known = labels.filter(f"{rest.format('doc_id')} <> 0").select(F.col("doc_id").alias("id"), "toxic")
+    model = toxicity.fit(learn, known)
+    scored = docs.select(
+        "doc_id", F.expr(f"coalesce({rest.format('doc_id')} = 0, false)").alias("held_out"),
+        toxicity.scored(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", F.expr("CAST(score >= 0.5 AS INT)"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all ids as directly addressable codes and read every document back."""
+    folder = new_folder(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
+    return tokenfile.documents(tokenfile.read(spark, folder))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place."""
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many are gone in how many runs, and a digest of what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, out = lines.deduplicated(docs)
+    return found.select(
+        "doc_id", F.col(f"{out}.n_lines").alias("n_lines"),
+        F.expr(f"CAST(size({out}.removed) AS BIGINT)").alias("n_removed"), F.col(f"{out}.n_runs").alias("n_runs"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found, q = quality.judged(docs)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
+    return found.select("doc_id", *[F.col(f"{q}.{n}").alias(n) for n in names])
+
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _tuned(query: Query) -> Query:
+    return lambda spark, sf_dir: query(tune(spark), sf_dir)
+
+
+_QUERIES: dict[str, Query] = {
+    "op1_voronoi_knn": op1_voronoi_knn,
+    "op2_secret_scan": op2_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op6_token_files": op6_token_files,
+    "op8_packing": op8_packing,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_quality": op10_quality,
 }
+QUERIES = {name: _tuned(query) for name, query in _QUERIES.items()}
 
-SQL_TEXT: dict[str, str] = {}
+SQL_TEXT: dict[str, str] = {
+    "op1_voronoi_knn": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false)))),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+        r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score
+            FROM s)
+        SELECT * FROM r WHERE rank <= 20""",
+    "op9_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, line, n,
+                   CASE WHEN regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')
+                        THEN row_number() OVER (PARTITION BY doc_id, regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') ORDER BY n) END AS at
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                         generate_subscripts(string_split(text, chr(10)), 1) AS n
+                  FROM documents)),
+        w AS (
+            SELECT doc_id, at, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c
+            FROM l WHERE at IS NOT NULL WINDOW d AS (PARTITION BY doc_id ORDER BY at)),
+        f AS (
+            SELECT doc_id, at, first_value(doc_id) OVER k AS fd, first_value(at) OVER k AS fa
+            FROM w WHERE c IS NOT NULL WINDOW k AS (PARTITION BY a, b, c ORDER BY doc_id, at)),
+        g AS (
+            SELECT DISTINCT doc_id, at + k AS at FROM f, (SELECT unnest([0, 1, 2]) AS k)
+            WHERE NOT (doc_id = fd AND at = fa)),
+        r AS (
+            SELECT l.doc_id, l.line, l.n, l.at, g.at IS NOT NULL AS gone,
+                   lag(g.at IS NOT NULL) OVER (PARTITION BY l.doc_id, l.at IS NOT NULL ORDER BY l.n) AS before
+            FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.at = g.at)
+        SELECT doc_id, count(at) AS n_lines, count(*) FILTER (gone) AS n_removed,
+               count(*) FILTER (gone AND NOT coalesce(before, false)) AS n_runs,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+        FROM r GROUP BY doc_id""",
+}
