@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Folder of the vocabulary files; a parameter of every operator that needs one.
 TOKENIZERS = "/opt/tokenizers"
 
+#: Folder of the package; on a cluster the package is installed at the same place or sent along.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 #: Texts are large and uneven, so tasks hand them to Python in small batches.
 SETTINGS = {
@@ -20,7 +23,8 @@ SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Session settings the operators run best with."""
+    """Session settings the operators run best with; Python workers find the package."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark

@@ -201,13 +201,14 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang", source: str =
     counts = counted(df, text, q)
     failed = F.expr(f"`{q}`.n_words < {MIN_WORDS} OR 100 * `{q}`.n_repeat_words > {MAX_REPEAT_PERCENT} * `{q}`.n_words")
     table = written(counts.withColumn(q, F.col(f"`{q}`").withField("base_failed", failed)), "counts")
+    # the row is kept in one column, so no name of its own can clash
     described = table.select(
-        "*", F.col(f"`{lang}`").cast("string").alias("_lang"), F.col(f"`{source}`").cast("string").alias("_source"),
-        *[x.alias(f"x{i}") for i, x in enumerate(statistics(q))])
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{q}`").alias("_counts"),
+        F.col(f"`{lang}`").cast("string").alias("_lang"), F.col(f"`{source}`").cast("string").alias("_source"),
+    ).select("*", *[x.alias(f"x{i}") for i, x in enumerate(statistics("_counts"))])
     columns = ["_lang", "_source", *[f"x{i}" for i in range(DIMS)]]
-    found, small = estimates(described.filter(f"NOT `{q}`.base_failed").select(*columns))
+    found, small = estimates(described.filter("NOT _counts.base_failed").select(*columns))
     placed = _distances(_joined(described, found, small))
-    kept = F.expr(f"NOT `{q}`.base_failed AND coalesce(d2 <= {CUTOFF}D, true)")
-    return placed.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        F.col(f"`{q}`").withField("distance", F.col("d2")).withField("kept", kept).alias(q)), q
+    kept = F.expr(f"NOT _counts.base_failed AND coalesce(d2 <= {CUTOFF}D, true)")
+    verdict = F.col("_counts").withField("distance", F.col("d2")).withField("kept", kept)
+    return placed.select("_row.*", verdict.alias(q)), q

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molaris.llm import bpe, knn, lines, packing, quality, secrets, simhash, tokenfile, toxicity
+from molaris.llm import bpe, knn, lines, packing, quality, secrets, simhash, suffix, tokenfile, toxicity
 from molaris.llm.common import new_folder, table, tune, vocabulary
 
 
@@ -38,10 +38,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, fp, component = simhash.near_duplicates(docs)
-    return found.select(
-        "doc_id", F.expr(f"lower(lpad(hex({fp}), 16, '0'))").alias("fingerprint"), F.col(component).alias("component_id"))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.expr("lower(lpad(hex(fp), 16, '0'))").alias("fingerprint"), "component_id")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +63,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.documents(tokenfile.read(spark, folder))
 
 
+def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document, what goes as a repeat of an earlier one, and a digest of what is left."""
+    found, out = suffix.repeats_removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = f"CAST(aggregate({out}.removed, 0L, (n, x) -> n + x.end - x.start) AS BIGINT)"
+    return found.select(
+        "doc_id", F.expr(f"length({out}.kept) + {gone}").alias("n_bytes"), F.expr(gone).alias("n_removed"),
+        F.expr(f"CAST(size({out}.removed) AS BIGINT)").alias("n_spans"), F.sha2(F.col(f"{out}.kept"), 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place."""
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -102,6 +109,7 @@ _QUERIES: dict[str, Query] = {
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
+    "op7_suffix_arrays": op7_suffix_arrays,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,

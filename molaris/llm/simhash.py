@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molaris.llm.common import free_name, written
+from molaris.llm.common import written
 from molaris.llm.components import connected
 
 SHINGLE = 4
@@ -226,27 +226,48 @@ def linked(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, component_id) from rows (doc_id, fp): the smallest doc_id that a fingerprint's links reach."""
+    """(fp, component_id, root) from rows (doc_id, fp): the smallest doc_id that a fingerprint's links reach, and a
+    fingerprint that stands for the component."""
     first = written(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "prints")
     root = connected(linked(first, max_bits), "a", "b").select(F.col("node").alias("fp"), "root")
     # few fingerprints have links; the others are alone
     placed = written(first.join(root, "fp"), "rooted")
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_linked = placed.join(smallest, "root").select("fp", "component_id")
-    return first.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_linked = placed.join(smallest, "root").select("fp", "component_id", "root")
+    return first.join(of_linked, "fp", "left").select(
+        "fp", F.expr("CASE WHEN root IS NULL THEN doc_id ELSE component_id END").alias("component_id"),
+        F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED,
     max_bits: int = MAX_BITS,
-) -> tuple[DataFrame, str, str]:
-    """The table with its fingerprint (long) and component id, and the names of the two columns.
+) -> DataFrame:
+    """(doc_id, fp, component_id, root) of every row; the texts themselves are not moved.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows stay; they share
     a component. A component all of whose ids are null has the id null.
     """
-    fp, component = free_name(df, "fingerprint"), free_name(df, "component_id")
-    rows = written(df.withColumn(fp, fingerprint(F.col(f"`{text}`"), shingle, seed)), "fingerprints")
-    of = components(rows.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{fp}`").alias("fp")), max_bits)
-    of = of.select(F.col("fp").alias("_fp"), F.col("component_id").alias(component))
-    return rows.join(of, F.col(f"`{fp}`") == F.col("_fp")).drop("_fp"), fp, component
+    rows = written(df.select(
+        F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), fingerprint(F.col(f"`{text}`"), shingle, seed).alias("fp")), "fingerprints")
+    return rows.join(components(rows, max_bits), "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def one_of_each(
+    df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED,
+    max_bits: int = MAX_BITS,
+) -> DataFrame:
+    """The rows of the smallest id of every component, equal rows of one id once.
+
+    Of a component all of whose ids are null, the row of one fingerprint with the smallest text stays.
+    """
+    found = written(near_duplicates(df, text, doc_id, shingle, seed, max_bits), "components")
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_s_doc")).distinct()
+    own = F.col(f"`{doc_id}`")
+    named = df.filter(own.isNotNull()).join(keep, own == F.col("_s_doc"), "left_semi").dropDuplicates([doc_id, text])
+    alone = found.filter("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("_s_fp"))
+    nameless = df.filter(own.isNull()).withColumn("_s_own", fingerprint(F.col(f"`{text}`"), shingle, seed))
+    # equal fingerprints of null ids may be different texts: the smallest text
+    rest = nameless.join(alone, F.col("_s_own") == F.col("_s_fp")).groupBy("_s_fp").agg(
+        F.expr(f"min_by(struct({', '.join(f'`{c}`' for c in df.columns)}), coalesce(`{text}`, ''))").alias("_s_row"))
+    return named.unionByName(rest.select("_s_row.*"))

@@ -34,9 +34,9 @@ FEATURES = 2_048
 MIN_TEXTS = 4
 BEGINNINGS = (4, 5, 6)
 MODELS = 3
-EPOCHS = 60
+EPOCHS = 100
 BATCH = 512
-RATE = 0.02
+RATE = 0.05
 DECAY = 2e-4
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -136,7 +136,7 @@ def fit(texts: DataFrame, labels: DataFrame) -> Classifier | None:
     counts = sample.select("kind", F.explode("f").alias("name")).groupBy("name").agg(
         F.sum(F.expr(f"int(kind = 0) / {totals[0]}D")).alias("p"), F.sum(F.expr(f"int(kind = 1) / {totals[1]}D")).alias("u"),
         F.count(F.lit(1)).alias("n"))
-    uneven = counts.filter(F.col("n") >= MIN_TEXTS).orderBy(F.expr("abs(p - u) / sqrt(p + u) DESC"), "name").limit(FEATURES)
+    uneven = counts.filter(F.col("n") >= MIN_TEXTS).orderBy(F.expr("abs(p - u) / sqrt(p + u)").desc(), "name").limit(FEATURES)
     names = [r["name"] for r in uneven.select("name").collect()]
     if not names:
         return None

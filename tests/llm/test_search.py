@@ -145,11 +145,19 @@ def test_chains_and_crowds(spark, monkeypatch):
 
 def test_simhash_odd_rows(odd, none):
     rows = [(r.doc_id, plain_print(r.text)) for r in odd.collect()]
-    found, fp, component = simhash.near_duplicates(odd)
-    assert {"fingerprint", "component_id"} <= set(odd.columns) <= set(found.columns)
-    got = [(r["doc_id"], r[fp] % (1 << 64), r[component]) for r in found.collect()]
+    got = [(r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(odd).collect()]
     assert sorted(got, key=key) == sorted(plain_components(rows), key=key)
-    assert simhash.near_duplicates(none)[0].count() == 0
+    assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
+
+
+def test_one_of_each(spark, odd):
+    kept = simhash.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {
+        (1, ""), (None, "null id text"), (4, "a b c d e")} | {(r.doc_id, r.text) for r in odd.collect() if r.doc_id in (6, 7, 8)}
+    assert kept.count() == 6
+    df = spark.createDataFrame([(None, "x y"), (None, "x  y"), (None, "x y"), (None, "other")], "doc_id bigint, text string")
+    assert sorted(r.text for r in simhash.one_of_each(df).collect()) == ["other", "x  y"]
 
 
 def test_components(spark):
