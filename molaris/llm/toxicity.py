@@ -1,9 +1,9 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Positives are texts confirmed as toxic; all other texts used for training are unlabelled, toxic ones among
-them. With prior p (the share of toxic texts among the labelled ones) and logistic loss, the risk is
+Positives are texts confirmed as toxic; all texts used for training are unlabelled as well, toxic ones among
+them. With prior p (the share of toxic texts among the labelled ones) and sigmoid loss, the risk is
 ``p * loss(P, 1) + max(0, loss(U, 0) - p * loss(P, 0))``: the part in brackets estimates the risk on the
-negatives, and a step that drives it below zero is turned round. A few linear classifiers with different
+negatives, and a step from where it is below zero is turned round. A few linear classifiers with different
 batches are trained in numpy on presence features and averaged.
 
 Features are words (runs of letters, lower case) and their beginnings of 4 to 6 letters. Those most unevenly
@@ -29,15 +29,15 @@ from molaris.llm.common import written
 
 MAX_POSITIVE = 2_000
 MAX_UNLABELLED = 6_000
-FEATURES = 2_048
+FEATURES = 512
 #: A feature must stand in so many training texts.
 MIN_TEXTS = 4
 BEGINNINGS = (4, 5, 6)
 MODELS = 3
-EPOCHS = 100
+EPOCHS = 60
 BATCH = 512
 RATE = 0.05
-DECAY = 2e-4
+DECAY = 1e-4
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -71,41 +71,41 @@ class Classifier:
         return score
 
 
-def nn_pu(x: np.ndarray, positive: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
-    """Weights and bias; x holds a row of 0 and 1 per text, all of them unlabelled, ``positive`` marks the confirmed."""
+def nn_pu(x: np.ndarray, width: int, positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
+    """Weights and bias. x holds the features of a text in a row, filled up with ``width``; positive and unlabelled
+    are the rows of the confirmed and of all texts."""
     rng = np.random.default_rng(seed)
-    p_rows, u_rows = np.flatnonzero(positive[0]), np.flatnonzero(positive[1])
-    w = np.zeros(x.shape[1] + 1)
+    w = np.zeros(width + 2)  # the last but one, of the filling, stays 0; the last is the bias
     w[-1] = np.log(prior / (1 - prior))
     first, second, step = np.zeros_like(w), np.zeros_like(w), 0
 
-    def sigmoid(z):
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    def margin(rows):
+        return w[x[rows]].sum(axis=1) + w[-1]
 
     def gradient(rows, slope):
-        part = x[rows]
-        return np.append(part.T @ slope, slope.sum()) / len(rows)
+        g = np.bincount(x[rows].ravel(), np.repeat(slope, x.shape[1]), width + 2)
+        g[-2:] = 0, slope.sum()
+        return g / len(rows)
+
+    def sigmoid(z):
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
     for _ in range(EPOCHS):
-        order = rng.permutation(u_rows)
+        order = rng.permutation(unlabelled)
         for at in range(0, len(order), BATCH):
             u = order[at:at + BATCH]
-            p = rng.choice(p_rows, min(BATCH // 2, len(p_rows)), replace=False)
-            mp, mu = x[p] @ w[:-1] + w[-1], x[u] @ w[:-1] + w[-1]
-            # gradients of log(1 + exp(-z)) and log(1 + exp(z))
-            as_negative_p = gradient(p, sigmoid(mp))
-            negative_risk = np.logaddexp(0, mu).mean() - prior * np.logaddexp(0, mp).mean()
-            g_negative = gradient(u, sigmoid(mu)) - prior * as_negative_p
-            if negative_risk >= 0:
-                g = prior * gradient(p, sigmoid(mp) - 1) + g_negative
-            else:
-                g = -g_negative
+            p = rng.choice(positive, min(BATCH, len(positive)), replace=False)
+            sp, su = sigmoid(margin(p)), sigmoid(margin(u))
+            # the loss of calling m positive is sigmoid(m), of calling it negative sigmoid(-m)
+            slope_p, slope_u = gradient(p, sp * (1 - sp)), gradient(u, su * (1 - su))
+            g = slope_u - prior * slope_p
+            g = g - prior * slope_p if su.mean() >= prior * sp.mean() else -g
             g[:-1] += DECAY * w[:-1]
             step += 1
             first = 0.9 * first + 0.1 * g
             second = 0.999 * second + 0.001 * g * g
             w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return w[:-1], float(w[-1])
+    return w[:-2], float(w[-1])
 
 
 def _first_ids(rows: DataFrame, n: int) -> DataFrame:
@@ -144,12 +144,13 @@ def fit(texts: DataFrame, labels: DataFrame) -> Classifier | None:
     sparse = sample.select("id", "kind", F.explode_outer("f").alias("name")).join(at, "name", "left").groupBy("id", "kind").agg(
         F.sort_array(F.collect_set("at")).alias("at")).orderBy("id", "kind")
     rows = sparse.select("kind", "at").collect()  # bounded by the sample and the features
-    x = np.zeros((len(rows), len(names)), dtype=np.float32)
+    x = np.full((len(rows), max(1, *(len(r["at"]) for r in rows))), len(names))
     for i, r in enumerate(rows):
-        x[i, r["at"]] = 1
+        x[i, : len(r["at"])] = r["at"]
     kinds = np.array([r["kind"] for r in rows])
     prior = min(max(float(share), 1e-4), 0.9)
-    fitted = [nn_pu(x, (kinds == 0, kinds == 1), prior, seed) for seed in range(MODELS)]
+    p, u = np.flatnonzero(kinds == 0), np.flatnonzero(kinds == 1)
+    fitted = [nn_pu(x, len(names), p, u, prior, seed) for seed in range(MODELS)]
     return Classifier(names, np.stack([w for w, _ in fitted], axis=1), np.array([b for _, b in fitted]))
 
 
