@@ -7,8 +7,9 @@ Sorting all suffixes of a corpus would ship every position with its bytes. So sh
 1. Winnowing. Among the q-grams of each string of LENGTH bytes the one with the smallest hash is its anchor, which
    equal strings share. A run of neighbouring strings with one anchor is its context, at most
    ``2 * LENGTH - Q`` bytes. Contexts are dealt by anchor hash, as packed columns, copies within a task once.
-   Where all documents have the same context for an anchor, the later ones lose it whole. An anchor in one
-   document only cannot repeat. What remains are anchors with different contexts in several documents.
+   Of equal contexts all but those of the smallest document go whole. Different contexts of one anchor can share a
+   string only if its 16 bytes before or its 16 bytes after the anchor are equal in two documents, as at least
+   ``LENGTH - Q`` bytes must be equal besides the anchor; hashes of both tell. Such contexts remain.
 2. Suffix arrays. These contexts, each distinct one once, are laid out in shards of ``SHARD`` bytes in order of
    (anchor, document). A shard's suffixes are sorted by Larsson-Sadakane refinement (8 bytes first, then
    doubling, groups of one left alone), Kasai's recurrence gives common prefixes, and neighbours that share
@@ -40,7 +41,7 @@ LENGTH = 50
 Q = 16
 SHARD = 1 << 20
 CROWD = 4096
-#: Bytes of text that are hashed together, anchors that are dealt together, and text per bucket of anchors.
+#: Bytes of text that are hashed together, anchors that are dealt at once, and text per bucket of anchors.
 TOGETHER = 1 << 22
 ANCHORS = 1 << 20
 BUCKET_TEXT = 1 << 22
@@ -56,7 +57,11 @@ _POSITION = 24
 
 def _words(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on as one number."""
-    return np.lib.stride_tricks.sliding_window_view(data, 8).copy().view("<u8").ravel()
+    raw, n = data.tobytes(), len(data) - 7
+    out = np.empty(n, dtype=np.uint64)
+    for k in range(8):
+        out[k::8] = np.frombuffer(raw, "<u8", len(range(k, n, 8)), k)
+    return out
 
 
 def q_hashes(data: np.ndarray) -> np.ndarray:
@@ -80,25 +85,30 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: bytes, starts: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text, start in it, number of starts, anchor hash) of every context of the texts laid out in data.
+    """(text, start in it, number of starts, anchor hash, hash before, hash after) of every context of the texts laid
+    out in data, which holds fewer than 2^24 bytes, and at least 32 more than the texts.
 
-    data holds fewer than 2^24 bytes, and at least 16 more than the texts.
+    The hashes of the Q bytes before and after the anchor have 16 bits, and are 0 where a text has fewer bytes.
     """
-    raw = np.frombuffer(data, np.uint8)
-    at = np.arange(len(raw) - 15, dtype=np.uint64)
-    ranked = (q_hashes(raw) >> np.uint64(_POSITION) << np.uint64(_POSITION)) | at
-    low = sliding_min(ranked, length - Q + 1)
+    hashes = q_hashes(np.frombuffer(data, np.uint8))
+    at = np.arange(len(hashes), dtype=np.uint64)
+    low = sliding_min((hashes >> np.uint64(_POSITION) << np.uint64(_POSITION)) | at, length - Q + 1)
     fits = np.flatnonzero(sizes >= length)
     n = sizes[fits] - length + 1
     text = np.repeat(fits, n)
-    first = np.cumsum(n) - n
-    begin = np.arange(n.sum()) - np.repeat(first, n)
+    begin = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     chosen = low[np.repeat(starts[fits], n) + begin]
     new = np.ones(len(chosen), dtype=bool)
     new[1:] = (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(chosen)))
-    return text[head], begin[head], count, chosen[head] >> np.uint64(_POSITION)
+    text, chosen = text[head], chosen[head]
+    place = (chosen & np.uint64((1 << _POSITION) - 1)).astype(np.int64)
+    sides = []
+    for side, whole in ((place - Q, place - Q >= starts[text]), (place + Q, place + 2 * Q <= starts[text] + sizes[text])):
+        some = hashes[np.where(whole, side, 0)] >> np.uint64(48)
+        sides.append(np.where(whole, np.maximum(some, 1), 0).astype(np.uint16))
+    return text, begin[head], count, chosen >> np.uint64(_POSITION), *sides
 
 
 def digest(data) -> int:
@@ -107,15 +117,17 @@ def digest(data) -> int:
 
 # packed columns
 
-_COLUMNS = (("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("n", "u1"))
+_COLUMNS = (("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("n", "u1"), ("before", "<u2"), ("after", "<u2"))
 
 
-def packed(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, press) -> bytes:
+def packed(columns: list[np.ndarray], press) -> bytes:
     """Columns of the same length, in order of (doc, at); differences press better."""
-    order = np.lexsort((at, doc))
-    columns = [key[order], ctx[order], np.diff(doc[order], prepend=0), np.diff(at[order], prepend=0), n[order]]
-    body = b"".join(_planes(c.astype(kind)) for c, (_, kind) in zip(columns, _COLUMNS))
-    return struct.pack("<Q", len(key)) + press.compress(body)
+    order = np.lexsort((columns[3], columns[2]))
+    body = []
+    for c, (name, kind) in zip(columns, _COLUMNS):
+        c = np.diff(c[order], prepend=0) if name in ("doc", "at") else c[order]
+        body.append(_planes(c.astype(kind)))
+    return struct.pack("<Q", len(order)) + press.compress(b"".join(body))
 
 
 def _planes(column: np.ndarray) -> bytes:
@@ -139,7 +151,7 @@ def _dealt(columns: list[np.ndarray], buckets: int, press) -> pa.RecordBatch:
     bucket = (columns[0] % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     names, head = np.unique(bucket[order], return_index=True)
-    blobs = [packed(*[c[rows] for c in columns], press) for rows in np.split(order, head[1:])] if len(order) else []
+    blobs = [packed([c[rows] for c in columns], press) for rows in np.split(order, head[1:])] if len(order) else []
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
@@ -171,16 +183,24 @@ def _span_rows(doc, at, n, seen, key, kind) -> pa.RecordBatch:
         pa.array(key.view(np.int64), pa.int64()), pa.array(kind, pa.int32())], names=["doc", "at", "n", "seen", "key", "kind"])
 
 
-def _anchor_columns(parts: list[tuple[int, int, bytes]], length: int) -> list[np.ndarray]:
+def _anchor_columns(parts: list[tuple[int, int, bytes]], length: int, repeated: bool) -> list[np.ndarray]:
+    """Columns of the anchors of some parts of texts; if ``repeated``, only of those that come several times."""
     docs, places, texts = zip(*parts)
-    data = bytes([_GAP]).join(texts) + bytes([_GAP]) * 24
+    data = bytes([_GAP]).join(texts) + bytes([_GAP]) * 40
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.cumsum(sizes + 1) - sizes - 1
-    text, at, n, key = anchors(data, starts, sizes, length)
+    found = anchors(data, starts, sizes, length)
+    if repeated:
+        order = np.argsort(found[3], kind="stable")
+        alike = np.flatnonzero(found[3][order][1:] == found[3][order][:-1])
+        some = order[np.union1d(alike, alike + 1)]
+        found = tuple(c[some] for c in found)
+    text, at, n, key, before, after = found
     begin = starts[text] + at
     spans = zip(begin.tolist(), (begin + n + length - 1).tolist())
-    ctx = np.fromiter((digest(data[a:b]) for a, b in spans), np.uint64, len(begin))
-    return [key, ctx, np.array(docs, np.int64)[text], np.array(places, np.int64)[text] + at, n.astype(np.uint8)]
+    of = xxhash.xxh3_64_intdigest
+    ctx = np.fromiter((of(data[a:b]) for a, b in spans), np.uint64, len(begin))
+    return [key, ctx, np.array(docs, np.int64)[text], np.array(places, np.int64)[text] + at, n.astype(np.uint8), before, after]
 
 
 def _parts(doc: int, text: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
@@ -189,43 +209,50 @@ def _parts(doc: int, text: bytes, length: int) -> Iterator[tuple[int, int, bytes
         yield doc, at, text[at:at + TOGETHER + length - 1]
 
 
-def _hashed_together(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[np.ndarray]]:
-    """Anchor columns of some texts at a time."""
+def _together(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Some parts of texts at a time, in the same way each time."""
     some, size = [], 0
     for batch in batches:
         for doc, text in zip(batch.column(0), batch.column(1)):
             for part in _parts(doc.as_py(), text.as_py(), length):
                 if some and size + len(part[2]) > TOGETHER:
-                    yield _anchor_columns(some, length)
+                    yield some
                     some, size = [], 0
                 some.append(part)
                 size += len(part[2]) + 1
     if some:
-        yield _anchor_columns(some, length)
-
+        yield some
 
-def _screened(buckets: int, length: int, local: bool):
-    """Anchors of a task in buckets; or, if local, the spans that its own copies decide."""
 
-    def flush(held: list[list[np.ndarray]], press) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*held)]
-        order, first = _first_copies(columns)
-        if local:
-            key, ctx, doc, at, n = (c[order[~first]] for c in columns)
-            return _span_rows(doc, at, n.astype(np.int32), ctx, key, np.full(len(doc), GONE, np.int32))
-        return _dealt([c[order[first]] for c in columns], buckets, press)
+def _screened(buckets: int, length: int):
+    """Anchors of a task in buckets, the first copies of those that are worked on together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         held, size = [], 0
-        for columns in _hashed_together(batches, length):
-            held.append(columns)
-            size += len(columns[0])
+        for some in _together(batches, length):
+            columns = _anchor_columns(some, length, False)
+            order, first = _first_copies(columns)
+            held.append([c[order[first]] for c in columns])
+            size += len(held[-1][0])
             if size >= ANCHORS:
-                yield flush(held, press)
+                yield _dealt([np.concatenate(c) for c in zip(*held)], buckets, press)
                 held, size = [], 0
         if held:
-            yield flush(held, press)
+            yield _dealt([np.concatenate(c) for c in zip(*held)], buckets, press)
+
+    return run
+
+
+def _own_copies(length: int):
+    """The spans that the copies left out by ``_screened`` lose."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _together(batches, length):
+            columns = _anchor_columns(some, length, True)
+            order, first = _first_copies(columns)
+            key, ctx, doc, at, n, *_ = (c[order[~first]] for c in columns)
+            yield _span_rows(doc, at, n.astype(np.int32), ctx, key, np.full(len(doc), GONE, np.int32))
 
     return run
 
@@ -236,12 +263,22 @@ def _met(crowd: int):
     def solve(blobs: list[bytes], press) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*(unpacked(b, press) for b in blobs))]
         order, first = _first_copies(columns)
-        key, ctx, doc, at, n = (c[order] for c in columns)
+        key, ctx, doc, at, n, before, after = (c[order] for c in columns)
         by_key, by_ctx = _groups(key), _groups(key, ctx)
         head = np.flatnonzero(np.diff(by_key, prepend=-1))
         contexts = np.diff(np.append(by_ctx[head], by_ctx[-1] + 1))
-        several = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
-        open_ = first & ((contexts > 1) & several)[by_key]
+        open_ = np.zeros(len(key), dtype=bool)
+        # different contexts with a side in common, in several documents
+        some = np.flatnonzero(first & (contexts > 1)[by_key])
+        for side in (before, after):
+            mine = some[side[some] > 0]
+            mine = mine[np.lexsort((doc[mine], side[mine], key[mine]))]
+            if len(mine):
+                group = _groups(key[mine], side[mine])
+                top = np.flatnonzero(np.diff(group, prepend=-1))
+                last = np.append(top[1:], len(mine)) - 1
+                several = (doc[mine[top]] != doc[mine[last]]) & (np.maximum.reduceat(by_ctx[mine], top) != np.minimum.reduceat(by_ctx[mine], top))
+                open_[mine] |= several[group]
         kind = np.where(contexts[by_key] > crowd, CROWDED, SHARDED)
         take = ~first | open_
         return _span_rows(doc[take], at[take], n[take].astype(np.int32), ctx[take], key[take],
@@ -417,7 +454,7 @@ def _strings(buckets: int, length: int):
             ctx = np.fromiter(map(digest, strings), np.uint64, len(strings))
             key = np.fromiter((xxhash.xxh64_intdigest(s) for s in strings), np.uint64, len(strings))
             columns = [key, ctx, np.repeat(np.array(docs, np.int64), n), np.repeat(np.array(ats, np.int64), n) + begin,
-                       np.ones(len(strings), np.uint8)]
+                       np.ones(len(strings), np.uint8), *[np.zeros(len(strings), np.uint16)] * 2]
             yield _dealt(columns, buckets, press)
 
     return run
@@ -426,21 +463,30 @@ def _strings(buckets: int, length: int):
 # tables
 
 
-def _cut_out(text: Column, spans: Column, length: int, wanted: int) -> Column:
-    """Contexts of the wanted spans that stand in the text as they were seen."""
+def _signed(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
+
+
+def _cut_out(text: Column, spans: Column, length: int) -> Column:
+    """The spans that stand in the text as they were seen, with their bytes."""
 
     @F.arrow_udf("array<struct<key:bigint,at:bigint,n:int,raw:binary,kind:int>>")
     def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
-        for t, s in zip(texts, lists):
-            raw, rows = t.as_py(), []
-            for x in s.as_py():
-                part = raw[x["at"]:x["at"] + x["n"] + length - 1]
-                if np.uint64(digest(part)).view(np.int64) == x["seen"]:
-                    rows.append({"key": x["key"], "at": x["at"], "n": x["n"], "raw": part, "kind": x["kind"]})
-            out.append(rows)
-        kinds = [("key", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("raw", pa.binary()), ("kind", pa.int32())]
-        return pa.array(out, pa.list_(pa.struct(kinds)))
+        flat, sizes = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+        at, n, seen = (flat.field(f).to_pylist() for f in ("at", "n", "seen"))
+        raws, kept, first, ends = [], [], 0, [0]
+        for t, size in zip(texts, sizes.tolist()):
+            raw = t.as_py()
+            for k in range(first, first + size):
+                part = raw[at[k]:at[k] + n[k] + length - 1]
+                if _signed(digest(part)) == seen[k]:
+                    raws.append(part)
+                    kept.append(k)
+            first += size
+            ends.append(len(kept))
+        rows = flat.take(pa.array(kept, pa.int64()))
+        columns = [rows.field("key"), rows.field("at"), rows.field("n"), pa.array(raws, pa.binary()), rows.field("kind")]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["key", "at", "n", "raw", "kind"]))
 
     return cut(text, spans)
 
@@ -450,17 +496,22 @@ def _kept(text: Column, spans: Column, length: int) -> Column:
 
     @F.arrow_udf("struct<kept:binary,removed:array<struct<start:bigint,end:bigint>>>")
     def keep(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
-        for t, s in zip(texts, lists):
+        out, k = [], 0
+        flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ats, ns, seen = (flat.field(f).to_numpy() for f in ("at", "n", "seen"))
+        order = np.lexsort((ats, np.repeat(np.arange(len(sizes)), sizes)))
+        ats, ns, seen = ats[order].tolist(), ns[order].tolist(), seen[order].tolist()
+        for t, size in zip(texts, sizes.tolist()):
             raw, runs = t.as_py(), []
-            for x in sorted(s.as_py() or [], key=lambda x: x["at"]):
-                a, b = x["at"], x["at"] + x["n"] + length - 1
-                if np.uint64(digest(raw[a:b])).view(np.int64) != x["seen"]:
+            for a, n, check in zip(ats[k:k + size], ns[k:k + size], seen[k:k + size]):
+                b = a + n + length - 1
+                if _signed(digest(raw[a:b])) != check:
                     continue
                 if runs and a <= runs[-1][1]:
                     runs[-1][1] = max(b, runs[-1][1])
                 else:
                     runs.append([a, b])
+            k += size
             at, rest = 0, []
             for a, b in runs:
                 rest.append(raw[at:a])
@@ -475,8 +526,8 @@ def _kept(text: Column, spans: Column, length: int) -> Column:
 
 def repeats_removed(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> tuple[DataFrame, str]:
     """The table with a struct column added, and its name: kept (bytes) and removed (runs of bytes)."""
-    if not Q + 8 < length < Q + 128:
-        raise ValueError(f"length must lie between {Q + 9} and {Q + 127}")
+    if not 3 * Q - 1 <= length < Q + 128:
+        raise ValueError(f"length must lie between {3 * Q - 1} and {Q + 127}")
     out = free_name(df, "repeats")
     columns = [F.col(f"`{c}`") for c in df.columns]
     raw = df.select(
@@ -490,15 +541,15 @@ def repeats_removed(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     def met(dealt: DataFrame) -> DataFrame:
         return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met(CROWD), _SPANS)
 
-    dealt = only.mapInArrow(_screened(buckets, length, False), "bucket int, blob binary")
-    # the spans that a task's own copies decide never leave it
-    alike = only.mapInArrow(_screened(buckets, length, True), _SPANS)
+    dealt = only.mapInArrow(_screened(buckets, length), "bucket int, blob binary")
+    # a task decides on its own copies, so they are not dealt
+    alike = only.mapInArrow(_own_copies(length), _SPANS)
     spans = written(met(dealt).unionByName(alike), "spans")
 
     listed = F.collect_list(F.struct("at", "n", "seen", "key", "kind")).alias("s")
     asked = spans.filter(f"kind <> {GONE}").groupBy("doc").agg(listed)
     found = raw.select("_s_doc", "_s_raw").join(asked, F.col("_s_doc") == F.col("doc"))
-    contexts = written(found.select("doc", F.explode(_cut_out(F.col("_s_raw"), F.col("s"), length, SHARDED)).alias("c"))
+    contexts = written(found.select("doc", F.explode(_cut_out(F.col("_s_raw"), F.col("s"), length)).alias("c"))
                        .select("c.key", "doc", "c.at", "c.n", "c.raw", "c.kind").distinct(), "contexts")
     five = ["key", "doc", "at", "n", "raw"]
     sharded = contexts.filter(f"kind = {SHARDED}").select(*five).repartition("key").sortWithinPartitions("key", "doc", "at")
