@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from molaris.plans.profiles import PRESCHOOL as RULES
+
 AS_OF = "2003-06-30"
 ORACLE: dict[str, str] = {}
 
@@ -16,7 +18,7 @@ keyed AS (
          (l_orderkey * 7 + l_partkey * 13 + l_linenumber * 31) % 4900 - 200 AS days, {CODE} AS unit
   FROM lineitem),
 exam AS (
-  SELECT CASE WHEN p % 211 <> 7 THEN unit END AS hoscode,
+  SELECT CASE WHEN p % 211 = 7 THEN NULL WHEN s % 17 = 5 THEN 'X' || unit ELSE unit END AS hoscode,
     CASE WHEN o % 2 = 1 THEN 'Unit ' || unit END AS hosname,
     CAST(o AS VARCHAR) AS pid, concat_ws('-', o, n, p, s) AS cid,
     'N' || p AS name, 'L' || (o % 1000) AS lname,
@@ -52,8 +54,7 @@ fac AS (
     lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS ampcode, 'District ' || (n_nationkey % 20) AS ampname,
     lpad(CAST(r_regionkey AS VARCHAR), 2, '0') AS pvcode, r_name AS pvname,
     lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || (s_suppkey % 9) AS tumcode, 'Sub ' || (s_suppkey % 9) AS tumbonname
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE s_suppkey % 17 <> 5)"""
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 ATTACHED = f"""{EXAM},{FACILITY},
 att AS (
@@ -328,14 +329,18 @@ clean AS (SELECT {", ".join([f"{blank(c)} AS {c}" for c in TEXTS]
 # Sources and cleaning
 
 ORACLE["s1_folder_scan"] = f"""WITH {TEXT}
-SELECT CASE WHEN po % 3 = 2 THEN 'x' END AS extra, count(*) AS n, count(hoscode) AS hoscodes,
+SELECT CASE WHEN po % 3 = 2 THEN CASE WHEN po % 2 = 0 THEN 'x' ELSE '1' END END AS extra, count(*) AS n,
+  count(*) FILTER (WHERE po % 3 <> 2 AND po % 7 = 0) AS broken,
+  count(DISTINCT CASE WHEN po % 3 <> 2 AND po % 7 = 0 THEN replace(addr, '/', chr(10)) ELSE addr END) AS addresses, count(hoscode) AS hoscodes,
   count(CASE WHEN po % 3 <> 1 THEN gum END) AS gums, count(birth) AS births, count(date_serv) AS served,
   sum(pteeth) AS pteeth, count(DISTINCT cid) AS persons
 FROM clean GROUP BY ALL"""
 ORACLE["s2_source_file"] = f"""WITH {EXAM}
-SELECT CASE WHEN CAST(pid AS BIGINT) % 3 = 2 THEN 'parquet' ELSE 'csv' END AS kind, true AS plain, count(*) AS n
+SELECT CASE WHEN CAST(pid AS BIGINT) % 3 = 2 THEN 'parquet' ELSE 'csv' END AS kind,
+  CAST(pid AS BIGINT) % 3 <> 0 OR CAST(pid AS BIGINT) % 50 <> 0 AS plain, count(*) AS n
 FROM exam GROUP BY ALL"""
 ORACLE["s3_facilities"] = f"WITH {FACILITY} SELECT * FROM fac"
+ORACLE["s3_facilities_thai"] = f"WITH {FACILITY} SELECT hoscode, 'โรงพยาบาลฯ๑ ' || hosname AS hosname, ampname FROM fac"
 ORACLE["s4_dictionary"] = """SELECT 'field_' || p_partkey AS name, p_name AS caption,
   p_brand || ', "' || p_type || '"' AS description FROM part"""
 ORACLE["u1_append_by_name"] = """SELECT s, m, count(*) AS n FROM (
@@ -348,6 +353,13 @@ ORACLE["n3_numeric"] = counted(TEXT, "clean", "pteeth, need_pextract")
 ORACLE["n4_dates"] = counted(
     TEXT, "clean", "strftime(date_serv, '%Y-%m-%d %H:%M:%S') AS date_serv, "
     "strftime(date_trunc('month', birth), '%Y-%m-%d 00:00:00') AS birth_month")
+ORACLE["n4_birth_days"] = counted(TEXT, "clean", "strftime(birth, '%Y-%m-%d') AS birth")
+ORACLE["n4_layouts"] = counted(
+    TEXT, "txt", f"CASE WHEN date_serv = '15/01/2001' THEN '2001-01-15' "
+    f"ELSE strftime({to_time('date_serv')}, '%Y-%m-%d') END AS date_serv")
+ORACLE["n4_unparsed"] = f"WITH {TEXT} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(*) FILTER (WHERE ({blank(c)}) IS NOT NULL AND ({read(c)}) IS NULL) AS values FROM txt"
+    for columns, read in ((NUMBERS, to_number), (TIMES, to_time)) for c in columns)
 ORACLE["n5_codes"] = counted(TEXT, "clean", "hoscode, providertype, sex")
 ORACLE["n6_filename_rules"] = f"""WITH {EXAM},
 named AS (SELECT *, CASE CAST(pid AS BIGINT) % 4 WHEN 0 THEN 'Exam 0-2 YEARS.csv' WHEN 1 THEN 'exam 3-5.csv'
@@ -359,7 +371,7 @@ SELECT f AS _source_file, agegroup, coalesce(r, 'unrated') AS rated, coalesce(se
 ORACLE["n7_prefix_strip"] = """SELECT 'District ' || (n_nationkey % 20) AS amp, r_name AS pv,
   sum(CASE WHEN s_suppkey % 10 = 3 THEN 2 ELSE 1 END)::BIGINT AS n
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE s_suppkey % 17 <> 5 GROUP BY ALL"""
+GROUP BY ALL"""
 ORACLE["n8_first_per_key"] = f"""WITH {EXAM}
 SELECT hoscode, cid, strftime(birth, '%Y-%m-%d') AS birth, gum FROM (
   SELECT *, row_number() OVER (PARTITION BY hoscode ORDER BY birth NULLS FIRST, cid) AS rn
@@ -367,7 +379,7 @@ SELECT hoscode, cid, strftime(birth, '%Y-%m-%d') AS birth, gum FROM (
 for _key in ("j1_facility_lookup", "j1_facility_lookup_salted"):
     ORACLE[_key] = counted(ATTACHED, "att", "hoscode, hosname, hosname_ref, hostype, ampcode, ampname, pvname, tumbonname")
 ORACLE["j2_spine"] = f"""WITH {PREPARED},
-q AS (SELECT *, examined AND age BETWEEN 0 AND 14 AND CAST(pid AS BIGINT) % 40 = 3
+q AS (SELECT *, examined AND age BETWEEN 0 AND 14
         AND pteeth > 26 AND dteeth > 18 AS ok FROM prep),
 spine AS (SELECT CAST(range AS VARCHAR) AS row_label FROM range(15) UNION ALL SELECT 'รวม'),
 area AS (SELECT 'all' AS level, CAST(NULL AS VARCHAR) AS hoscode UNION ALL
@@ -379,11 +391,10 @@ LEFT JOIN q ON q.ok AND (level = 'all' OR q.hoscode IS NOT DISTINCT FROM a.hosco
   AND (row_label = 'รวม' OR CAST(age AS VARCHAR) = row_label)
 GROUP BY level, a.hoscode, row_label"""
 ORACLE["j3_vs_total"] = f"""WITH {long_ctes(SCHOOL, ("all", "district"))}
-SELECT l.level, l.pvname, l.ampname, l.table_no, l.row_label, l.metric, l.value, t.value AS total_value,
-  l.value - t.value AS gap
-FROM long l JOIN long t ON t.is_total AND l.level = t.level AND l.pvname IS NOT DISTINCT FROM t.pvname
-  AND l.ampname IS NOT DISTINCT FROM t.ampname AND l.table_no = t.table_no AND l.metric_ord = t.metric_ord
-WHERE NOT l.is_total"""
+SELECT * EXCLUDE (is_total), value - total_value AS gap FROM (
+  SELECT level, pvname, ampname, table_no, row_label, metric, value, is_total,
+    max(value) FILTER (WHERE is_total) OVER (PARTITION BY level, pvname, ampname, table_no, metric_ord) AS total_value
+  FROM long) WHERE NOT is_total"""
 
 # ------------------------------------------------------------------------------------------
 # Derived columns
@@ -408,6 +419,7 @@ ORACLE["d12_provider_label"] = counted(EXAM, "exam", f"providertype, {PROVIDER}
 ORACLE["d13_date_text"] = counted(
     EXAM, "exam", "strftime(date_serv, '%Y-%m-%d') AS date_str, strftime(birth, '%Y-%m') AS birth_month, "
     "strftime(d_update, '%Y-%m-%d %H') AS hour")
+ORACLE["d13_birth_text"] = counted(EXAM, "exam", "strftime(birth, '%Y-%m-%d') AS birth_str")
 _n, _d, _price = "l_partkey % 1000", "l_orderkey % 1000", "l_extendedprice / (l_quantity * 8)"
 ORACLE["d14_percent"] = f"""SELECT {_n} AS n, {_d} AS d, {pct(_n, _d)} AS pct,
   coalesce({scaled(f"100.0::DOUBLE * ({_n}) / nullif({_d}, 0)")}, 0.0::DOUBLE) AS pct_scaled,
@@ -427,6 +439,16 @@ ORACLE["f1_rules"] = f"""WITH {EXAM} SELECT count(*) AS no_rule, 0::BIGINT AS ne
   count(*) FILTER (WHERE pcaries <> 0) AS number_as_flag,
   count(*) FILTER (WHERE need_pfilling > 0 OR need_dfilling > 0) AS either,
   sum(pcaries + dcaries) AS value, sum(CAST(sex AS DOUBLE)) AS text_value FROM exam"""
+ORACLE["f1_rule_language"] = f"""WITH {EXAM} SELECT 0::BIGINT AS never,
+  count(*) FILTER (WHERE {P3} = 0) AS null_sum, count(*) FILTER (WHERE need_pfilling = 1) AS null_order,
+  count(*) FILTER (WHERE need_pfilling = 1) AS chain, count(*) FILTER (WHERE sex = '1' OR sex = '2') AS is_known,
+  count(*) FILTER (WHERE sex IS NULL OR sex = '9') AS not_known, count(*) FILTER (WHERE gum = '000000') AS text_equal,
+  count(*) FILTER (WHERE gum IS DISTINCT FROM '000000') AS text_not_equal,
+  count(*) FILTER (WHERE providertype IS NULL OR providertype = '01') AS not_member,
+  count(*) FILTER (WHERE need_pfilling > 0 OR need_dfilling > 0) AS either,
+  count(*) FILTER (WHERE need_pfilling > 0 OR (need_dfilling > 0 AND sex IS DISTINCT FROM '1')) AS signs,
+  count(*) FILTER (WHERE pcaries > 0) AS number_unequal, count(*) FILTER (WHERE pteeth BETWEEN 1 AND 3) AS in_numbers,
+  count(*) FILTER (WHERE need_dextract = -1) AS minus, count(*) FILTER (WHERE pteeth >= 16) AS half FROM exam"""
 ORACLE["f2_scope"] = counted(f"{PREPARED},{scoped(SCHOOL)}", "pop", "age, examined", "in_scope")
 ORACLE["f3_area"] = counted(PREPARED, "prep", "pvname, ampname, hoscode",
                             "pvname = 'ASIA' AND ampname = 'District 2'")
@@ -569,8 +591,11 @@ _gum = {"min": 6, "max": 12, "quality": "coalesce(pteeth > 0, false)", "cf": "gu
         "dmft": "gum_sx_1 + gum_sx_2"}
 ORACLE["a10_breakdown_choice"] = (f"WITH {breakdown_ctes(_gum, 'district')} "
                                   f"{labelled('healthy gum', 'sextants', 'district')}")
-ORACLE["o1_breakdown_order"] = f"WITH {breakdown_ctes(SCHOOL, 'unit')} SELECT code, name, target FROM bd"
-ORACLE["o2_group_order"] = (f'WITH {long_ctes(SCHOOL)} SELECT row_label AS "อายุ (ปี)", base AS "ฐาน" FROM long '
+ORACLE["o1_breakdown_order"] = (
+    f"WITH {breakdown_ctes(SCHOOL, 'unit')} SELECT code, name, target, "
+    f"row_number() OVER (ORDER BY nullif(code, '') NULLS LAST, name, key) - 1 AS place FROM bd")
+ORACLE["o2_group_order"] = (f'WITH {long_ctes(SCHOOL)} SELECT row_label AS "อายุ (ปี)", base AS "ฐาน", '
+                            f"row_number() OVER (ORDER BY is_total, row_ord) - 1 AS place FROM long "
                             f"WHERE table_no = '2' AND metric_ord = 0")
 ORACLE["a11_area_tree"] = f"""WITH {ATTACHED}
 SELECT DISTINCT 'province' AS level, pvname, NULL AS ampname, NULL AS code, NULL AS name FROM att
@@ -713,6 +738,9 @@ ORACLE["i13_findings_table"] = f"""SELECT {_head} AS "ตาราง",
   CASE tone WHEN 'good' THEN 'ดี' WHEN 'warn' THEN 'เฝ้าระวัง' WHEN 'bad' THEN 'ต้องแก้ไข' ELSE 'ข้อมูล' END AS "สถานะ",
   text AS "ข้อสรุป" FROM ({_every}) WHERE level = 'all'"""
 
+ORACLE["i13_no_findings"] = f"""WITH {EXAM} SELECT '-' AS "ตาราง", '-' AS "ระดับ", '-' AS "รายการ", '-' AS "สถานะ",
+  'ไม่มีข้อสรุป' AS "ข้อสรุป" FROM (SELECT count(*) FILTER (WHERE pteeth > 1000) AS n FROM exam) WHERE n = 0"""
+
 # ------------------------------------------------------------------------------------------
 # Person lists
 
@@ -748,6 +776,9 @@ ORACLE["p4_sorted_page"] = (f"WITH {PREPARED},{scoped(SCHOOL)} SELECT {failed_co
 ORACLE["p5_pending_page"] = (f"WITH {PREPARED} SELECT {PENDING} FROM prep WHERE NOT examined AND pvname = 'ASIA' "
                              f"ORDER BY prep.hoscode NULLS LAST, prep.birth NULLS LAST, prep.cid LIMIT 100")
 
+ORACLE["p5_total"] = (f"WITH {PREPARED} SELECT least(count(*), 100)::BIGINT AS shown, count(*) AS total FROM prep "
+                      f"WHERE NOT examined AND pvname = 'ASIA'")
+
 # ------------------------------------------------------------------------------------------
 # Sinks
 
@@ -772,3 +803,22 @@ att AS (
     coalesce(f.ampname, 'ไม่ระบุ') AS ampname, coalesce(f.pvname, 'ไม่ระบุ') AS pvname
   FROM clean e LEFT JOIN fac f ON e.hoscode = f.hoscode),
 {derived_from('att')} SELECT pvname, band, gum_status, examined, count(*) AS n FROM prep GROUP BY ALL"""
+ORACLE["k5_bundle_header"] = f"WITH {headline_ctes(SCHOOL, ['all'])} " + " UNION ALL ".join(
+    f"SELECT {i} AS ord, '{title}' AS \"รายการ\", CAST({value} AS VARCHAR) AS \"ค่า\" FROM head"
+    for i, (title, value) in enumerate(_rows))
+ORACLE["k5_bundle_districts"] = (f"WITH {breakdown_ctes(PRESCHOOL, 'district')} "
+                                 f"{labelled('ปราศจากฟันผุ (ฟันน้ำนม)', 'dmft เฉลี่ย', 'district')}")
+ORACLE["k5_bundle_findings"] = ORACLE["i13_findings_table"]
+_notes = ", ".join(
+    f"('{t.no}', {i}, '{note}')" for t in RULES.tables if t.no in ("2", "3")
+    for i, note in enumerate([f"ตารางที่ {t.no} {t.title}", *t.conditions]))
+ORACLE["k5_bundle_notes"] = f"""WITH {long_ctes(PRESCHOOL)}
+SELECT n.table_no, n.ord, n.note, b.base FROM (VALUES {_notes}) AS n(table_no, ord, note)
+JOIN (SELECT table_no, max(base) AS base FROM long WHERE is_total GROUP BY table_no) b ON b.table_no = n.table_no"""
+_district = "pvname = 'ASIA' AND ampname = 'District 2'"
+ORACLE["k5_bundle_area"] = ORACLE["k2_breakdown_table"].replace("FROM pop GROUP BY", f"FROM pop WHERE {_district} GROUP BY")
+ORACLE["k5_bundle_area_table"] = wide_sql(PRESCHOOL, "2").replace("FROM pop)", f"FROM pop WHERE {_district})")
+ORACLE["k6_rule_change"] = ORACLE["k6_snapshot"].replace(
+    "SELECT pvname, band, gum_status, examined, count(*) AS n FROM prep",
+    "SELECT CASE WHEN pvname = 'ไม่ระบุ' THEN pvname ELSE 'new ' || pvname END AS pvname, "
+    "CASE WHEN age BETWEEN 0 AND 3 THEN '0-3' WHEN age BETWEEN 4 AND 5 THEN '4-5' END AS band, count(*) AS n FROM prep")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import views as V
 from molaris.functions.numeric import percent, scaled_percent, with_rounded
+from molaris.functions.rule_language import to_sql
 from molaris.functions.rules import amount, met
 from molaris.functions.text import blank_to_null, drop_number_prefix, strip
 from molaris.operators import areas, clean, export, findings as fnd, people, scope
@@ -15,7 +17,7 @@ from molaris.operators.cells import LEVELS, build_cells, report_rows
 from molaris.operators.lookup import first_per_key
 from molaris.operators.report import long_report, report, wide_table
 from molaris.plans.profiles import PRESCHOOL, SCHOOL_AGE
-from molaris.plans.rules import COUNT_PCT, MEAN, Metric, NameColumn, NameRule, Overview, Profile, Table
+from molaris.plans.rules import COUNT_PCT, MEAN, Band, Metric, NameColumn, NameRule, Overview, Profile, Table
 from molaris.sources import files, sinks, snapshot
 from molaris.sources.storage import new_folder
 
@@ -46,23 +48,49 @@ def written_folder(spark: SparkSession, sf_dir: str) -> str:
     done = (spark.sparkContext.applicationId, sf_dir)
     if done in _WRITTEN:
         return _WRITTEN[done]
-    folder = _WRITTEN[done] = new_folder(spark, "records")
+    folder = new_folder(spark, "records")
     raw = V.text_records(spark, sf_dir)
     pid = F.trim(F.translate("pid", " ", "")).cast("bigint")
 
     def save(part: DataFrame, fmt: str) -> None:
         part.write.mode("append").format(fmt).option("header", True).option("escape", '"').save(folder)
 
-    save(raw.where(pid % 3 == 0), "csv")
-    save(raw.where(pid % 3 == 1).select(*[F.col(f"`{c}`") for c in reversed(raw.columns) if c != "gum"]), "csv")
-    save(raw.where(pid % 3 == 2).withColumn("extra", F.lit("x")), "parquet")
+    # every seventh person's address goes over two lines
+    text = raw.withColumn("addr", F.when(pid % 7 == 0, F.translate("addr", "/", "\n")).otherwise(F.col("addr")))
+    save(text.where((pid % 3 == 0) & (pid % 50 != 0)), "csv")
+    save(text.where(pid % 3 == 1).select(*[F.col(f"`{c}`") for c in reversed(raw.columns) if c != "gum"]), "csv")
+    # one column with two types
+    save(raw.where((pid % 3 == 2) & (pid % 2 == 0)).withColumn("extra", F.lit("x")), "parquet")
+    save(raw.where((pid % 3 == 2) & (pid % 2 == 1)).withColumn("extra", F.lit(1)), "parquet")
+    named_file(text.where((pid % 3 == 0) & (pid % 100 == 0)), folder, "blank first line.csv", ["", ""])
+    named_file(text.where((pid % 3 == 0) & (pid % 100 == 50)), folder, "_hidden.csv", [])
+    _WRITTEN[done] = folder
     return folder
 
 
+def named_file(df: DataFrame, folder: str, name: str, before: list[str]) -> None:
+    """Write a small table as one CSV file of this name, some lines in front of the header."""
+    spark = df.sparkSession
+    header = ",".join(f'"{c}"' for c in df.columns)
+    head = spark.createDataFrame([(i, line) for i, line in enumerate([*before, header])], "ord int, value string")
+    rows = df.select(F.lit(len(before) + 1).alias("ord"), F.to_csv(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"quoteAll": "true", "escape": '"'}).alias("value"))
+    path = new_folder(spark, "one")
+    head.unionByName(rows).repartition(1).sortWithinPartitions("ord").select("value").write.text(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    part, system = hadoop(f"{path}/part-*"), hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.rename(system.globStatus(part)[0].getPath(), hadoop(f"{folder}/{name}"))
+
+
+def load(spark, folder):
+    return files.load_records(spark, folder, work=new_folder(spark, "work"))
+
+
 @query
 def s1_folder_scan(spark, sf):
-    df = files.load_records(spark, written_folder(spark, sf))
+    df = load(spark, written_folder(spark, sf))
     return df.groupBy("extra").agg(
+        F.expr(r"count_if(contains(addr, '\n'))").alias("broken"), F.count_distinct("addr").alias("addresses"),
         F.count(F.lit(1)).alias("n"), F.count("hoscode").alias("hoscodes"), F.count("gum").alias("gums"),
         F.count("birth").alias("births"), F.count("date_serv").alias("served"),
         F.sum("pteeth").alias("pteeth"), F.count_distinct("cid").alias("persons"))
@@ -70,7 +98,7 @@ def s1_folder_scan(spark, sf):
 
 @query
 def s2_source_file(spark, sf):
-    df = files.load_records(spark, written_folder(spark, sf))
+    df = load(spark, written_folder(spark, sf))
     kind = F.regexp_extract("_source_file", r"\.([a-z]+)$", 1)
     return counted(df.select(kind.alias("kind"), F.col("_source_file").startswith("part-").alias("plain")),
                    "kind", "plain")
@@ -84,6 +112,16 @@ def s3_facilities(spark, sf):
     return files.read_facilities(spark, path)
 
 
+@query
+def s3_facilities_thai(spark, sf):
+    path = new_folder(spark, "facilities")
+    thai, plain = "โรงพยาบาลฯ๑", "".join(chr(ord(c) - 0x0E00 + 0xA0) for c in "โรงพยาบาลฯ๑")
+    raw = V.raw_facilities(spark, sf).withColumn("hosname", F.concat(F.lit(thai + " "), "hosname"))
+    shown = raw.orderBy("HOSCODE ").withColumn("hosname", F.translate("hosname", thai, plain))
+    shown.drop("_copy").write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return files.read_facilities(spark, path).select("hoscode", "hosname", "ampname")
+
+
 @query
 def s4_dictionary(spark, sf):
     path = new_folder(spark, "dictionary")
@@ -130,6 +168,23 @@ def n4_dates(spark, sf):
                    "date_serv", "birth_month")
 
 
+@query
+def n4_birth_days(spark, sf):
+    df = clean.conform(V.text_records(spark, sf))
+    return counted(df.select(F.date_format("birth", "yyyy-MM-dd").alias("birth")), "birth")
+
+
+@query
+def n4_layouts(spark, sf):
+    df = clean.conform(V.text_records(spark, sf), ["yyyy/MM/dd", "dd/MM/yyyy"])
+    return counted(df.select(F.date_format("date_serv", "yyyy-MM-dd").alias("date_serv")), "date_serv")
+
+
+@query
+def n4_unparsed(spark, sf):
+    return clean.unparsed(V.text_records(spark, sf))
+
+
 @query
 def n5_codes(spark, sf):
     return counted(clean.conform(V.text_records(spark, sf)), "hoscode", "providertype", "sex")
@@ -196,18 +251,16 @@ def preschool_long(spark, sf, levels=("all",)):
     return long_of(spark, sf, PRESCHOOL, levels)
 
 
-# Few records per age here, so the facility level shows empty groups.
+# No record is as old as the oldest ages, and few are of this quality: groups without records.
 SPARSE = Profile(
     id="sparse", label="sparse", age_min=0, age_max=14, quality_filter="pteeth > 26 AND dteeth > 18",
-    row_filter="o_filter = 3",
     tables=(Table("1", "any", COUNT_PCT, metrics=(Metric("caries", "pcaries > 0"),)),),
 )
 
 
 @query
 def j2_spine(spark, sf):
-    df = V.prepared(spark, sf, SPARSE).withColumn("o_filter", F.col("pid").cast("bigint") % 40)
-    long = report(df, SPARSE, ["all", "facility_code"])
+    long = report(V.prepared(spark, sf, SPARSE), SPARSE, ["all", "facility_code"])
     return long.select("level", "hoscode", "row_label", "base", "n", "value")
 
 
@@ -262,6 +315,11 @@ def d13_date_text(spark, sf):
                              F.substring(stamp, 1, 13).alias("hour")), "date_str", "birth_month", "hour")
 
 
+@query
+def d13_birth_text(spark, sf):
+    return counted(people.person_fields(V.records(spark, sf), V.AS_OF).select("birth_str"), "birth_str")
+
+
 @query
 def d14_percent(spark, sf):
     ratios = V.table(spark, sf, "lineitem").selectExpr(
@@ -291,6 +349,24 @@ def f1_rules(spark, sf):
                   F.expr(f"sum({amount('sex')}) AS text_value"))
 
 
+# The same rules as in a rule-set file.
+WRITTEN_RULES = {
+    "never": False, "null_sum": "pcaries + pfilling + pextract == 0",
+    "null_order": "need_pfilling >= 1 and not (need_pfilling > 1)", "chain": "1 <= need_pfilling < 2",
+    "is_known": "sex in ['1', '2']", "not_known": "sex not in ['1', '2']", "text_equal": "gum == '000000'",
+    "text_not_equal": "gum != '000000'", "not_member": "not (providertype in ['02','06'])",
+    "either": "need_pfilling > 0 or need_dfilling > 0", "signs": "(need_pfilling > 0) | (need_dfilling > 0) & ~(sex == '1')",
+    "number_unequal": "pcaries != 0", "in_numbers": "pteeth in [1, 2, 3]", "minus": "need_dextract == -1",
+    "half": "pteeth / 2 > 7.5",
+}
+
+
+@query
+def f1_rule_language(spark, sf):
+    df = V.records(spark, sf)
+    return df.agg(*[F.expr(f"count_if({met(to_sql(rule))}) AS {name}") for name, rule in WRITTEN_RULES.items()])
+
+
 @query
 def f2_scope(spark, sf):
     return counted(scope.scope(V.prepared(spark, sf, SCHOOL_AGE), SCHOOL_AGE), "age", "examined")
@@ -435,12 +511,12 @@ register("a10_breakdown_choice", lambda spark, sf: export.breakdown_table(
 
 @query
 def a11_area_tree(spark, sf):
-    return areas.area_tree(V.attached(spark, sf))
+    return areas.area_tree(V.records(spark, sf), V.facilities(spark, sf))
 
 
 @query
 def a12_distinct(spark, sf):
-    return areas.distinct_values(V.attached(spark, sf), "pvname", "ampname", "hostype")
+    return areas.distinct_values(V.records(spark, sf), "pvname", "ampname", "hostype", facilities=V.facilities(spark, sf))
 
 
 # Findings ----------------------------------------------------------------------------------
@@ -481,6 +557,18 @@ def i13_findings_table(spark, sf):
     return fnd.findings_table(fnd.findings(long, PRESCHOOL), PRESCHOOL)
 
 
+NO_FINDINGS = Profile(
+    id="none", label="none", age_min=0, age_max=12, quality_filter="pteeth > 1000",
+    tables=(Table("1", "t", MEAN, rows="none", metrics=(Metric("m", "pteeth"),)),),
+)
+
+
+@query
+def i13_no_findings(spark, sf):
+    long = long_of(spark, sf, NO_FINDINGS)
+    return fnd.findings_table(fnd.findings(long, NO_FINDINGS), NO_FINDINGS)
+
+
 # Person lists ------------------------------------------------------------------------------
 
 @query
@@ -502,26 +590,41 @@ def p3_failed_list_raw(spark, sf):
 @query
 def p4_sorted_page(spark, sf):
     df = V.prepared(spark, sf, SCHOOL_AGE)
-    return people.first_page(people.failed_list(df, SCHOOL_AGE, V.AS_OF, then_by=("cid",)))
+    return people.first_page(people.failed_list(df, SCHOOL_AGE, V.AS_OF, then_by=("cid",))).rows
 
 
-@query
-def p5_pending_page(spark, sf):
+def pending_page(spark, sf):
     df = V.prepared(spark, sf, SCHOOL_AGE)
     return people.first_page(people.pending_list(df, V.AS_OF, pv="ASIA", then_by=("cid",)), 100)
 
 
+@query
+def p5_pending_page(spark, sf):
+    return pending_page(spark, sf).rows
+
+
+@query
+def p5_total(spark, sf):
+    return pending_page(spark, sf).counts
+
+
 # Order and sinks ---------------------------------------------------------------------------
 
+def ranked(df: DataFrame) -> DataFrame:
+    """Rows with their place in the order they come in."""
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in [*df.dtypes, ("place", "bigint")])
+    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+
+
 @query
 def o1_breakdown_order(spark, sf):
-    return breakdowns(SCHOOL_AGE, "unit")(spark, sf).select("code", "name", "target")
+    return ranked(breakdowns(SCHOOL_AGE, "unit")(spark, sf).select("code", "name", "target"))
 
 
 @query
 def o2_group_order(spark, sf):
     rows = rows_of(spark, sf, SCHOOL_AGE)
-    return wide_table(rows, SCHOOL_AGE, "2").select("อายุ (ปี)", "ฐาน")
+    return ranked(wide_table(rows, SCHOOL_AGE, "2").select("อายุ (ปี)", "ฐาน"))
 
 
 @query
@@ -549,11 +652,51 @@ def k4_csv(spark, sf):
     return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
+def bundle_part(spark, sf, part, profile=SCHOOL_AGE, **area):
+    path = new_folder(spark, "bundle")
+    sinks.write_bundle(cells_of(spark, sf, profile), profile, path, V.AS_OF, **area)
+    return sinks.read_part(spark, path, part)
+
+
 @query
 def k5_bundle(spark, sf):
+    return bundle_part(spark, sf, "table_5")
+
+
+@query
+def k5_bundle_header(spark, sf):
+    return bundle_part(spark, sf, "header").select("ord", "รายการ", "ค่า")
+
+
+@query
+def k5_bundle_districts(spark, sf):
+    return bundle_part(spark, sf, "districts", PRESCHOOL)
+
+
+@query
+def k5_bundle_findings(spark, sf):
+    return bundle_part(spark, sf, "findings", PRESCHOOL)
+
+
+@query
+def k5_bundle_notes(spark, sf):
+    """The notes beside the base of each table's total row."""
     path = new_folder(spark, "bundle")
-    sinks.write_bundle(cells_of(spark, sf, SCHOOL_AGE), SCHOOL_AGE, path, V.AS_OF)
-    return sinks.read_part(spark, path, "table_5")
+    sinks.write_bundle(cells_of(spark, sf, PRESCHOOL), PRESCHOOL, path, V.AS_OF)
+    notes = sinks.read_part(spark, path, "notes").where("table_no IN ('2', '3')")
+    bases = long_of(spark, sf, PRESCHOOL).where("is_total").groupBy("table_no").agg(F.max("base").alias("base"))
+    return notes.join(bases, "table_no").select("table_no", "ord", "note", "base")
+
+
+@query
+def k5_bundle_area(spark, sf):
+    """The units of a selected district."""
+    return bundle_part(spark, sf, "units", PRESCHOOL, pv="ASIA", amp="District 2")
+
+
+@query
+def k5_bundle_area_table(spark, sf):
+    return bundle_part(spark, sf, "table_2", PRESCHOOL, pv="ASIA", amp="District 2")
 
 
 @query
@@ -562,3 +705,15 @@ def k6_snapshot(spark, sf):
     args = (spark, folder, V.facilities(spark, sf), PRESCHOOL, root)
     snapshot.load_prepared(*args)
     return counted(snapshot.load_prepared(*args), "pvname", "band", "gum_status", "examined")
+
+
+@query
+def k6_rule_change(spark, sf):
+    """A changed band, then a changed facility table, each give another snapshot."""
+    folder, root = written_folder(spark, sf), new_folder(spark, "snapshots")
+    units = V.facilities(spark, sf)
+    snapshot.load_prepared(spark, folder, units, PRESCHOOL, root)
+    wider = replace(PRESCHOOL, bands=(Band("0-3", 0, 3), Band("4-5", 4, 5)))
+    snapshot.load_prepared(spark, folder, units, wider, root)
+    moved = units.withColumn("pvname", F.concat(F.lit("new "), "pvname"))
+    return counted(snapshot.load_prepared(spark, folder, moved, wider, root), "pvname", "band")

@@ -26,7 +26,7 @@ def _code(key: str) -> str:
 
 DAYS = "((l_orderkey * 7 + l_partkey * 13 + l_linenumber * 31) % 4900 - 200)"
 RECORD = {
-    "hoscode": f"IF(l_partkey % 211 <> 7, {_code('l_suppkey')}, NULL)",
+    "hoscode": f"IF(l_partkey % 211 <> 7, concat(IF(l_suppkey % 17 = 5, 'X', ''), {_code('l_suppkey')}), NULL)",
     "hosname": f"IF(l_orderkey % 2 = 1, concat('Unit ', {_code('l_suppkey')}), NULL)",
     "pid": "CAST(l_orderkey AS STRING)",
     "cid": "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)",
@@ -74,16 +74,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facility rows as delivered: padded codes, numbered area names, some codes twice.
 
-    Every 17th supplier is left out, so some records have no known facility. Nation and
-    region are fixed lists of 25 and 5 rows.
+    Records of every 17th supplier carry a code that no facility has.
     """
     supplier, nation, region = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     number, sub = "lpad(CAST(n_nationkey AS STRING), 2, '0')", "(s_suppkey % 9)"
     region_code = "lpad(CAST(r_regionkey AS STRING), 2, '0')"
     return (
-        supplier.where("s_suppkey % 17 <> 5")
-        .join(F.broadcast(nation), F.expr("s_nationkey = n_nationkey"))
-        .join(F.broadcast(region), F.expr("n_regionkey = r_regionkey"))
+        supplier.join(nation, F.expr("s_nationkey = n_nationkey"))
+        .join(region, F.expr("n_regionkey = r_regionkey"))
         .selectExpr("*", "explode(IF(s_suppkey % 10 = 3, array(0, 1), array(0))) AS copy")
         .selectExpr(
             f"concat({_code('s_suppkey')}, IF(copy = 1, '  ', '')) AS `HOSCODE `",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from molaris.functions.sql import quoted, quoted_list
 
 # What counts as blank in an exported record.
@@ -58,32 +60,22 @@ def blank_to_null(c: str) -> str:
 
 
 def to_number(c: str) -> str:
-    """Text to double, null when it is not a plain number; outer whitespace does not count.
+    """Stripped text to double, null when it is not a plain number.
 
     A cast alone would also take Java literals (``5d``, ``0x1p3``), so the text has to
     end like a decimal number and hold no ``x``. No blank token is a number.
     """
-    def plain(t: str) -> str:
-        return f"substring({t}, -1, 1) IN {_DECIMAL_END} AND NOT contains({t}, 'x') AND NOT contains({t}, 'X')"
-
-    t = strip(c)
-    other = f"IF(({plain(t)}) OR {t} IN {quoted_list(_INFINITIES)}, try_cast({t} AS DOUBLE), NULL)"
-    return f"IF({_ascii_start(c)} AND {plain(c)}, try_cast({c} AS DOUBLE), {other})"
+    plain = f"substring({c}, -1, 1) IN {_DECIMAL_END} AND NOT contains({c}, 'x') AND NOT contains({c}, 'X')"
+    return f"IF(({plain}) OR {c} IN {quoted_list(_INFINITIES)}, try_cast({c} AS DOUBLE), NULL)"
 
 
-def to_time(c: str) -> str:
-    """Text to timestamp without zone; null for anything but the known layouts and for
-    dates outside the valid window. Outer whitespace does not count.
+def to_time(c: str, layouts: Sequence[str] = ()) -> str:
+    """Stripped text to timestamp without zone; null for anything but the known layouts and for
+    dates outside the valid window.
 
-    Layouts: ``yyyy-MM-dd``, ``yyyyMMdd``, each with an optional time of day. The choice
-    is made per value, so it does not depend on which row comes first.
+    Layouts: ``yyyy-MM-dd``, ``yyyyMMdd``, each with an optional time of day, then the given patterns in their
+    order. The choice is made per value, so it does not depend on which row comes first.
     """
-    clean = f"{_ascii_start(c)} AND substring({c}, -1, 1) IN {_DECIMAL_END}"
-    inside = f"substring({c}, 1, 4) BETWEEN '1678' AND '2261'"
-    return f"IF({clean} AND {inside}, {_parsed_time(c)}, {valid_time(_parsed_time(strip(c)))})"
-
-
-def _parsed_time(c: str) -> str:
     def part(start: int, size: int) -> str:
         return f"substring({c}, {start}, {size})"
 
@@ -93,7 +85,9 @@ def _parsed_time(c: str) -> str:
     iso = (f"CASE length({c}) WHEN 8 THEN IF({digits}, concat({day}), NULL) "
            f"WHEN 14 THEN IF({digits}, concat({day}, {clock}), NULL) "
            f"ELSE IF({c} RLIKE {quoted(_ISO_TIME)}, {c}, NULL) END")
-    return f"try_cast({iso} AS TIMESTAMP_NTZ)"
+    known = f"try_cast({iso} AS TIMESTAMP_NTZ)"
+    more = [f"CAST(try_to_timestamp({c}, {quoted(layout)}) AS TIMESTAMP_NTZ)" for layout in layouts]
+    return f"coalesce({', '.join([known, *more])})" if more else known
 
 
 def valid_time(t: str) -> str:

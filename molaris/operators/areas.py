@@ -10,6 +10,7 @@ from molaris.functions.numeric import percent, ratio, round_half_even, scaled_pe
 from molaris.functions.sql import quoted
 from molaris.functions.text import strip
 from molaris.operators.cells import AREA_KEYS, Measures, at_levels
+from molaris.operators.lookup import attach_area
 from molaris.plans import labels as L
 from molaris.plans.rules import Profile
 
@@ -76,13 +77,23 @@ def breakdown(cells: DataFrame, profile: Profile, by: str = "district") -> DataF
     ).orderBy(F.expr("nullif(code, '')").asc_nulls_last(), "name", "key")
 
 
-def area_tree(df: DataFrame) -> DataFrame:
+def _units(df: DataFrame, facilities: DataFrame | None, columns: Iterable[str]) -> DataFrame:
+    """The distinct facilities of the records with their area: only these are looked up."""
+    if facilities is None:
+        return df
+    area = set(facilities.columns)
+    own = [c for c in dict.fromkeys(["hoscode", "hosname", *columns]) if c in df.columns and (c not in area or c in ("hoscode", "hosname"))]
+    return attach_area(df.select(*own).distinct(), facilities)
+
+
+def area_tree(df: DataFrame, facilities: DataFrame | None = None) -> DataFrame:
     """Province, district and facility nodes as sorted rows (a district may be very large,
-    so its facilities are rows, not one array).
+    so its facilities are rows, not one array). Given the facilities, records need no area columns.
 
     Blank names become the unknown label; records without a facility code give no facility
     node but still their district; a code with several names shows the smallest.
     """
+    df = _units(df, facilities, ())
     have, unknown, none = set(df.columns), quoted(L.UNKNOWN_AREA), "CAST(NULL AS STRING)"
 
     def text(c: str) -> str:
@@ -107,6 +118,6 @@ def area_tree(df: DataFrame) -> DataFrame:
     )
 
 
-def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
-    """Distinct combinations of the given columns."""
-    return df.select(*columns).distinct()
+def distinct_values(df: DataFrame, *columns: str, facilities: DataFrame | None = None) -> DataFrame:
+    """Distinct combinations of the given columns; given the facilities, records need no area columns."""
+    return _units(df, facilities, columns).select(*columns).distinct()

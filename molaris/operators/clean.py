@@ -32,25 +32,52 @@ def tidy_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
 
 
-def _clean(column: str, kind: str) -> str:
+def _stripped(column: str, kind: str) -> str:
+    """First step: text without outer white space, blank tokens of text columns as null."""
     c = sql.name(column)
-    if column.startswith("_"):
+    if column.startswith("_") or kind != "string" and column in NUMERIC_COLUMNS + TIME_COLUMNS:
         return c
+    if column in NUMERIC_COLUMNS + TIME_COLUMNS:
+        return text.strip(c)
+    return text.blank_to_null(c if kind == "string" else f"CAST({c} AS STRING)")
+
+
+def _typed(column: str, kind: str, layouts: Sequence[str]) -> str:
+    """Second step: numbers and times."""
+    c = sql.name(column)
     if column in NUMERIC_COLUMNS:
         return text.to_number(c) if kind == "string" else f"nanvl(CAST({c} AS DOUBLE), NULL)"
     if column in TIME_COLUMNS:
-        return text.to_time(c) if kind == "string" else text.valid_time(f"CAST({c} AS TIMESTAMP_NTZ)")
-    return text.blank_to_null(c if kind == "string" else f"CAST({c} AS STRING)")
+        return text.to_time(c, layouts) if kind == "string" else f"CAST({c} AS TIMESTAMP_NTZ)"
+    return c
 
 
-def conform(df: DataFrame) -> DataFrame:
+def conform(df: DataFrame, layouts: Sequence[str] = ()) -> DataFrame:
     """Tidy headers, null the blank tokens, type the known columns, keep the rest as text.
 
     Text and typed columns are both accepted. Columns whose name starts with ``_`` are left
-    alone. One narrow projection.
+    alone. ``layouts`` are further date patterns, tried in their order. Narrow projections: each strips, parses or
+    checks a column once, so that none grows too large to be compiled.
     """
     df = tidy_headers(df)
-    return df.selectExpr(*[f"{_clean(c, kind)} AS {sql.name(c)}" for c, kind in df.dtypes])
+    kinds = dict(df.dtypes)
+    stripped = df.selectExpr(*[f"{_stripped(c, k)} AS {sql.name(c)}" for c, k in kinds.items()])
+    typed = stripped.selectExpr(*[f"{_typed(c, k, layouts)} AS {sql.name(c)}" for c, k in kinds.items()])
+    return typed.selectExpr(*[
+        f"{text.valid_time(sql.name(c))} AS {sql.name(c)}" if c in TIME_COLUMNS else sql.name(c) for c in kinds])
+
+
+def unparsed(df: DataFrame, layouts: Sequence[str] = ()) -> DataFrame:
+    """(column, values): how many values of each numeric and date column are neither blank nor understood."""
+    df = tidy_headers(df)
+    typed = [c for c, k in df.dtypes if k == "string" and c in NUMERIC_COLUMNS + TIME_COLUMNS]
+    both = df.selectExpr(*[f"{text.blank_to_null(sql.name(c))} AS {sql.name(c)}" for c in typed],
+                         *[f"{text.strip(sql.name(c))} AS {sql.name('_' + c)}" for c in typed])
+    read = {c: text.to_number(sql.name("_" + c)) if c in NUMERIC_COLUMNS else
+            text.valid_time(text.to_time(sql.name("_" + c), layouts)) for c in typed}
+    counts = both.agg(*[F.expr(f"count_if({sql.name(c)} IS NOT NULL AND {x} IS NULL) AS {sql.name(c)}") for c, x in read.items()])
+    pairs = ", ".join(f"'{c}', {sql.name(c)}" for c in typed)
+    return counts.selectExpr(f"stack({len(typed)}, {pairs}) AS (column, values)")
 
 
 def name_value(spec: NameColumn) -> str:

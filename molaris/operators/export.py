@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from molaris.functions import sql
 from molaris.operators.cells import AREA_KEYS
@@ -40,3 +40,9 @@ def header_table(headline: DataFrame, profile: Profile, as_of: str, area: tuple[
     areas = ["level", *AREA_KEYS]
     return headline.selectExpr(*areas, f"explode(array({rows})) AS r").orderBy(*areas, "r.ord").selectExpr(
         *areas, "r.ord AS ord", f"r.item AS {sql.name(L.HEADER_ITEM)}", f"r.value AS {sql.name(L.HEADER_VALUE)}")
+
+
+def notes_table(spark: SparkSession, profile: Profile) -> DataFrame:
+    """Title and conditions of each table, in order."""
+    rows = [(t.no, i, note) for t in profile.tables for i, note in enumerate([L.TABLE_HEAD % (t.no, t.title), *t.conditions])]
+    return spark.createDataFrame(rows, "table_no string, ord int, note string")

@@ -219,9 +219,11 @@ def findings_table(found: DataFrame, profile: Profile, with_area: bool = False)
     """Findings as one flat table (table, level, item, status, text) in report order."""
     areas = ["level", *AREA_KEYS] if with_area else []
     titles = {k: column_name(v) for k, v in L.FINDING_COLUMNS.items()}
+    empty = {k: "'-'" for k in titles} | {"text": quoted(L.NO_FINDINGS)}
+    none = [f"CAST(NULL AS STRING) AS {a}" for a in areas]
+    placeholder = [*none, *[f"{empty[k]} AS {t}" for k, t in titles.items()]]
     if not profile.tables:
-        empty = {k: "'-'" for k in titles} | {"text": quoted(L.NO_FINDINGS)}
-        return found.sparkSession.range(0, 1, 1, 1).selectExpr(*[f"{empty[k]} AS {t}" for k, t in titles.items()])
+        return found.sparkSession.range(0, 1, 1, 1).selectExpr(*placeholder)
     heads = {t.no: L.TABLE_HEAD % (t.no, t.title) for t in profile.tables}
     rows = {t.no: L.ROW_LABELS[t.row_kind] for t in profile.tables}
     shown_as = {
@@ -231,5 +233,7 @@ def findings_table(found: DataFrame, profile: Profile, with_area: bool = False)
         "status": labelled("tone", L.TONE_LABELS, "''"),
         "text": "text",
     }
-    return found.orderBy(*areas, "table_ord", "seq", "item_ord").selectExpr(
+    rows = found.orderBy(*areas, "table_ord", "seq", "item_ord").selectExpr(
         *areas, *[f"{shown_as[k]} AS {t}" for k, t in titles.items()])
+    # a report without findings says so in one row
+    return rows.union(found.agg(F.count(F.lit(1)).alias("n")).where("n = 0").selectExpr(*placeholder))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,8 +18,8 @@ PREFIXED_COLUMNS = ["ampname", "pvname", "tumbonname"]
 # A dimension is broadcast only up to this measured size of its values.
 BROADCAST_BYTES = 32 * 1024 * 1024
 BROADCAST_ROWS = 250_000
-# Copies of the dimension when it is joined by shuffle; a hot key spreads over as many tasks.
-SALTS = 32
+
+_MEASURED: WeakKeyDictionary[DataFrame, bool] = WeakKeyDictionary()
 
 
 def first_per_key(df: DataFrame, key: str, order: Column) -> DataFrame:
@@ -58,25 +58,25 @@ def conform_facilities(df: DataFrame, order: Column) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Measured check: do the rows and bytes of ``df`` stay under the broadcast bounds?"""
-    width = " + ".join(f"coalesce(octet_length(CAST(`{c}` AS STRING)), 0)" for c in df.columns)
-    n, size_bytes = df.agg(F.expr("count(1)"), F.expr(f"coalesce(sum({width}), 0)")).first()
-    return n <= BROADCAST_ROWS and size_bytes <= BROADCAST_BYTES
+    """Measured check, once for each table: do its rows and bytes stay under the broadcast bounds?"""
+    if df not in _MEASURED:
+        width = " + ".join(f"coalesce(octet_length(CAST(`{c}` AS STRING)), 0)" for c in df.columns)
+        n, size_bytes = df.agg(F.expr("count(1)"), F.expr(f"coalesce(sum({width}), 0)")).first()
+        _MEASURED[df] = n <= BROADCAST_ROWS and size_bytes <= BROADCAST_BYTES
+    return _MEASURED[df]
 
 
 def left_lookup(facts: DataFrame, dim: DataFrame, key: str, broadcast: bool | None = None) -> DataFrame:
     """Left join to a dimension with unique keys.
 
-    Broadcast when the measured size allows. Otherwise a shuffle join on (key, salt): each
-    input split of the facts takes one salt and the dimension is repeated per salt, so a key
-    that holds a third of the rows (or the null key) is spread over many tasks. The salt is
-    the split number, the same again when a lost task is run anew.
+    Broadcast when the measured size allows. Otherwise a shuffle join: rows without a key get one of their input
+    split's that no facility has, so they are spread and never match, and the session splits the partition of a
+    hot key at run time (``molaris.session.tune``).
     """
     if fits_broadcast(dim) if broadcast is None else broadcast:
         return facts.join(F.broadcast(dim), key, "left")
-    salted = facts.withColumn("_salt", F.spark_partition_id() % SALTS)
-    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
+    keyed = facts.withColumn("_key", F.coalesce(key, F.concat(F.lit("\u0000"), F.spark_partition_id())))
+    return keyed.join(dim.hint("merge").withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
 
 
 def attach_area(df: DataFrame, facilities: DataFrame, broadcast: bool | None = None) -> DataFrame:
@@ -90,6 +90,8 @@ def attach_area(df: DataFrame, facilities: DataFrame, broadcast: bool | None = N
         "hoscode",
         *[F.col(c).alias(f"{c}_ref" if c in own else c) for c in facilities.columns if c != "hoscode"],
     )
+    if broadcast is None:
+        broadcast = fits_broadcast(facilities)
     out = left_lookup(df.withColumn("hoscode", F.expr(text.strip("hoscode"))), dim, "hoscode", broadcast)
     fills = {}
     if "hosname_ref" in out.columns:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from molaris.operators.areas import breakdown, headline
 from molaris.operators.cells import report_rows
-from molaris.operators.export import breakdown_table, header_table
+from molaris.operators.export import breakdown_table, header_table, notes_table
 from molaris.operators.findings import findings, findings_table
 from molaris.operators.report import long_report, wide_table
+from molaris.operators.scope import filter_area
 from molaris.plans.rules import Profile
 
 
@@ -21,24 +22,30 @@ def write_csv(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> Non
 
 
 def write_bundle(cells: DataFrame, profile: Profile, path: str, as_of: str, fmt: str = "parquet",
-                 levels: Iterable[str] = ("all",)) -> list[str]:
-    """The whole report below ``path``: header, findings, breakdowns and each table.
+                 levels: Iterable[str] = ("all",), pv: str | None = None, amp: str | None = None,
+                 hos: str | None = None) -> list[str]:
+    """The whole report below ``path``: header, findings, breakdown, each table, and the notes under the tables.
 
     ``cells`` come from ``build_cells``. They and the rolled-up rows are written first and read back, so the records are
-    scanned once whatever the number of parts. Returns the names of the parts.
+    scanned once whatever the number of parts. A selected province, district or facility narrows the cells. The
+    breakdown drills down: districts, then the units of a selected district, none below a facility.
+    Returns the names of the parts.
     """
     levels = list(levels)
-    cells = _kept(cells, f"{path}/cells")
+    cells = _kept(filter_area(cells, pv, amp, hos), f"{path}/cells")
     rows = _kept(report_rows(cells, profile, levels), f"{path}/rows")
     with_area = levels != ["all"]
     parts = {
-        "header": header_table(headline(cells, profile, levels), profile, as_of),
+        "header": header_table(headline(cells, profile, levels), profile, as_of, tuple(a for a in (pv, amp, hos) if a)),
         "findings": findings_table(findings(long_report(rows, profile), profile), profile, with_area),
-        "districts": breakdown_table(breakdown(cells, profile, "district"), profile, "district"),
-        "units": breakdown_table(breakdown(cells, profile, "unit"), profile, "unit"),
     }
+    if not amp and not hos:
+        parts["districts"] = breakdown_table(breakdown(cells, profile, "district"), profile, "district")
+    elif not hos:
+        parts["units"] = breakdown_table(breakdown(cells, profile, "unit"), profile, "unit")
     for table in profile.tables:
         parts[f"table_{table.no}"] = wide_table(rows, profile, table.no, with_area)
+    parts["notes"] = notes_table(cells.sparkSession, profile)
     for name, part in parts.items():
         if fmt == "csv":
             write_csv(part, f"{path}/{name}")

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
+from fnmatch import fnmatchcase
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a session without that setting that runs on one machine (tests) gets a temporary one.
-    """
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="run-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -40,12 +34,40 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return system.exists(marker)
 
 
-def drop_siblings(spark: SparkSession, root: str, prefix: str, keep: str) -> None:
-    """Remove the tables under ``root`` whose name starts with ``prefix``, except ``keep``."""
+def hidden_files(spark: SparkSession, folder: str, pattern: str = "*") -> list[tuple[str, int, int]]:
+    """(path, size, change time) of the files of a folder that Spark's readers skip: names that begin with ``_`` or ``.``.
+
+    Marks that jobs leave behind (``_SUCCESS``, checksums) are no data.
+    """
+    out = []
+    for start in ("_", "."):
+        path, system = _file_system(spark, f"{folder.rstrip('/')}/{start}*")
+        for status in system.globStatus(path) or []:
+            name = status.getPath().getName()
+            data = not (name == "_SUCCESS" or name.endswith(".crc") or name.startswith(("_started_", "_committed_")))
+            if status.isFile() and data and fnmatchcase(name, pattern):
+                out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return sorted(out)
+
+
+def copy_into(spark: SparkSession, paths: list[str], folder: str, prefix: str) -> None:
+    """Copy files into a folder under ``prefix`` and their own name."""
+    for path in paths:
+        source, system = _file_system(spark, path)
+        target, there = _file_system(spark, f"{folder}/{prefix}{source.getName()}")
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(
+            system, source, there, target, False, True, spark._jsc.hadoopConfiguration())
+
+
+def folders_named(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Names below ``root`` that match a regular expression as a whole, oldest first."""
     path, system = _file_system(spark, root)
     if not system.exists(path):
-        return
-    for status in system.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith(prefix) and name != keep:
-            system.delete(status.getPath(), True)
+        return []
+    found = [(s.getModificationTime(), s.getPath().getName()) for s in system.listStatus(path) if s.isDirectory()]
+    return [n for _, n in sorted(found) if re.fullmatch(name, n)]
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    target, system = _file_system(spark, path)
+    system.delete(target, True)

@@ -3,10 +3,14 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import TABLES, compare
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 from conftest import SF
 
-KEYS = ["n3_numeric", "n6_filename_rules", "j2_spine", "f8_reasons", "a1_groups_and_total", "a5_report_preschool",
-        "a8_district_school_age", "i12_metric_rows", "p3_failed_list_raw"]
+KEYS = ["s1_folder_scan", "s2_source_file", "s3_facilities_thai", "n3_numeric", "n4_layouts", "n4_unparsed", "n6_filename_rules",
+        "j1_facility_lookup_salted", "j2_spine", "j3_vs_total", "f1_rule_language", "f8_reasons", "a1_groups_and_total",
+        "a5_report_preschool", "a8_district_school_age", "a11_area_tree", "i12_metric_rows", "i13_no_findings", "p3_failed_list_raw",
+        "p5_total", "o1_breakdown_order", "o2_group_order", "k5_bundle_area", "k6_rule_change"]
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +22,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE.keys()
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLE.keys() <= entry.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("key", KEYS)

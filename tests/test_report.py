@@ -5,8 +5,9 @@ from molaris.operators import areas, people, scope
 from molaris.operators.cells import LEVELS, build_cells, report_rows
 from molaris.operators.derive import prepare
 from molaris.operators.findings import findings, findings_table
-from molaris.operators.lookup import attach_area, conform_facilities, first_per_key
+from molaris.operators.lookup import attach_area, conform_facilities, first_per_key, left_lookup
 from molaris.operators.report import long_report, report, wide_table
+from molaris.plans import labels as L
 from molaris.plans.profiles import PRESCHOOL, PROFILES, SCHOOL_AGE
 from molaris.plans.rules import COUNT_PCT, Band, Metric, Overview, Profile, Table
 
@@ -23,7 +24,7 @@ def made(request, records, facilities):
 def test_counts_reconcile_with_lists_and_breakdowns(made):
     profile, df, cells = made
     head = areas.headline(cells, profile).first()
-    assert head["target"] == 400 == head["examined"] + head["pending"] + head["out_of_range"]
+    assert head["target"] == 270 == head["examined"] + head["pending"] + head["out_of_range"]
     pending = people.pending_list(df, "2026-02-01").count()
     failed = people.failed_list(df, profile, "2026-02-01")
     assert pending == head["pending"]
@@ -93,7 +94,7 @@ def test_index_sum_keeps_null_only_when_all_are_null(spark):
 
 def test_lookup_null_keys_hot_keys_and_salting(spark, facilities):
     records = spark.range(0, 300, 1, 6).selectExpr(
-        "CASE WHEN id % 3 = 0 THEN ' 03929 ' WHEN id % 3 = 1 THEN NULL ELSE '99999' END AS hoscode",
+        "CASE WHEN id % 3 = 0 THEN ' 11111 ' WHEN id % 3 = 1 THEN NULL ELSE '99999' END AS hoscode",
         "CAST(NULL AS STRING) AS hosname", "id")
     plain = attach_area(records, facilities, broadcast=True)
     salted = attach_area(records, facilities, broadcast=False)
@@ -117,11 +118,36 @@ def test_lists_are_sorted_with_nulls_last(made):
     assert keys == sorted(keys)
     raw = people.failed_list(df, profile, "2026-02-01", raw=True).columns
     assert "pid_raw" in raw and len({c.lower() for c in raw}) == len(raw)
+    groups = people.column_groups(df.columns, L.FAILED_COLUMNS, True)
+    assert "PID" in groups["main"] and "pid_raw" in groups["raw"] and "dmft_p" in groups["computed"]
+
+
+def test_page_knows_the_size_of_the_list(made):
+    profile, df, _ = made
+    listed = people.failed_list(df, profile, "2026-02-01")
+    page = people.first_page(listed, 3)
+    assert page.rows.count() == 3 and tuple(page.counts.first()) == (3, listed.count())
+
+
+def test_hot_key_is_split_at_run_time(spark):
+    facts = spark.range(0, 400_000, 1, 8).selectExpr("IF(id % 10 < 7, 'hot', CAST(id AS STRING)) AS k", "sha2(CAST(id AS STRING), 256) AS v")
+    dim = spark.range(0, 20_000).selectExpr("CAST(id AS STRING) AS k", "id AS n").unionByName(spark.sql("SELECT 'hot' AS k, 1L AS n"))
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+                                                  "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("50k", "20k", "-1")):
+            spark.conf.set(k, v)
+        joined = left_lookup(facts, dim, "k", broadcast=False)
+        assert len(joined.collect()) == 400_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_area_tree_has_every_level(made):
     _, df, _ = made
     rows = [tuple(r) for r in areas.area_tree(df).collect()]
     assert rows[0] == ("province", "P1", None, None, None)
-    assert ("facility", "P1", "D1", "03929", "unit") in rows
-    assert ("facility", "ไม่ระบุ", "ไม่ระบุ", "10973", "unit") in rows
+    assert ("facility", "P1", "D1", "11111", "clinic") in rows
+    assert ("facility", "ไม่ระบุ", "ไม่ระบุ", "33333", "clinic") in rows
