@@ -1,22 +1,44 @@
 """Encoding with the word-level vocabulary by the tokenizers library, each distinct word once.
 
-The vocabulary drops white space and encodes what lies between apart, so a text is the sequence of its parts
-between blanks. A worker keeps the ids of the parts that it has met (at most ``KEEP``) and encodes new ones only.
+The vocabulary lower-cases, drops white space and encodes runs of letters and runs of signs apart. So a text is the
+sequence of its parts between blanks, and a part that is letters followed by signs is the two one after the
+other. A worker keeps the ids of the parts that it has met (at most ``KEEP``); the library encodes the new runs of
+letters, many to a call, as each ends with one of the tokens that end a word, and one by one whatever is left.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEEP = 400_000
+KEEP = 1_000_000
 #: Characters of text that are worked on at once.
 AT_ONCE = 1 << 22
-_BLANKS = str.maketrans({c: " " for c in "\t\n\r"})
+#: Plain words that are encoded as one text.
+LINE = 256
+WORD_END = "</w>"
+#: Letters before this one are one letter in lower case as well.
+_PLAIN_BELOW = "\u0130"
+#: Letters, then ASCII signs but the apostrophe, which may begin a word.
+_LETTERS_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: No text without these has a mark that could join the letter before it.
+_FAR = re.compile("[^\u0000-\u02ff]")
+
+
+def is_plain(word: str) -> bool:
+    return word.isalpha() and (word.isascii() or max(word) < _PLAIN_BELOW)
+
+
+def parts_of(text: str) -> list[str]:
+    """What stands between blanks; in lower case where that changes nothing in the ids."""
+    if not _FAR.search(text):
+        text = text.lower()
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 class Words:
@@ -25,6 +47,9 @@ class Words:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # their names in a text are ordinary text
+        vocabulary = self.lib.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -32,31 +57,71 @@ class Words:
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def add_plain(self, words: list[str]) -> None:
+        """Runs of letters, many to a call."""
+        lines = [" ".join(words[at:at + LINE]) for at in range(0, len(words), LINE)]
+        got = [np.array(x.ids, np.uint32) for x in self.lib.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.concatenate([*got, np.zeros(0, np.uint32)])
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        if len(ends) == len(words):
+            self.add(words, flat, np.diff(ends, prepend=0))
+        else:  # not the word ends that are expected
+            self.add_each(words)
+
+    def add_each(self, words: list[str]) -> None:
+        got = [x.ids for x in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        self.add(words, np.array([i for x in got for i in x], np.uint32), sizes)
+
     def learn(self, words: set[str]) -> None:
-        new = sorted(words - self.index.keys())
+        index = self.index
+        new = sorted(w for w in words if w not in index)
         if not new:
             return
-        if len(self.index) + len(new) > KEEP:
+        if len(index) + 2 * len(new) > KEEP:
             self.forget()
-            new = sorted(words)
-        got = [x.ids for x in self.lib.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))])
+            index, new = self.index, sorted(words)
+        plain, each, pairs = {}, {}, []
+        for w in new:
+            if is_plain(w):
+                plain[w] = None
+            elif (split := _LETTERS_SIGNS.fullmatch(w)) and is_plain(split[1]):
+                pairs.append((w, split[1], split[2]))
+                if split[1] not in index:
+                    plain[split[1]] = None
+                if split[2] not in index:
+                    each[split[2]] = None
+            else:
+                each[w] = None
+        self.add_plain(list(plain))
+        self.add_each(list(each))
+        if pairs:
+            names, first, second = zip(*pairs)
+            at = np.array([[index[a], index[b]] for a, b in zip(first, second)]).ravel()
+            self.add(list(names), self.joined(at), self.sizes[at].reshape(-1, 2).sum(axis=1))
+
+    def joined(self, at: np.ndarray) -> np.ndarray:
+        """The ids of known parts one after the other."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
 
     def encode_some(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.translate(_BLANKS).split(" ") for t in texts]
+        if not texts:
+            return []
+        parts = [parts_of(t) for t in texts]
         words = [w for p in parts for w in p]
         self.learn(set(words))
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = ends[np.cumsum([len(p) for p in parts]) - 1] if parts else []
-        return np.split(flat, bounds[:-1]) if parts else []
+        bounds = np.cumsum(self.sizes[at])[np.cumsum([len(p) for p in parts]) - 1]
+        return np.split(self.joined(at), bounds[:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
