@@ -30,14 +30,14 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 #: One smallest deviation per statistic: log word length, root shares of symbols, lines, windows.
-FLOOR = (0.05, 0.05, 0.08, 0.08)
+FLOOR = (0.05, 0.04, 0.15, 0.15)
 SUBSET = 0.75
 #: SUBSET / P(chi2 with 6 degrees <= its 0.75 quantile with 4): makes the subset's covariance consistent.
 CONSISTENCY = 1.4853
 STEPS = 3
 #: About the 1 - 1e-6 quantile of chi2 with 4 degrees.
 CUTOFF = 33.4
-MIN_GROUP = 50
+MIN_GROUP = 20
 #: Groups up to this number are broadcast (about 200 bytes each); more are joined by shuffling.
 BROADCAST_GROUPS = 20_000
 

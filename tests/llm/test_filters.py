@@ -70,8 +70,7 @@ def plain_verdicts(rows):
     return counts, failed, distance
 
 
-def test_quality_equals_numpy(spark, docs, monkeypatch):
-    monkeypatch.setattr(quality, "MIN_GROUP", 20)
+def test_quality_equals_numpy(spark, docs):
     rows = [(r.doc_id, r.lang, "s" + str(r.doc_id % 2), r.text) for r in docs.collect()]
     df = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string").repartition(3)
     counts, failed, distance = plain_verdicts([r[1:] for r in rows])
