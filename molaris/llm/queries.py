@@ -119,8 +119,8 @@ QUERIES = {name: _tuned(query) for name, query in _QUERIES.items()}
 SQL_TEXT: dict[str, str] = {
     "op1_voronoi_knn": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false)))),
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
         s AS (
             SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
@@ -133,24 +133,24 @@ SQL_TEXT: dict[str, str] = {
         WITH l AS (
             SELECT doc_id, line, n,
                    CASE WHEN regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')
-                        THEN row_number() OVER (PARTITION BY doc_id, regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') ORDER BY n) END AS at
+                        THEN row_number() OVER (PARTITION BY doc_id, regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') ORDER BY n) END AS pos
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                          generate_subscripts(string_split(text, chr(10)), 1) AS n
                   FROM documents)),
         w AS (
-            SELECT doc_id, at, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c
-            FROM l WHERE at IS NOT NULL WINDOW d AS (PARTITION BY doc_id ORDER BY at)),
+            SELECT doc_id, pos, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c
+            FROM l WHERE pos IS NOT NULL WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
         f AS (
-            SELECT doc_id, at, first_value(doc_id) OVER k AS fd, first_value(at) OVER k AS fa
-            FROM w WHERE c IS NOT NULL WINDOW k AS (PARTITION BY a, b, c ORDER BY doc_id, at)),
+            SELECT doc_id, pos, first_value(doc_id) OVER k AS fd, first_value(pos) OVER k AS fa
+            FROM w WHERE c IS NOT NULL WINDOW k AS (PARTITION BY a, b, c ORDER BY doc_id, pos)),
         g AS (
-            SELECT DISTINCT doc_id, at + k AS at FROM f, (SELECT unnest([0, 1, 2]) AS k)
-            WHERE NOT (doc_id = fd AND at = fa)),
+            SELECT DISTINCT doc_id, pos + k AS pos FROM f, (SELECT unnest([0, 1, 2]) AS k)
+            WHERE NOT (doc_id = fd AND pos = fa)),
         r AS (
-            SELECT l.doc_id, l.line, l.n, l.at, g.at IS NOT NULL AS gone,
-                   lag(g.at IS NOT NULL) OVER (PARTITION BY l.doc_id, l.at IS NOT NULL ORDER BY l.n) AS before
-            FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.at = g.at)
-        SELECT doc_id, count(at) AS n_lines, count(*) FILTER (gone) AS n_removed,
+            SELECT l.doc_id, l.line, l.n, l.pos, g.pos IS NOT NULL AS gone,
+                   lag(g.pos IS NOT NULL) OVER (PARTITION BY l.doc_id, l.pos IS NOT NULL ORDER BY l.n) AS before
+            FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos)
+        SELECT doc_id, count(pos) AS n_lines, count(*) FILTER (gone) AS n_removed,
                count(*) FILTER (gone AND NOT coalesce(before, false)) AS n_runs,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
         FROM r GROUP BY doc_id""",

@@ -64,8 +64,10 @@ def write(df: DataFrame, folder: str, vocabulary: str, text: str = "text", doc_i
 
     A null text counts as empty. Repeated rows are written as often as they come.
     """
-    rows = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = df.select(
+        F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.expr(f"xxhash64(`{text}`)").alias("h"))
+    # the hash lets rows of one id, such as null, fall into several files
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     # the codes hardly shrink, so no time is spent on it
     ordered.mapInArrow(_segments(vocabulary, end), _FILE).write.option("compression", "uncompressed").parquet(folder)
 
