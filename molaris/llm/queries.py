@@ -77,16 +77,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document, how many are gone in how many runs, and a digest of what is left."""
+def _lines_left(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, out = lines.deduplicated(docs)
+    found, out = lines.deduplicated(docs, words=words)
     return found.select(
         "doc_id", F.col(f"{out}.n_lines").alias("n_lines"),
         F.expr(f"CAST(size({out}.removed) AS BIGINT)").alias("n_removed"), F.col(f"{out}.n_runs").alias("n_runs"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many are gone in how many runs, and a digest of what is left."""
+    return _lines_left(spark, sf_dir)
+
+
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same; runs of fewer than three lines that have 50 words go as well."""
+    return _lines_left(spark, sf_dir, 50)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -112,6 +121,7 @@ _QUERIES: dict[str, Query] = {
     "op7_suffix_arrays": op7_suffix_arrays,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op9_passage_dedup": op9_passage_dedup,
     "op10_quality": op10_quality,
 }
 QUERIES = {name: _tuned(query) for name, query in _QUERIES.items()}

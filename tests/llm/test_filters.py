@@ -146,6 +146,34 @@ def test_lines_equal_brute_force(spark, window):
     assert any(x[1] for x in got.values())
 
 
+def plain_passages(rows, words, window=3):
+    """As plain_lines, and shorter runs of so many words go as well."""
+    seqs = {d: [x for x in t.split("\n") if WORD.search(x)] for d, t in rows}
+    first, gone = {}, {d: set() for d in seqs}
+    for d in sorted(seqs):
+        s = seqs[d]
+        for size in range(1, window + 1):
+            for i in range(len(s) - size + 1):
+                key = tuple(s[i:i + size])
+                if (size == window or sum(len(WORD.findall(x)) for x in key) >= words) and first.setdefault(key, (d, i)) != (d, i):
+                    gone[d].update(range(i, i + size))
+    return {d: [x for i, x in enumerate(s) if i not in gone[d]] for d, s in seqs.items()}
+
+
+def test_long_passages_of_few_lines(spark):
+    rnd = random.Random(9)
+    line = lambda n: " ".join(f"w{rnd.randrange(50)}" for _ in range(n))
+    pool = [line(n) for n in (1, 3, 6, 6, 9, 10, 11, 30)]
+    rows = [(d, "\n".join(rnd.choice(pool) if rnd.random() < 0.6 else line(4) for _ in range(rnd.randint(0, 6)))) for d in range(120)]
+    long, short = line(52), line(9)
+    rows += [(200, long), (201, "before\n" + long + "\n" + short), (202, short), (203, long + "\nafter")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for words in (10, 50):
+        got = {r.doc_id: r.text.split("\n") for r in lines.deduplicated(df, words=words)[0].collect()}
+        assert {d: x if x != [""] else [] for d, x in got.items()} == plain_passages(rows, words)
+    assert (got[200], got[201], got[202], got[203]) == ([long], ["before", short], [short], ["after"])
+
+
 def test_op9(spark, sf, texts):
     expected = plain_lines(list(texts.items()))
     for r in queries.op9_line_dedup(spark, sf).collect():
