@@ -1,10 +1,15 @@
 """Secret scan: candidates by a pattern, false positives removed by a random forest.
 
-A candidate is a run of at least ``MIN_LENGTH`` key characters with a digit. Its features are length, how
-often the kind of character changes, spread of characters, coverage by a dictionary of plain words, signs of
-a path, what stands before it (an assignment, a quote, a credential word) and after it. The forest is trained in
-numpy from labelled findings; ``weak_labels`` derives these from the corpus where there are none: a value
-assigned in quotes to a credential name is a secret, and a run found in another place is not one.
+A candidate is a run of at least ``MIN_LENGTH`` key characters with a digit, or whatever stands after a credential
+name and an assignment (or after ``Bearer``): up to the closing quote, or without a quote up to the next blank or
+quote, at least ``NAMED_LENGTH`` characters of any kind. Its features are length, how often the kind of character
+changes, spread of characters, coverage by a dictionary of plain words, signs of a path, what stands before it (an
+assignment, a quote, a credential word) and after it. The forest is trained in numpy from labelled findings.
+
+``weak_labels`` derives labels from the corpus where there are none. A value of a credential name is a secret if it
+is quoted or mixes digits and letters; numbers, paths, UUIDs, placeholders and values of an id's name are none. All
+others are undecided and not trained on. A forest from such labels does not see the name, quote and credential word
+that they are made from.
 
 Training takes at most ``MAX_TRAIN`` findings of each label, the first by hash of their value and context; the
 dictionary is of the words around these. The scan covers every whole text.
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 from molaris.llm.common import written
 
 MIN_LENGTH = 16
+NAMED_LENGTH = 4
 CONTEXT = 48
 MAX_TRAIN = 2_000
 DICTIONARY = 2_000
@@ -39,17 +45,67 @@ CANDIDATE = re.compile(r"[A-Za-z0-9_+/=\-]{%d,}" % MIN_LENGTH)
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _ASSIGNED = re.compile(r"[A-Za-z_][\w.\-]*\s{0,3}[:=]\s{0,3}[\"'`]?$")
-_CREDENTIAL = re.compile(r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer)")
+_WORDS = r"(?i:token(?!i[sz]|s\b)|secret(?!ar)|passw|pwd|api.?key|access.?key|private.?key|auth(?!ors?\b|orit)|credential|bearer)"
+_CREDENTIAL = re.compile(_WORDS)
+_BEGINS = ("token", "secret", "passw", "pwd", "key", "auth", "credential", "bearer")
+# what stands between a credential word and its value
+_UP_TO = r"(?:%s[\w.\-]{0,64}[\"'`]?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}[\"'`]?(?:(?i:bearer|basic)[ \t]{1,3})?|\b(?i:bearer)[ \t]{1,3})" % _WORDS
+_NAMED = re.compile(_UP_TO)
+_NAMED_END = re.compile(_UP_TO + r"[\"'`]?$")
+_QUOTED = {q: re.compile(rf"[^{q}\n]*(?={q})") for q in "\"'`"}
+_BARE = re.compile(r"[^\s\"'`]*")
+_PLACEHOLDER = re.compile(r"(?i)\$[({]|\{\{|<|(?:none|null|true|false|x+|\*+)$")
+_NUMBER = re.compile(r"[0-9+\-=_/]+$")
+_UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+_PATH_PART = re.compile(r"[A-Za-z]?[a-z_\-]+$|[0-9]+$")
+_ID_NAME = re.compile(r"(?i)(?:\b|_|\b\w{0,24})(id|uuid|guid|sha[0-9]*|md5|hash|digest|checksum|commit|rev|revision|etag|version)[\"'`]?\s{0,3}[:=]\s{0,3}[\"'`]?$")
+
+
+def _named(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the values of credential names."""
+    low = text.lower()
+    if not any(w in low for w in _BEGINS):  # much faster than the pattern
+        return
+    done = 0
+    for hit in _NAMED.finditer(text):
+        start = hit.end()
+        quote = text[start - 1]
+        if quote not in _QUOTED and text[start:start + 1] in _QUOTED:  # after a scheme
+            quote, start = text[start], start + 1
+        if start < done:
+            continue
+        inside = _QUOTED[quote].match(text, start) if quote in _QUOTED else None
+        value = inside.group() if inside else _BARE.match(text, start).group().rstrip(".,;:?)]}>")
+        done = start + len(value)
+        if len(value) >= NAMED_LENGTH:
+            yield start, done
 
 
 def found_in(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of the candidates of a text. Signs of an assignment at either end are not part of one."""
+    """Spans of the candidates of a text, in order and apart. Signs of an assignment at either end are not part of one."""
+    runs = []
     for hit in CANDIDATE.finditer(text):
         value = hit.group()
         start = hit.start() + len(value) - len(value.lstrip("=/-"))
         value = value.lstrip("=/-")
         if len(value) >= MIN_LENGTH and _DIGIT.search(value):
-            yield start, start + len(value)
+            runs.append((start, start + len(value)))
+    at = 0
+    for start, end in _named(text):
+        while at < len(runs) and runs[at][1] <= start:
+            yield runs[at]
+            at += 1
+        more = at
+        while more < len(runs) and runs[more][0] < end:
+            more += 1
+        if more > at and re.search(r"\s", text[start:end]):
+            continue  # a quoted sentence around other candidates
+        at = more
+        # a run may go on after a value
+        if at and runs[at - 1][0] < end < runs[at - 1][1]:
+            end = runs[at - 1][1]
+        yield start, end
+    yield from runs[at:]
 
 
 def assigned_name(before: str) -> str:
@@ -62,22 +118,45 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def features(value: str, before: str, after: str, dictionary: frozenset[str]) -> list[float]:
+def weak_label(value: str, before: str) -> int | None:
+    """1: a secret, 0: none, by how it is written down; nothing if that does not tell."""
+    if _NAMED_END.search(before) or _CREDENTIAL.search(assigned_name(before)):
+        if _PLACEHOLDER.match(value):
+            return 0
+        if len(set(value)) <= 5 or re.search(r"\s", value) or re.match(r"[.~]{0,2}/|\w+://", value):
+            return None
+        mixed = len(value) >= 8 and _DIGIT.search(value) and re.search(r"[^\W\d_]", value)
+        return 1 if mixed or before[-1:] in tuple("\"'`") else None
+    if _NUMBER.match(value) or _UUID.match(value) or _ID_NAME.search(before) or before[-1:] in tuple("/\\"):
+        return 0
+    parts = value.split("/")
+    return 0 if len(parts) > 2 and 2 * sum(bool(_PATH_PART.match(p)) for p in parts) > len(parts) else None
+
+
+#: The last features are the signs that weak labels are made from.
+SIGNS = 4
+
+
+def features(value: str, before: str, after: str, dictionary: frozenset[str], weak: bool = False) -> list[float]:
+    """weak: without the signs of the weak labels."""
     kinds = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s" for c in value]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(value) - 1)
     counts = np.array(list(Counter(value).values())) / len(value)
     pieces = words_of(value)
     covered = sum(len(w) for w in pieces if w in dictionary) / len(value)
     near = words_of(before[-CONTEXT // 2:])
+    plain = [w for w in near if not _CREDENTIAL.search(w)]
     name = assigned_name(before)
-    return [
+    found = [
         float(len(value)), changes, float(-(counts * np.log2(counts)).sum()), covered,
         kinds.count("d") / len(value), kinds.count("u") / len(value),
         float(len(set(value.lower()) - set("0123456789abcdef")) == 0),
         value.count("/") / len(value), float(before[-1:] in tuple("/\\.@")), float(after[:1] in tuple("/\\.@")),
+        sum(w in dictionary for w in plain) / max(1, len(plain)),
         float(bool(name)), float(bool(_CREDENTIAL.search(name))), float(before[-1:] in tuple("\"'`")),
-        float(any(_CREDENTIAL.search(w) for w in near)), sum(w in dictionary for w in near) / max(1, len(near)),
+        float(any(_CREDENTIAL.search(w) for w in near)),
     ]
+    return found[:-SIGNS] if weak else found
 
 
 # forest
@@ -85,10 +164,11 @@ def features(value: str, before: str, after: str, dictionary: frozenset[str]) ->
 
 @dataclass
 class Forest:
-    """Trees as arrays: feature (-1 at a leaf), bound, children and share of secrets of each node."""
+    """Trees as arrays: feature (-1 at a leaf), bound, children and share of secrets of each node. weak: from weak labels."""
 
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     dictionary: frozenset[str]
+    weak: bool = False
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -120,7 +200,7 @@ def _best_split(x: np.ndarray, y: np.ndarray, columns: np.ndarray) -> tuple[int,
     return found
 
 
-def grown(x: np.ndarray, y: np.ndarray, dictionary: frozenset[str], seed: int = 0) -> Forest:
+def grown(x: np.ndarray, y: np.ndarray, dictionary: frozenset[str], seed: int = 0, weak: bool = False) -> Forest:
     rng = np.random.default_rng(seed)
     some = max(1, int(np.sqrt(x.shape[1])))
     trees = []
@@ -149,7 +229,7 @@ def grown(x: np.ndarray, y: np.ndarray, dictionary: frozenset[str], seed: int =
             child[at] = first  # the right child follows
             todo += [(first, rows[~right], depth + 1), (second, rows[right], depth + 1)]
         trees.append((np.array(feature), np.array(bound), np.array(child), np.array(share)))
-    return Forest(trees, dictionary)
+    return Forest(trees, dictionary, weak)
 
 
 # Spark
@@ -175,21 +255,17 @@ def candidates(text: Column) -> Column:
 
 
 def weak_labels(findings: DataFrame) -> DataFrame:
-    """Label findings (value, before, after) by how they are written down."""
+    """Label findings (value, before, after) by how they are written down; null if undecided."""
 
     @F.arrow_udf("int")
     def label(value: pa.Array, before: pa.Array) -> pa.Array:
-        out = []
-        for v, b in zip(value.to_pylist(), before.to_pylist()):
-            name = assigned_name(b)
-            out.append(int(bool(name and _CREDENTIAL.search(name)) and b[-1:] in tuple("\"'`") and len(set(v)) > 5))
-        return pa.array(out, pa.int32())
+        return pa.array(list(map(weak_label, value.to_pylist(), before.to_pylist())), pa.int32())
 
     return findings.withColumn("label", label("value", "before"))
 
 
-def fit(labelled: DataFrame) -> Forest | None:
-    """Train on a bounded number of labelled findings (value, before, after, label)."""
+def fit(labelled: DataFrame, weak: bool = False) -> Forest | None:
+    """Train on a bounded number of labelled findings (value, before, after, label). weak: the labels are weak_labels."""
     columns = ["value", "before", "after"]
     rows = []
     for label in (0, 1):
@@ -198,23 +274,23 @@ def fit(labelled: DataFrame) -> Forest | None:
     y = np.array([float(r["label"]) for r in rows])
     if not len(y) or y.min() == y.max():
         return None
-    seen = Counter(w for r in rows for w in {*words_of(r["before"]), *words_of(r["after"])})
+    seen = Counter(w for r in rows for w in {*words_of(r["before"]), *words_of(r["after"])} if not _CREDENTIAL.search(w))
     dictionary = frozenset(w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:DICTIONARY])
-    x = np.array([features(r["value"], r["before"], r["after"], dictionary) for r in rows])
-    return grown(x, y, dictionary)
+    x = np.array([features(r["value"], r["before"], r["after"], dictionary, weak) for r in rows])
+    return grown(x, y, dictionary, weak=weak)
 
 
 def _probability(forest: Forest | None, spans: list[tuple[str, str, str]]) -> np.ndarray:
     if forest is None or not spans:
         return np.zeros(len(spans))
-    return forest.probability(np.array([features(*s, forest.dictionary) for s in spans]))
+    return forest.probability(np.array([features(*s, forest.dictionary, forest.weak) for s in spans]))
 
 
 def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", forest: Forest | None = None) -> tuple[DataFrame, Forest | None]:
     """(doc_id, start, length, value, probability, is_secret) for every candidate, and the forest used."""
     every = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(candidates(F.col(f"`{text}`"))).alias("f"))
     findings = written(every.select("doc_id", "f.*"), "findings")
-    forest = forest or fit(weak_labels(findings))
+    forest = forest or fit(weak_labels(findings), weak=True)
 
     @F.arrow_udf("double")
     def probability(value: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
