@@ -15,7 +15,8 @@ Training takes at most ``MAX_TRAIN`` findings of each label, the first by hash o
 dictionary is of the words around these. The scan covers every whole text.
 
 * Null text has no finding. Repeated rows give their findings once each. Null ids are carried along.
-* Without findings of both labels there is no forest, and nothing is called a secret.
+* A forest from derived labels decides only what they leave open; what they decide is certain, whatever else the
+  input holds. Without findings of both labels there is no forest, and undecided candidates stay.
 """
 
 from __future__ import annotations
@@ -281,9 +282,14 @@ def fit(labelled: DataFrame, weak: bool = False) -> Forest | None:
 
 
 def _probability(forest: Forest | None, spans: list[tuple[str, str, str]]) -> np.ndarray:
-    if forest is None or not spans:
-        return np.zeros(len(spans))
-    return forest.probability(np.array([features(*s, forest.dictionary, forest.weak) for s in spans]))
+    found = np.zeros(len(spans))
+    if forest is not None and spans:
+        found = forest.probability(np.array([features(*s, forest.dictionary, forest.weak) for s in spans]))
+    if forest is None or forest.weak:
+        for i, (value, before, _) in enumerate(spans):
+            label = weak_label(value, before)
+            found[i] = found[i] if label is None else label
+    return found
 
 
 def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", forest: Forest | None = None) -> tuple[DataFrame, Forest | None]:

@@ -325,3 +325,23 @@ def test_forest_does_not_see_its_labels_signs(spark):
     assert forest.weak
     hits = [r for r in found.collect() if r.is_secret]
     assert {r.value for r in hits} == truth and sum(r.doc_id >= 1000 for r in hits) == len(rows)
+
+
+def test_secrets_without_forest(spark):
+    """Secrets alone, or with a number elsewhere: the same verdicts."""
+    rows = [(d, f'password = "{d}hunter2!x" or API_KEY={d}abcdefgh12345678') for d in range(5)]
+    for more in ([], [(9, "the number 4111111111111111")]):
+        df = spark.createDataFrame(rows + more, "doc_id bigint, text string")
+        found, forest = secrets.scan(df)
+        assert (forest is None) == (not more)
+        assert sum(r.is_secret for r in found.collect()) == 10
+        clean = {r.doc_id: r.t for r in df.select("doc_id", secrets.redacted(F.col("text"), forest).alias("t")).collect()}
+        assert all(clean[d] == f'password = "{secrets.MASK}" or API_KEY={secrets.MASK}' for d, _ in rows)
+
+
+def test_op2_on_rows_with_secrets(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op2_secret_scan(spark, sf).collect()
+    assert all(r.is_secret == bool(re.search(r'(?i)token = "$', texts[r.doc_id][:r.start])) for r in rows)
+    assert sum(r.is_secret for r in rows) == sum(len(re.findall(r'(?i)token = "[0-9a-f]{40}"', t)) for t in texts.values()) > 0

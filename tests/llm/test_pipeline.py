@@ -45,3 +45,12 @@ def test_stages_on_odd_rows(spark, sf, odd, none):
             names = Counter(df.columns)
             assert max(names.values()) == 1
             df.collect()
+
+
+def test_secret_scan_on_rows_with_secrets(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    only = df.filter("text RLIKE '(?i)token = '")
+    assert only.count()
+    for docs in (df, only):
+        after = {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, docs, "").collect()}
+        assert after == {r.doc_id: re.sub(r'(?i)(?<=token = ")[0-9a-f]{40}', secrets.MASK, r.text) for r in docs.collect()}
