@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molaris.llm import bpe, knn, lines, packing, quality, secrets, simhash, suffix, tokenfile, toxicity
+from molaris.llm import bpe, knn, lines, packing, quality, runs, secrets, simhash, suffix, tokenfile, toxicity
 from molaris.llm.common import new_folder, table, tune, vocabulary
 
 
@@ -104,6 +104,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"{q}.{n}").alias(n) for n in names])
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document and its text without them; every tenth document, by hash, is made periodic from some word on."""
+    words, h = r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')", "crc32(CAST(doc_id AS STRING))"
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.expr(f"IF({h} % 10 = 0, named_struct('w', {words}, 'g', {h} DIV 10), NULL)").alias("tenth"))
+    first = "CAST(tenth.g % size(tenth.w) AS INT)"
+    again = f"CAST(1 + (size(tenth.w) - {first}) DIV (3 + tenth.g % 8) AS INT)"
+    planted = docs.select("doc_id", "text", "tenth", F.expr(f"IF(size(tenth.w) > 0, {first}, 0)").alias("a"),
+                          F.expr(f"IF(size(tenth.w) > 0, {again}, 1)").alias("p")).select("doc_id", F.expr(
+                              "IF(tenth IS NULL, text, array_join(transform(tenth.w, (w, i) -> IF(i < a, w, tenth.w[a + (i - a) % p])), ' '))").alias("text"))
+    found, out = runs.found(planted)
+    best = found.select("doc_id", out, F.expr(f"""reduce({out}.runs, CAST(NULL AS struct<start: bigint, length: bigint, period: bigint>), (x, y) -> IF(
+        x IS NULL OR y.length > x.length OR y.length = x.length AND (y.start < x.start OR y.start = x.start AND y.period < x.period),
+        y, x))""").alias("best"))
+    listed = f"array_join(transform({out}.runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return best.select(
+        "doc_id", F.expr(f"CAST(size({out}.runs) AS BIGINT)").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), F.sha2(F.expr(listed), 256).alias("runs_sha256"),
+        F.sha2(f"{out}.collapsed", 256).alias("collapsed_sha256"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -123,6 +144,7 @@ _QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op9_passage_dedup": op9_passage_dedup,
     "op10_quality": op10_quality,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 QUERIES = {name: _tuned(query) for name, query in _QUERIES.items()}
 
