@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molaris.llm import bpe, knn, lines, packing, quality, runs, secrets, simhash, suffix, tokenfile, toxicity
+from molaris.llm import bpe, knn, licenses, lines, packing, quality, runs, secrets, simhash, suffix, tokenfile, toxicity
 from molaris.llm.common import new_folder, table, tune, vocabulary
 
 
@@ -125,6 +125,18 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(f"{out}.collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, template labels and score of every document."""
+    found, out = licenses.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, added = f"transform({out}.mentions, m -> m.label)", f"transform({out}.matches, m -> m.label)"
+    return found.select(
+        "doc_id", f"{out}.n_words", F.expr(f"CAST(size({out}.mentions) AS BIGINT)").alias("n_base"),
+        F.expr(f"array_min(transform({out}.mentions, m -> m.start))").alias("first_word"),
+        F.expr(f"array_max(transform({out}.mentions, m -> m.start))").alias("last_word"),
+        F.expr(f"array_join(array_sort(array_distinct({base})), ',')").alias("base_labels"),
+        F.expr(f"array_join(array_sort(array_union({base}, {added})), ',')").alias("labels"), f"{out}.score")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -145,6 +157,7 @@ _QUERIES: dict[str, Query] = {
     "op9_passage_dedup": op9_passage_dedup,
     "op10_quality": op10_quality,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_license_scan": op13_license_scan,
 }
 QUERIES = {name: _tuned(query) for name, query in _QUERIES.items()}
 
