@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molaris.llm import bpe, knn, licenses, lines, packing, quality, runs, secrets, simhash, suffix, tokenfile, toxicity
+from molaris.llm import bpe, divergence, knn, licenses, lines, packing, quality, runs, secrets, simhash, suffix, tokenfile, toxicity
 from molaris.llm.common import new_folder, table, tune, vocabulary
 
 
@@ -104,6 +104,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"{q}.{n}").alias(n) for n in names])
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of every source to each other source of its language, and the terms that stand out in it."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document and its text without them; every tenth document, by hash, is made periodic from some word on."""
     words, h = r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')", "crc32(CAST(doc_id AS STRING))"
@@ -156,6 +161,7 @@ _QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op9_passage_dedup": op9_passage_dedup,
     "op10_quality": op10_quality,
+    "op11_source_divergence": op11_source_divergence,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_license_scan": op13_license_scan,
 }
@@ -199,4 +205,33 @@ SQL_TEXT: dict[str, str] = {
                count(*) FILTER (gone AND NOT coalesce(before, false)) AS n_runs,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
         FROM r GROUP BY doc_id""",
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents),
+        w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 30),
+        l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+        g AS (
+            SELECT s.lang, s.source, coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0) AS n
+            FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN c USING (lang, source) LEFT JOIN k ON k.lang = c.lang AND k.term = c.term
+            GROUP BY s.lang, s.source),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                   1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.n + 5 * l.v) AS p,
+                   1 + 1000000000::HUGEINT * (k.n + 5) // (l.n + 5 * l.v) AS q
+            FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        a AS (
+            SELECT x.lang, x.source, 'pair' AS part, y.source AS item, sum(abs(x.p - y.p)) AS value
+            FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+            UNION ALL
+            SELECT x.lang, x.source, 'pair', y.source, 0 FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+            WHERE x.lang NOT IN (SELECT lang FROM l)
+            UNION ALL
+            SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM a QUALIFY part = 'pair' OR rank <= 50""",
 }
