@@ -40,6 +40,8 @@ TOP = 50
 #: Leaves of the subtrees of one bucket, and rows of counts that a task holds before it hands them on.
 CELLS = 65_536
 HELD = 400_000
+#: Languages, one row each, that are broadcast; with more of them the joins by language are shuffled.
+LANGUAGES = 10_000
 #: Pairs of nodes that are walked at the same time.
 PAIRS = 1_000_000
 
@@ -213,11 +215,13 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     langs = groups.groupBy("lang").agg(F.sum("total").alias("whole"), F.count(F.lit(1)).alias("groups"))
     langs = langs.join(terms, "lang", "left").fillna(0, ["kept"]).withColumn(
         "buckets", F.expr(f"CAST(greatest(1, ceil(kept * groups / {CELLS})) AS INT)"))
-    frame = groups.join(langs, "lang").select(
+    langs = written(langs, "languages")
+    near = F.broadcast(langs) if langs.count() <= LANGUAGES else langs
+    frame = groups.join(near, "lang").select(
         "lang", "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("n"), "total", "whole", "kept",
         F.explode(F.expr("sequence(0, buckets - 1)")).alias("bucket"))
     none = [F.lit(0).cast("bigint").alias(c) for c in ("total", "whole", "kept")]
-    dealt = cells.join(langs.select("lang", "buckets"), "lang").select(
+    dealt = cells.join(near.select("lang", "buckets"), "lang").select(
         "lang", "source", "term", "n", *none, F.expr("CAST(pmod(xxhash64(term), buckets) AS INT)").alias("bucket"))
     parts = frame.unionByName(dealt).groupBy("lang", "bucket").applyInPandas(
         _subtree, "lang string, source string, part string, item string, value bigint")
