@@ -335,6 +335,11 @@ SELECT CASE WHEN po % 3 = 2 THEN CASE WHEN po % 2 = 0 THEN 'x' ELSE '1' END END
   count(CASE WHEN po % 3 <> 1 THEN gum END) AS gums, count(birth) AS births, count(date_serv) AS served,
   sum(pteeth) AS pteeth, count(DISTINCT cid) AS persons
 FROM clean GROUP BY ALL"""
+ORACLE["s1_ranges"] = f"""WITH {TEXT}, shown AS (SELECT * REPLACE (CASE WHEN po % 3 <> 1 THEN gum END AS gum) FROM clean WHERE po % 3 <> 2)
+SELECT gum IS NULL AS no_gum, count(*) AS n, count(*) FILTER (WHERE po % 7 = 0) AS broken,
+  count(DISTINCT CASE WHEN po % 7 = 0 THEN replace(addr, '/', chr(10)) ELSE addr END) AS addresses, count(hoscode) AS hoscodes,
+  count(birth) AS births, sum(pteeth) AS pteeth, count(DISTINCT cid) AS persons
+FROM shown GROUP BY ALL"""
 ORACLE["s2_source_file"] = f"""WITH {EXAM}
 SELECT CASE WHEN CAST(pid AS BIGINT) % 3 = 2 THEN 'parquet' ELSE 'csv' END AS kind,
   CAST(pid AS BIGINT) % 3 <> 0 OR CAST(pid AS BIGINT) % 50 <> 0 AS plain, count(*) AS n
@@ -803,6 +808,7 @@ att AS (
     coalesce(f.ampname, 'ไม่ระบุ') AS ampname, coalesce(f.pvname, 'ไม่ระบุ') AS pvname
   FROM clean e LEFT JOIN fac f ON e.hoscode = f.hoscode),
 {derived_from('att')} SELECT pvname, band, gum_status, examined, count(*) AS n FROM prep GROUP BY ALL"""
+ORACLE["k6_changed_files"] = ORACLE["k6_snapshot"].replace("CASE WHEN po % 3 <> 1 THEN e.gum END AS gum", "e.gum AS gum")
 ORACLE["k5_bundle_header"] = f"WITH {headline_ctes(SCHOOL, ['all'])} " + " UNION ALL ".join(
     f"SELECT {i} AS ord, '{title}' AS \"รายการ\", CAST({value} AS VARCHAR) AS \"ค่า\" FROM head"
     for i, (title, value) in enumerate(_rows))

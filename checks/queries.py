@@ -19,7 +19,7 @@ from molaris.operators.report import long_report, report, wide_table
 from molaris.plans.profiles import PRESCHOOL, SCHOOL_AGE
 from molaris.plans.rules import COUNT_PCT, MEAN, Band, Metric, NameColumn, NameRule, Overview, Profile, Table
 from molaris.sources import files, sinks, snapshot
-from molaris.sources.storage import new_folder
+from molaris.sources.storage import drop_folder, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,7 +83,7 @@ def named_file(df: DataFrame, folder: str, name: str, before: list[str]) -> None
 
 
 def load(spark, folder):
-    return files.load_records(spark, folder, work=new_folder(spark, "work"))
+    return files.load_records(spark, folder)
 
 
 @query
@@ -96,6 +96,17 @@ def s1_folder_scan(spark, sf):
         F.sum("pteeth").alias("pteeth"), F.count_distinct("cid").alias("persons"))
 
 
+@query
+def s1_ranges(spark, sf):
+    """The text files by ranges of 64 KB, many to a file, with quoted line breaks across their borders."""
+    listed = files.list_files(spark, written_folder(spark, sf)).where(files.IS_TEXT)
+    df = clean.conform(files.read_ranges(listed, files.kinds_of(listed)[0], split=64 << 10))
+    return df.groupBy(F.col("gum").isNull().alias("no_gum")).agg(
+        F.expr(r"count_if(contains(addr, '\n'))").alias("broken"), F.count_distinct("addr").alias("addresses"),
+        F.count(F.lit(1)).alias("n"), F.count("hoscode").alias("hoscodes"), F.count("birth").alias("births"),
+        F.sum("pteeth").alias("pteeth"), F.count_distinct("cid").alias("persons"))
+
+
 @query
 def s2_source_file(spark, sf):
     df = load(spark, written_folder(spark, sf))
@@ -707,6 +718,32 @@ def k6_snapshot(spark, sf):
     return counted(snapshot.load_prepared(*args), "pvname", "band", "gum_status", "examined")
 
 
+@query
+def k6_changed_files(spark, sf):
+    """Files added, changed and removed after a first load; only these are read by the second."""
+    folder, root = new_folder(spark, "records"), new_folder(spark, "snapshots")
+    raw = V.text_records(spark, sf)
+    pid = F.trim(F.translate("pid", "\u00a0", "")).cast("bigint")
+    last = pid % 3 == 2
+
+    def save(part, fmt):
+        part.write.mode("append").format(fmt).option("header", True).option("escape", '"').save(folder)
+
+    def load():
+        return snapshot.load_prepared(spark, folder, V.facilities(spark, sf), PRESCHOOL, root)
+
+    save(raw.where(pid % 3 == 0), "csv")
+    save(raw.where(pid % 3 == 1), "parquet")
+    named_file(raw.where(pid % 100 == 50), folder, "gone.csv", [])
+    named_file(raw.where(last & (pid % 100 == 8)), folder, "_changed.csv", [])
+    load()
+    drop_folder(spark, f"{folder}/gone.csv")
+    drop_folder(spark, f"{folder}/_changed.csv")
+    named_file(raw.where(last & (pid % 100 == 7)), folder, "_changed.csv", [""])
+    save(raw.where(last & (pid % 100 != 7)), "csv")
+    return counted(load(), "pvname", "band", "gum_status", "examined")
+
+
 @query
 def k6_rule_change(spark, sf):
     """A changed band, then a changed facility table, each give another snapshot."""

@@ -70,9 +70,9 @@ def test_nothing_is_lost(spark, tmp_path):
         ("1", "x", "blank.csv"), ("2", "y", "blank.csv"), ("3", "z", "_jan.csv"), ("4", "two\nlines", "breaks.csv"),
         ("5", 'with "quotes"', "breaks.csv"), ("6", "ฟันผุ", "thai.TXT"), ("7", "ฟันดี é", "utf.csv"), ("8", "int", "1.parquet"),
         ("nine", "text", "2.parquet")]
-    assert rows_of(spark, folder, work=str(tmp_path / "work")) == expected
+    assert rows_of(spark, folder) == expected
     with pytest.raises(ValueError, match="_jan.csv"):
-        files.read_folder(spark, str(folder))
+        files.read_folder(spark, str(folder), reader="spark")
 
 
 def test_extra_values_are_an_error(spark, tmp_path):
@@ -90,8 +90,8 @@ def test_file_without_header(spark, tmp_path):
         files.read_folder(spark, str(tmp_path))
 
 
-def test_no_python_in_the_scan(spark, folder):
-    plan = files.load_records(spark, str(folder))._jdf.queryExecution().toString()
+def test_no_python_in_the_scan_by_spark(spark, folder):
+    plan = files.load_records(spark, str(folder), reader="spark")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
 
 
@@ -110,16 +110,23 @@ def test_snapshot_is_reused_until_files_change(spark, folder, facilities, childr
     df = snapshot.load_prepared(*args)
     assert df.count() == 270
     assert {r[0] for r in df.select("agegroup").distinct().collect()} == {"a0-2", "a3-5"}
-    own = root / PRESCHOOL.id
-    first = [p.name for p in own.iterdir()]
+    own = next((root / PRESCHOOL.id).iterdir())
+
+    def made(kind):
+        return sorted(p.name for p in own.iterdir() if p.name.startswith(kind))
+
+    first = made("")
     snapshot.load_prepared(*args)
-    assert [p.name for p in own.iterdir()] == first
+    assert made("") == first
     write(folder / "more 0-2.csv", children[:10], list(children[0]))
     assert snapshot.load_prepared(*args).count() == 280
     # the one before stays readable, older ones go
-    assert df.count() == 270 and len(list(own.iterdir())) == 2
+    assert df.count() == 270 and len(made("manifest")) == 2 and len(made("data")) == 2
+    assert snapshot.load_prepared(*args, refresh=True).count() == 280
+    assert len(made("manifest")) == 2 and len(made("data")) == 3
     assert snapshot.load_prepared(*args, refresh=True).count() == 280
-    assert len(list(own.iterdir())) == 2
+    assert len(made("manifest")) == 2 and len(made("data")) == 2
+    assert len(list((root / PRESCHOOL.id).iterdir())) == 1
 
 
 def test_snapshot_follows_rules_and_facilities(spark, folder, facilities, tmp_path):
