@@ -454,6 +454,14 @@ ORACLE["f1_rule_language"] = f"""WITH {EXAM} SELECT 0::BIGINT AS never,
   count(*) FILTER (WHERE need_pfilling > 0 OR (need_dfilling > 0 AND sex IS DISTINCT FROM '1')) AS signs,
   count(*) FILTER (WHERE pcaries > 0) AS number_unequal, count(*) FILTER (WHERE pteeth BETWEEN 1 AND 3) AS in_numbers,
   count(*) FILTER (WHERE need_dextract = -1) AS minus, count(*) FILTER (WHERE pteeth >= 16) AS half FROM exam"""
+ORACLE["f1_typed_rules"] = f"""WITH {EXAM} SELECT
+  count(*) FILTER (WHERE providertype <> sex) AS texts_differ, count(*) FILTER (WHERE providertype = sex) AS texts_equal,
+  count(*) FILTER (WHERE gum <> hoscode) AS not_texts_equal, 0::BIGINT AS text_is_number, count(sex) AS text_is_no_number,
+  0::BIGINT AS number_is_text, count(*) AS number_is_no_text, count(*) FILTER (WHERE sex = '2' AND providertype = '02') AS added_texts,
+  count(*) FILTER (WHERE (sex = '2' AND providertype = '02') IS NOT TRUE) AS added_texts_differ,
+  count(*) FILTER (WHERE sex = '2') AS mixed_list, count(*) FILTER (WHERE sex IS DISTINCT FROM '2') AS outside_mixed_list,
+  0::BIGINT AS no_member, count(*) FILTER (WHERE providertype IN ('02', '06')) AS text_order,
+  count(*) FILTER (WHERE pteeth <> dteeth) AS numbers_differ, count(*) FILTER (WHERE date_serv >= birth) AS times FROM exam"""
 ORACLE["f2_scope"] = counted(f"{PREPARED},{scoped(SCHOOL)}", "pop", "age, examined", "in_scope")
 ORACLE["f3_area"] = counted(PREPARED, "prep", "pvname, ampname, hoscode",
                             "pvname = 'ASIA' AND ampname = 'District 2'")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import views as V
 from molaris.functions.numeric import percent, scaled_percent, with_rounded
-from molaris.functions.rule_language import to_sql
+from molaris.functions.rule_language import kinds_of, to_sql
 from molaris.functions.rules import amount, met
 from molaris.functions.text import blank_to_null, drop_number_prefix, strip
 from molaris.operators import areas, clean, export, findings as fnd, people, scope
@@ -378,6 +378,23 @@ def f1_rule_language(spark, sf):
     return df.agg(*[F.expr(f"count_if({met(to_sql(rule))}) AS {name}") for name, rule in WRITTEN_RULES.items()])
 
 
+# Rules whose meaning hangs on the types of their columns.
+TYPED_RULES = {
+    "texts_differ": "providertype != sex", "texts_equal": "providertype == sex", "not_texts_equal": "not (gum == hoscode)",
+    "text_is_number": "sex == 1", "text_is_no_number": "sex != 1", "number_is_text": "pteeth == '3'", "number_is_no_text": "pteeth != '3'",
+    "added_texts": "sex + providertype == '202'", "added_texts_differ": "sex + providertype != '202'", "mixed_list": "sex in [1, '2']",
+    "outside_mixed_list": "sex not in [1, '2']", "no_member": "pteeth in ['3']", "text_order": "providertype > '01'",
+    "numbers_differ": "pteeth != dteeth", "times": "date_serv >= birth",
+}
+
+
+@query
+def f1_typed_rules(spark, sf):
+    df = V.records(spark, sf)
+    kinds = kinds_of(df.dtypes)
+    return df.agg(*[F.expr(f"count_if({met(to_sql(rule, kinds))}) AS {name}") for name, rule in TYPED_RULES.items()])
+
+
 @query
 def f2_scope(spark, sf):
     return counted(scope.scope(V.prepared(spark, sf, SCHOOL_AGE), SCHOOL_AGE), "age", "examined")

@@ -7,23 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from molaris.functions import sql, text
+from molaris.plans.labels import CODE_COLUMNS, NUMERIC_COLUMNS, TIME_COLUMNS  # noqa: F401
 from molaris.plans.rules import NameColumn
 
-# The typed columns of a record.
-NUMERIC_COLUMNS = [
-    "pteeth", "pcaries", "pfilling", "pextract",
-    "dteeth", "dcaries", "dfilling", "dextract",
-    "need_fluoride", "need_scaling", "need_sealant",
-    "need_pfilling", "need_dfilling", "need_pextract", "need_dextract",
-    "nprosthesis", "permanent_permanent", "permanent_prosthesis",
-    "prosthesis_prosthesis",
-]
-TIME_COLUMNS = ["date_serv", "birth", "d_update"]
-CODE_COLUMNS = [
-    "hoscode", "pid", "cid", "sex", "denttype", "servplace",
-    "gum", "schooltype", "class", "provider", "providertype",
-]
-
 SOURCE_FILE = "_source_file"
 
 

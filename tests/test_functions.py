@@ -5,6 +5,7 @@ from hypothesis import given, settings, strategies as st
 from molaris.functions import numeric, text
 from molaris.functions.dates import months_between, years_between
 from molaris.functions.gum import gum_status, normal_gum, sextants
+from molaris.functions.rule_language import RuleError, kinds_of, to_sql
 from molaris.functions.rules import met
 
 
@@ -81,3 +82,26 @@ def test_rule_null_semantics(spark):
              "d > 0 OR e > 0": True, "d > 0": False}
     assert [df.selectExpr(met(r)).first()[0] for r in cases] == list(cases.values())
     assert met(None) == "true" and met(False) == "false"
+
+
+def test_rules_by_the_types_of_their_columns(spark):
+    """As the reference evaluates them: a text never equals a number, two null texts are neither equal nor unequal."""
+    df = spark.createDataFrame(
+        [("x", "x", 1.0, 1.0), ("x", "y", 2.0, None), (None, "x", None, None), (None, None, 4.0, 3.0), ("1", None, 1.0, 5.0)],
+        "a string, b string, n double, m double")
+    kinds = kinds_of(df.dtypes)
+    cases = {
+        "a == b": [1, 0, 0, 0, 0], "a != b": [0, 1, 0, 0, 0], "not (a == b)": [0, 1, 0, 0, 0], "a == 'x'": [1, 1, 0, 0, 0],
+        "a != 'x'": [0, 0, 1, 1, 1], "a < b": [0, 1, 0, 0, 0], "a == 1": [0, 0, 0, 0, 0], "a != 1": [1, 1, 0, 0, 1],
+        "a == n": [0, 0, 0, 0, 0], "a != n": [1, 1, 0, 0, 1], "n == 'x'": [0, 0, 0, 0, 0], "n != 'x'": [1, 1, 1, 1, 1],
+        "a + b == 'xx'": [1, 0, 0, 0, 0], "a + b != 'xx'": [0, 1, 1, 1, 1], "n == m": [1, 0, 0, 0, 0], "n != m": [0, 0, 0, 1, 1],
+        "n in [1, 'x']": [1, 0, 0, 0, 1], "a in [1]": [0, 0, 0, 0, 0], "a not in [1]": [1, 1, 1, 1, 1], "(n == 1) == (m == 1)": [1, 0, 0, 1, 0],
+    }
+    got = df.selectExpr(*[f"{met(to_sql(rule, kinds))} AS c{i}" for i, rule in enumerate(cases)]).collect()
+    for i, (rule, expected) in enumerate(cases.items()):
+        assert [int(r[i]) for r in got] == expected, rule
+    for rule, wrong in {"z == 1": "no column z", "a > 1": "order of a text and a number", "a - b == 1": "arithmetic with a text",
+                        "a + 1 == 2": "arithmetic with a text"}.items():
+        with pytest.raises(RuleError, match=wrong):
+            to_sql(rule, kinds)
+    assert to_sql("z == 1") == "(`z` = 1)" and to_sql("pteeth == '3'") == "false"

@@ -214,6 +214,15 @@ def test_rule_sets_from_files(spark, tmp_path):
         read_profiles(spark, str(tmp_path))
 
 
+def test_rule_sets_compiled_by_the_records(spark, records, tmp_path):
+    (tmp_path / "mini.json").write_text(RULES)
+    df = prepare(records, PRESCHOOL)
+    assert read_profiles(spark, str(tmp_path), df)["mini"].quality_filter == read_profiles(spark, str(tmp_path))["mini"].quality_filter
+    (tmp_path / "mini.json").write_text(RULES.replace("dcaries + dfilling == 0", "dcaries + d_filling == 0"))
+    with pytest.raises(ProfileError, match="no column d_filling"):
+        read_profiles(spark, str(tmp_path), df)
+
+
 def test_rule_set_file_gives_the_report_of_its_rules(spark, records, tmp_path):
     (tmp_path / "mini.json").write_text(RULES)
     p = read_profiles(spark, str(tmp_path))["mini"]
