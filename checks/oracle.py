@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from molaris.plans.profiles import PRESCHOOL as RULES
-
 AS_OF = "2003-06-30"
 ORACLE: dict[str, str] = {}
 
@@ -789,6 +787,13 @@ ORACLE["p4_sorted_page"] = (f"WITH {PREPARED},{scoped(SCHOOL)} SELECT {failed_co
 ORACLE["p5_pending_page"] = (f"WITH {PREPARED} SELECT {PENDING} FROM prep WHERE NOT examined AND pvname = 'ASIA' "
                              f"ORDER BY prep.hoscode NULLS LAST, prep.birth NULLS LAST, prep.cid LIMIT 100")
 
+ORACLE["p5_pending_pages"] = (f"WITH {PREPARED} SELECT {PENDING}, CAST((row_number() OVER w + 39) // 40 AS INTEGER) AS page, count(*) OVER () AS total "
+                              f"FROM prep WHERE NOT examined AND pvname = 'ASIA' "
+                              f"WINDOW w AS (ORDER BY prep.hoscode NULLS LAST, prep.birth NULLS LAST, prep.cid) QUALIFY row_number() OVER w <= 120")
+ORACLE["p5_failed_pages"] = (f"WITH {PREPARED},{scoped(SCHOOL)} SELECT {failed_columns(SCHOOL)}, "
+                             f"CAST((row_number() OVER w + 149) // 150 AS INTEGER) AS page, count(*) OVER () AS total FROM pop "
+                             f"WHERE in_scope AND NOT q WINDOW w AS (ORDER BY pop.hoscode NULLS LAST, pop.age, pop.cid) "
+                             f"QUALIFY row_number() OVER w <= 300")
 ORACLE["p5_total"] = (f"WITH {PREPARED} SELECT least(count(*), 100)::BIGINT AS shown, count(*) AS total FROM prep "
                       f"WHERE NOT examined AND pvname = 'ASIA'")
 
@@ -817,15 +822,28 @@ att AS (
   FROM clean e LEFT JOIN fac f ON e.hoscode = f.hoscode),
 {derived_from('att')} SELECT pvname, band, gum_status, examined, count(*) AS n FROM prep GROUP BY ALL"""
 ORACLE["k6_changed_files"] = ORACLE["k6_snapshot"].replace("CASE WHEN po % 3 <> 1 THEN e.gum END AS gum", "e.gum AS gum")
+ORACLE["a1_maintained_cells"] = ORACLE["k6_changed_files"].replace(
+    "SELECT pvname, band, gum_status, examined, count(*) AS n FROM prep",
+    "SELECT pvname, ampname, count(*) AS target, count(*) FILTER (WHERE NOT examined) AS pending, count(DISTINCT hoscode) AS units, "
+    "count(*) FILTER (WHERE examined AND age BETWEEN 0 AND 5) AS in_scope, "
+    "strftime(max(date_serv) FILTER (WHERE examined AND age BETWEEN 0 AND 5), '%Y-%m-%d') AS last FROM prep")
 ORACLE["k5_bundle_header"] = f"WITH {headline_ctes(SCHOOL, ['all'])} " + " UNION ALL ".join(
     f"SELECT {i} AS ord, '{title}' AS \"รายการ\", CAST({value} AS VARCHAR) AS \"ค่า\" FROM head"
     for i, (title, value) in enumerate(_rows))
 ORACLE["k5_bundle_districts"] = (f"WITH {breakdown_ctes(PRESCHOOL, 'district')} "
                                  f"{labelled('ปราศจากฟันผุ (ฟันน้ำนม)', 'dmft เฉลี่ย', 'district')}")
 ORACLE["k5_bundle_findings"] = ORACLE["i13_findings_table"]
-_notes = ", ".join(
-    f"('{t.no}', {i}, '{note}')" for t in RULES.tables if t.no in ("2", "3")
-    for i, note in enumerate([f"ตารางที่ {t.no} {t.title}", *t.conditions]))
+_NOTES = [
+    ("2", 0, "ตารางที่ 2 ร้อยละของผู้ปราศจากโรคฟันผุและมีประสบการณ์ฟันผุ (ฟันน้ำนม)"),
+    ("2", 1, "ปราศจากฟันผุ = dcaries + dfilling + dextract = 0"),
+    ("2", 2, "ฟันดีไม่มีผุ = dcaries + dextract = 0"),
+    ("2", 3, "ฟันผุไม่ได้รักษา = dcaries > 0 | ฟันถอน = dextract > 0 | ฟันอุด = dfilling > 0"),
+    ("2", 4, "ฟันผุถอนอุด = dcaries + dfilling + dextract > 0"),
+    ("3", 0, "ตารางที่ 3 ค่าเฉลี่ยฟันผุถอนอุดในกลุ่มอายุต่างๆ (ซี่ต่อคน, ฟันน้ำนม)"),
+    ("3", 1, "ฟันที่มีในปาก = dteeth"),
+    ("3", 2, "ค่าเฉลี่ยแต่ละช่อง = ผลรวมของช่องนั้น ÷ จำนวนคนที่ตรวจผ่านเกณฑ์คุณภาพ"),
+]
+_notes = ", ".join(str(note) for note in _NOTES)
 ORACLE["k5_bundle_notes"] = f"""WITH {long_ctes(PRESCHOOL)}
 SELECT n.table_no, n.ord, n.note, b.base FROM (VALUES {_notes}) AS n(table_no, ord, note)
 JOIN (SELECT table_no, max(base) AS base FROM long WHERE is_total GROUP BY table_no) b ON b.table_no = n.table_no"""

@@ -8,12 +8,13 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import views as V
+from molaris.functions import sql
 from molaris.functions.numeric import percent, scaled_percent, with_rounded
 from molaris.functions.rule_language import kinds_of, to_sql
 from molaris.functions.rules import amount, met
 from molaris.functions.text import blank_to_null, drop_number_prefix, strip
 from molaris.operators import areas, clean, export, findings as fnd, people, scope
-from molaris.operators.cells import LEVELS, build_cells, report_rows
+from molaris.operators.cells import LEVELS, Measures, build_cells, report_rows
 from molaris.operators.lookup import first_per_key
 from molaris.operators.report import long_report, report, wide_table
 from molaris.plans.profiles import PRESCHOOL, SCHOOL_AGE
@@ -636,6 +637,32 @@ def p5_total(spark, sf):
     return pending_page(spark, sf).counts
 
 
+def page_walk(first, df: DataFrame, limit: int, pages: int) -> DataFrame:
+    """The first pages of a list one after the other, each with its number and the size of the list."""
+    out, after = [], None
+    for number in range(1, pages + 1):
+        page = first(limit, after)
+        out += [(*r, number, page.total) for r in page.rows]
+        after = page.after
+        if after is None:
+            break
+    schema = ", ".join(f"{sql.name(c)} {kind}" for c, kind in [*df.dtypes, ("page", "int"), ("total", "bigint")])
+    return df.sparkSession.createDataFrame(out, schema)
+
+
+@query
+def p5_pending_pages(spark, sf):
+    df, options = V.prepared(spark, sf, SCHOOL_AGE), {"pv": "ASIA", "then_by": ("cid",)}
+    return page_walk(lambda n, after: people.pending_page(df, V.AS_OF, n, after, **options), people.pending_list(df, V.AS_OF, **options), 40, 3)
+
+
+@query
+def p5_failed_pages(spark, sf):
+    df, options = V.prepared(spark, sf, SCHOOL_AGE), {"then_by": ("cid",)}
+    return page_walk(lambda n, after: people.failed_page(df, SCHOOL_AGE, V.AS_OF, n, after, **options),
+                     people.failed_list(df, SCHOOL_AGE, V.AS_OF, **options), 150, 2)
+
+
 # Order and sinks ---------------------------------------------------------------------------
 
 def ranked(df: DataFrame) -> DataFrame:
@@ -738,6 +765,20 @@ def k6_snapshot(spark, sf):
 @query
 def k6_changed_files(spark, sf):
     """Files added, changed and removed after a first load; only these are read by the second."""
+    return counted(changed_folder(spark, sf, snapshot.load_prepared), "pvname", "band", "gum_status", "examined")
+
+
+@query
+def a1_maintained_cells(spark, sf):
+    """Cells of the same files, kept up to date file by file."""
+    cells = changed_folder(spark, sf, snapshot.load_cells)
+    m = Measures(PRESCHOOL)
+    return cells.groupBy("pvname", "ampname").agg(
+        F.sum(m.target).alias("target"), F.sum(m.pending).alias("pending"), F.count_distinct("hoscode").alias("units"),
+        F.sum(m.examined).alias("in_scope"), F.date_format(F.max("date_max"), "yyyy-MM-dd").alias("last"))
+
+
+def changed_folder(spark, sf, load_from) -> DataFrame:
     folder, root = new_folder(spark, "records"), new_folder(spark, "snapshots")
     raw = V.text_records(spark, sf)
     pid = F.trim(F.translate("pid", "\u00a0", "")).cast("bigint")
@@ -747,7 +788,7 @@ def k6_changed_files(spark, sf):
         part.write.mode("append").format(fmt).option("header", True).option("escape", '"').save(folder)
 
     def load():
-        return snapshot.load_prepared(spark, folder, V.facilities(spark, sf), PRESCHOOL, root)
+        return load_from(spark, folder, V.facilities(spark, sf), PRESCHOOL, root)
 
     save(raw.where(pid % 3 == 0), "csv")
     save(raw.where(pid % 3 == 1), "parquet")
@@ -758,7 +799,7 @@ def k6_changed_files(spark, sf):
     drop_folder(spark, f"{folder}/_changed.csv")
     named_file(raw.where(last & (pid % 100 == 7)), folder, "_changed.csv", [""])
     save(raw.where(last & (pid % 100 != 7)), "csv")
-    return counted(load(), "pvname", "band", "gum_status", "examined")
+    return load()
 
 
 @query

@@ -109,14 +109,15 @@ def row_kinds(profile: Profile) -> set[str]:
     return {t.row_kind for t in profile.tables} - {"none"}
 
 
-def build_cells(df: DataFrame, profile: Profile, facilities: DataFrame | None = None) -> DataFrame:
+def build_cells(df: DataFrame, profile: Profile, facilities: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per (area names, facility, age or band) over the whole population.
 
     Rows out of scope keep a null age and band, so they count only towards totals.
 
     Records that already carry their area need no ``facilities``. With them, the records are
     summed by facility code first and only the cells are looked up, so the records are never
-    joined; use this when no rule of the profile names a facility column.
+    joined; use this when no rule of the profile names a facility column. ``by`` are further columns to keep apart, which
+    ``merged_cells`` sums up again.
     """
     m = Measures(profile)
     kinds = row_kinds(profile)
@@ -133,7 +134,7 @@ def build_cells(df: DataFrame, profile: Profile, facilities: DataFrame | None =
         f"CASE WHEN _in_scope THEN {date} END AS _date",
     )
     keys = [c for c in AREA_KEYS + NAME_KEYS if c in have]
-    cells = flagged.groupBy(*keys, "_age", "_band").agg(
+    cells = flagged.groupBy(*keys, *by, "_age", "_band").agg(
         *[F.expr(f"{a} AS {name}") for name, a in m.aggregates.items()],
         F.expr("min(_date) AS date_min"), F.expr("max(_date) AS date_max"))
     if facilities is not None:
@@ -144,6 +145,13 @@ def build_cells(df: DataFrame, profile: Profile, facilities: DataFrame | None =
     return cells.selectExpr("*", *missing) if missing else cells
 
 
+def merged_cells(cells: DataFrame, profile: Profile) -> DataFrame:
+    """Cells of several parts of the records as cells of all of them."""
+    m = Measures(profile)
+    return cells.groupBy(*AREA_KEYS, *NAME_KEYS, "_age", "_band").agg(
+        *sum_measures(m), F.min("date_min").alias("date_min"), F.max("date_max").alias("date_max"))
+
+
 def sum_measures(m: Measures) -> list[Column]:
     return [F.expr(f"sum({name}) AS {name}") for name in m.aggregates]
 

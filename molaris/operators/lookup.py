@@ -7,6 +7,7 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import Column, DataFrame, functions as F
 
 from molaris.functions import text
+from molaris.functions.sql import quoted
 from molaris.operators.clean import tidy_headers
 from molaris.plans.labels import UNKNOWN_AREA
 
@@ -19,6 +20,12 @@ PREFIXED_COLUMNS = ["ampname", "pvname", "tumbonname"]
 BROADCAST_BYTES = 32 * 1024 * 1024
 BROADCAST_ROWS = 250_000
 
+# Keys that may count as hot, and how many the sketch that finds them tracks (a power of two): it misses no key with more
+# than 4 / TRACKED of the rows.
+HOT_KEYS = 256
+TRACKED = 8192
+SPREAD = 8
+
 _MEASURED: WeakKeyDictionary[DataFrame, bool] = WeakKeyDictionary()
 
 
@@ -66,17 +73,40 @@ def fits_broadcast(df: DataFrame) -> bool:
     return _MEASURED[df]
 
 
+def hot_keys(facts: DataFrame, key: str, parts: int) -> dict[str, int]:
+    """Keys with more than half of a fair task's rows, and how many salts each is dealt over: one pass over the key column
+    with a frequent-items sketch."""
+    found, rows = facts.agg(
+        F.expr(f"approx_top_k(CAST(`{key}` AS STRING), {HOT_KEYS}, {TRACKED})"), F.count(key)).first()
+    fair = max(rows / parts, 1)
+    # many salts for each fair share, as they fall on tasks by hash; all together at most SPREAD for each task and hot key
+    return {r["item"]: int(SPREAD * r["count"] / fair) + 1 for r in found or [] if r["item"] is not None and 2 * r["count"] > fair}
+
+
 def left_lookup(facts: DataFrame, dim: DataFrame, key: str, broadcast: bool | None = None) -> DataFrame:
     """Left join to a dimension with unique keys.
 
-    Broadcast when the measured size allows. Otherwise a shuffle join: rows without a key get one of their input
-    split's that no facility has, so they are spread and never match, and the session splits the partition of a
-    hot key at run time (``molaris.session.tune``).
+    Broadcast when the measured size allows. Otherwise a shuffle join by key and salt. Rows of a hot key are dealt over
+    as many salts as their share asks for, and only its row of the dimension is there once for each salt. Rows without a
+    key get one of their own that no row of the dimension has. The salt is made from the row and its input split, so a
+    task that runs again deals its rows out in the same way.
     """
     if fits_broadcast(dim) if broadcast is None else broadcast:
         return facts.join(F.broadcast(dim), key, "left")
-    keyed = facts.withColumn("_key", F.coalesce(key, F.concat(F.lit("\u0000"), F.spark_partition_id())))
-    return keyed.join(dim.hint("merge").withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+    spark = facts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = hot_keys(facts, key, parts)
+    dealt = "CASE " + " ".join(f"WHEN `{key}` = {quoted(k)} THEN {n}" for k, n in salts.items()) + " ELSE 1 END" if salts else "1"
+    own = ", ".join(f"`{c}`" for c, kind in facts.dtypes if not kind.startswith(("map", "variant")))
+    mixed = f"xxhash64(spark_partition_id(), {own})"
+    taken = {c.lower() for c in [*facts.columns, *dim.columns]}
+    code, salt = next((f"_key{i}", f"_salt{i}") for i in range(len(taken) + 1) if not {f"_key{i}", f"_salt{i}"} & taken)
+    keyed = facts.withColumns({
+        code: F.expr(f"coalesce(CAST(`{key}` AS STRING), concat('\\u0000', pmod({mixed}, {4 * parts})))"),
+        salt: F.expr(f"IF(`{key}` IS NULL, 0, CAST(pmod({mixed}, {dealt}) AS INT))")})
+    copies = dim.withColumnRenamed(key, code).withColumn(
+        salt, F.explode(F.expr(f"sequence(0, {dealt.replace(f'`{key}`', f'`{code}`')} - 1)")))
+    return keyed.join(copies.hint("merge"), [code, salt], "left").drop(code, salt)
 
 
 def attach_area(df: DataFrame, facilities: DataFrame, broadcast: bool | None = None) -> DataFrame:

@@ -1,7 +1,12 @@
-"""Write report parts as CSV or Parquet."""
+"""Write report parts as CSV or Parquet.
+
+A bundle is written to a folder of its own below its path, its list of parts last. Readers take the newest bundle whose
+list of parts is there, so a failure, or a writer at work, leaves them the whole bundle before.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +18,11 @@ from molaris.operators.findings import findings, findings_table
 from molaris.operators.report import long_report, wide_table
 from molaris.operators.scope import filter_area
 from molaris.plans.rules import Profile
+from molaris.sources.storage import drop_folder, folders_named, is_complete
+
+# Bundles below a path that stay: the newest and the one before, which may still be read.
+KEPT = 2
+PARTS = "parts"
 
 
 def write_csv(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
@@ -28,10 +38,12 @@ def write_bundle(cells: DataFrame, profile: Profile, path: str, as_of: str, fmt:
 
     ``cells`` come from ``build_cells``. They and the rolled-up rows are written first and read back, so the records are
     scanned once whatever the number of parts. A selected province, district or facility narrows the cells. The
-    breakdown drills down: districts, then the units of a selected district, none below a facility.
-    Returns the names of the parts.
+    breakdown drills down: districts, then the units of a selected district, none below a facility. The bundle counts
+    once all parts are written; the one before stays. Returns the names of the parts.
     """
-    levels = list(levels)
+    levels, spark, top = list(levels), cells.sparkSession, path.rstrip("/")
+    done = bundles(spark, top)
+    path = f"{top}/bundle_{int(done[-1].split('_')[1]) + 1 if done else 1:06d}_{uuid.uuid4().hex}"
     cells = _kept(filter_area(cells, pv, amp, hos), f"{path}/cells")
     rows = _kept(report_rows(cells, profile, levels), f"{path}/rows")
     with_area = levels != ["all"]
@@ -51,15 +63,28 @@ def write_bundle(cells: DataFrame, profile: Profile, path: str, as_of: str, fmt:
             write_csv(part, f"{path}/{name}")
         else:
             part.write.mode("overwrite").format(fmt).save(f"{path}/{name}")
+    spark.createDataFrame([(n, fmt) for n in parts], "part string, format string").coalesce(1).write.parquet(f"{path}/{PARTS}")
+    for old in bundles(spark, top)[:-KEPT]:
+        drop_folder(spark, f"{top}/{old}")
     return list(parts)
 
 
-def read_part(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """One part of a written report by name, such as ``table_2`` or ``findings``."""
+def bundles(spark: SparkSession, path: str) -> list[str]:
+    """The folders of the finished bundles of a path, oldest first."""
+    top = path.rstrip("/")
+    return [n for n in sorted(folders_named(spark, top, r"bundle_\d{6}_[0-9a-f]{32}")) if is_complete(spark, f"{top}/{n}/{PARTS}")]
+
+
+def read_part(spark: SparkSession, path: str, name: str, fmt: str = "parquet", bundle: str | None = None) -> DataFrame:
+    """One part of a written report by name, such as ``table_2`` or ``findings``. To read several parts of one report
+    while others may be written, name the ``bundle``, the last of ``bundles``."""
+    done = [bundle] if bundle else bundles(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no finished bundle in {path}")
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("escape", '"')
-    return reader.load(f"{path}/{name}")
+    return reader.load(f"{path.rstrip('/')}/{done[-1]}/{name}")
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:

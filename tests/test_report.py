@@ -5,7 +5,7 @@ from molaris.operators import areas, people, scope
 from molaris.operators.cells import LEVELS, build_cells, report_rows
 from molaris.operators.derive import prepare
 from molaris.operators.findings import findings, findings_table
-from molaris.operators.lookup import attach_area, conform_facilities, first_per_key, left_lookup
+from molaris.operators.lookup import attach_area, conform_facilities, first_per_key, hot_keys, left_lookup
 from molaris.operators.report import long_report, report, wide_table
 from molaris.plans import labels as L
 from molaris.plans.profiles import PRESCHOOL, PROFILES, SCHOOL_AGE
@@ -129,17 +129,54 @@ def test_page_knows_the_size_of_the_list(made):
     assert page.rows.count() == 3 and tuple(page.counts.first()) == (3, listed.count())
 
 
-def test_hot_key_is_split_at_run_time(spark):
-    facts = spark.range(0, 400_000, 1, 8).selectExpr("IF(id % 10 < 7, 'hot', CAST(id AS STRING)) AS k", "sha2(CAST(id AS STRING), 256) AS v")
-    dim = spark.range(0, 20_000).selectExpr("CAST(id AS STRING) AS k", "id AS n").unionByName(spark.sql("SELECT 'hot' AS k, 1L AS n"))
-    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
-                                                  "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold")}
+def test_pages_one_after_the_other_are_the_list(made):
+    profile, df, _ = made
+    twice = df.union(df.where("hoscode = '11111'")).union(df.where("pid = 'P7'"))
+    for listed, page in ((people.failed_list(twice, profile, "2026-02-01"), lambda n, a: people.failed_page(twice, profile, "2026-02-01", n, a)),
+                         (people.pending_list(twice, "2026-02-01"), lambda n, a: people.pending_page(twice, "2026-02-01", n, a))):
+        rows, after, total = [], None, listed.count()
+        while True:
+            found = page(37, after)
+            rows += found.rows
+            after = found.after
+            assert found.total == total and found.shown == len(found.rows) <= 37
+            if after is None:
+                break
+        assert sorted(map(str, rows)) == sorted(map(str, listed.collect())) and len(rows) == total > 37
+        keys = [r["รหัสหน่วยบริการ"] for r in rows]
+        assert keys == sorted(keys)
+    empty = people.pending_page(df, "2026-02-01", pv="nowhere")
+    assert (empty.rows, empty.shown, empty.total, empty.after) == ([], 0, 0, None)
+
+
+def test_a_page_is_one_scan(spark, made):
+    profile, df, _ = made
+    df.count()
+    spark.sparkContext.setJobGroup(f"page {profile.id}", "page")
+    people.pending_page(df, "2026-02-01", 5)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"page {profile.id}")) == 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.34, 0.9])
+def test_hot_key_is_dealt_over_tasks(spark, share):
+    """One code in most rows, and rows without one; the largest task stays near the median, without help at run time."""
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
     try:
-        for k, v in zip(kept, ("50k", "20k", "-1")):
+        for k, v in zip(kept, ("false", "-1", "32")):
             spark.conf.set(k, v)
+        facts = spark.range(0, 200_000, 1, 8).selectExpr(
+            f"CASE WHEN id % 100 < {int(share * 100)} THEN 'hot' WHEN id % 100 >= 95 THEN NULL ELSE CAST(id % 20000 AS STRING) END AS k",
+            "id AS v", "1 AS _salt0")
+        dim = spark.range(0, 20_000).selectExpr("CAST(id AS STRING) AS k", "id AS n").unionByName(spark.sql("SELECT 'hot' AS k, -1L AS n"))
+        salts = hot_keys(facts, "k", 32)
+        assert set(salts) == ({"hot"} if share else set())
         joined = left_lookup(facts, dim, "k", broadcast=False)
-        assert len(joined.collect()) == 400_000
-        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.columns == ["k", "v", "_salt0", "n"] and "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        wrong = joined.where("NOT (n <=> CASE WHEN k = 'hot' THEN -1 ELSE CAST(k AS BIGINT) END)")
+        assert joined.count() == joined.select("v").distinct().count() == 200_000 and wrong.isEmpty()
+        tasks = sorted(r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+        assert len(tasks) == 32 and tasks[-1] <= 3 * tasks[16], tasks
     finally:
         for k, v in kept.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

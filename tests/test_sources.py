@@ -187,6 +187,32 @@ def test_bundle_of_a_district_and_a_unit(spark, records, facilities, tmp_path):
     assert "units" not in parts and "districts" not in parts and target == "90"
 
 
+def test_failed_bundle_leaves_the_one_before(spark, records, tmp_path, monkeypatch):
+    cells = build_cells(prepare(records, PRESCHOOL), PRESCHOOL)
+    path = str(tmp_path / "b")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_part(spark, path, "header")
+    sinks.write_bundle(cells, PRESCHOOL, path, "2026-02-01")
+    before = {p: sinks.read_part(spark, path, p).collect() for p in ("header", "table_2", "notes")}
+
+    def fails(*args):
+        raise RuntimeError("lost")
+
+    other = cells.where("pvname = 'P1'")
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "notes_table", fails)
+        with pytest.raises(RuntimeError):
+            sinks.write_bundle(other, PRESCHOOL, path, "2026-02-01")
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "PARTS", "nowhere")  # all parts are there, their list is not
+        sinks.write_bundle(other, PRESCHOOL, path, "2026-02-01")
+    assert {p: sinks.read_part(spark, path, p).collect() for p in before} == before
+    old = sinks.read_part(spark, path, "header")
+    sinks.write_bundle(other, PRESCHOOL, path, "2026-03-01")
+    assert sinks.read_part(spark, path, "header").collect() != before["header"] == old.collect()
+    assert len(sinks.bundles(spark, path)) == 2
+
+
 RULES = """
 {"id": "mini", "age_range": [3, 5], "quality_filter": "providertype in ['02', '06'] and dteeth >= 1",
  "bands": [{"label": "3-5", "min": 3, "max": 5}], "quality_extra": {"3-5": "dteeth + dextract == 20"},
