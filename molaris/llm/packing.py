@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from molaris.llm.common import written
-from molaris.llm.wordbpe import loaded
+from molaris.llm.wordbpe import TOGETHER, loaded
 
 SIZE = 4096
 END = 2
@@ -208,9 +208,9 @@ def _pieces(path: str, size: int, grid: int, end: int):
         for batch in batches:
             names = batch.column(0).to_pylist()
             rows = []
-            for at in range(0, len(names), 256):
-                texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
-                for name, x in zip(names[at:at + 256], words.encode(texts)):
+            for at in range(0, len(names), TOGETHER):
+                texts = [t or "" for t in batch.column(1).slice(at, TOGETHER).to_pylist()]
+                for name, x in zip(names[at:at + TOGETHER], words.encode(texts)):
                     x = np.concatenate([x, last])
                     for start in range(0, len(x), size):
                         part = x[start:start + size]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from molaris.llm import dac
-from molaris.llm.wordbpe import loaded
+from molaris.llm.wordbpe import TOGETHER, loaded
 
 END = 1
 #: A segment is closed once it has so many ids.
@@ -44,9 +44,9 @@ def _segments(path: str, end: int):
         last = np.array([end], np.uint32)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for at in range(0, len(names), 256):
-                texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
-                for name, x in zip(names[at:at + 256], words.encode(texts)):
+            for at in range(0, len(names), TOGETHER):
+                texts = [t or "" for t in batch.column(1).slice(at, TOGETHER).to_pylist()]
+                for name, x in zip(names[at:at + TOGETHER], words.encode(texts)):
                     docs.append(name)
                     ids.append(np.concatenate([x, last]))
                     size += len(ids[-1])

@@ -64,11 +64,31 @@ def test_bpe_odd_rows(odd, none):
     assert none.select(bpe.encoded(F.col("text"), RANKS)).count() == 0
 
 
+def plain_library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(WORDS)
+
+
+@pytest.mark.parametrize("keep", [400_000, 60])
+def test_special_names_are_their_tokens(monkeypatch, keep):
+    """As the untouched library does it, wherever the names stand; also when the worker forgets parts all the time."""
+    monkeypatch.setattr(wordbpe, "KEEP", keep)
+    words, lib = wordbpe.Words(WORDS), plain_library()
+    rnd = random.Random(8)
+    own = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "the", "A.", "b's", " ", "\n", "日", "é", "<", "|", "\x0b", "x1"]
+    for _ in range(60):
+        some = ["".join(rnd.choice(own) for _ in range(rnd.randint(0, 12))) for _ in range(20)]
+        assert [x.tolist() for x in words.encode(some)] == [lib.encode(t, add_special_tokens=False).ids for t in some]
+        assert len(words.words) <= max(keep, 400)
+    assert words.encode(["a<|endoftext|>b"])[0].tolist()[1] == 49407
+
+
 def test_words_equal_library(texts):
     words = wordbpe.Words(WORDS)
     rnd = random.Random(5)
     some = ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 40))) for _ in range(800)] + list(texts.values())
-    expected = [x.ids for x in words.lib.encode_batch(some, add_special_tokens=False)]
+    expected = [x.ids for x in plain_library().encode_batch(some, add_special_tokens=False)]
     assert [x.tolist() for x in words.encode(some)] == expected
 
 
@@ -93,7 +113,7 @@ def test_codes(bits):
 
 
 def as_read(rows, texts, end):
-    lib = wordbpe.Words(WORDS).lib
+    lib = plain_library()
     at = 0
     for r in rows:
         ids = lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [end]
@@ -145,7 +165,7 @@ def check_packed(rows, ids_of, size):
 
 
 def test_op8(spark, sf, texts):
-    lib = wordbpe.Words(WORDS).lib
+    lib = plain_library()
     ids = {d: lib.encode(t, add_special_tokens=False).ids + [2] for d, t in texts.items()}
     rows = queries.op8_packing(spark, sf).collect()
     assert {r.doc_id for r in rows} == ids.keys()
@@ -155,7 +175,7 @@ def test_op8(spark, sf, texts):
 def test_packing_one_common_length(spark):
     texts = {i: "a b c d e f g h i j k l m n o p q r s t u v w" for i in range(300)} | {1000 + i: "x " * (i % 50) for i in range(60)}
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
-    lib = wordbpe.Words(WORDS).lib
+    lib = plain_library()
     ids = {d: lib.encode(t, add_special_tokens=False).ids + [2] for d, t in texts.items()}
     rows = packing.packed(df, WORDS, size=64, grid=8).collect()
     assert check_packed(rows, ids, 64) < 0.1
