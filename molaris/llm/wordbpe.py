@@ -48,6 +48,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        # names of special tokens are found in the texts; one that only appears in lower case is ordinary text
+        self.lib.encode_special_tokens = True
         vocabulary = self.lib.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
