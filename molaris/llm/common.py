@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folder of the vocabulary files; a parameter of every operator that needs one.
 TOKENIZERS = "/opt/tokenizers"
@@ -74,3 +75,8 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def packed_row(df: DataFrame) -> Column:
+    """All columns of a table as one struct column ``_row``, so that no name of theirs meets an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")

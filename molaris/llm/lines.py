@@ -2,10 +2,10 @@
 
 A document is the sequence of its lines that have a word. In each window of ``window`` lines the line with
 the smallest hash (the last of equals) is the window's fingerprint, so two equal runs of at least ``window``
-lines always share one. Positions with equal fingerprints are joined. A match is extended before and after
-its fingerprint line to the whole windows that selected it; windows of equal content that overlap make up the
-maximal run. Every window but the first of its content, in order of (document id, position), is a later
-repeat: its lines are deleted. Extension meets on content, so no group of positions is paired out.
+lines always share one: windows whose fingerprint occurs at one place only have no match and are sorted out. The others
+meet by the hash of their whole content; windows of equal content that overlap make up the maximal run. Every window
+but the first of its content, in order of (document id, position), is a later repeat: its lines are deleted. No group
+of positions is paired out.
 
 With ``words``, runs of fewer lines than a window that have at least so many words go by the same rule, so that
 a long passage written as one or two lines is found and short common lines stay.
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molaris.llm.common import free_name, written
+from molaris.llm.common import free_name, packed_row, written
 
 WINDOW = 3
 HAS_WORD = r"[^\\x20\\x09-\\x0D]"
@@ -87,26 +87,26 @@ def deduplicated(
     spans = later_windows(lines, window, words).groupBy("doc", "key").agg(F.collect_set(F.struct("at", "size")).alias("_l_at"))
     found = spans.select(F.col("doc").alias("_l_doc"), F.col("key").alias("_l_key"), F.expr(
         "array_sort(array_distinct(flatten(transform(_l_at, s -> sequence(s.at, s.at + s.size - 1)))))").alias("_l_gone"))
-    kept = [F.col(f"`{c}`") for c in df.columns]
-    keyed = df.select(*kept, F.expr(f"xxhash64(`{doc_id}`, `{text}`)").alias("_l_own"))
-    on = F.col(f"`{doc_id}`").eqNullSafe(F.col("_l_doc")) & (F.col("_l_own") == F.col("_l_key"))
+    # the row is kept in one column, so no name of its own can clash
+    keyed = df.select(packed_row(df), F.col(f"`{doc_id}`").alias("_l_id"), F.expr(f"xxhash64(`{doc_id}`, `{text}`)").alias("_l_own"))
+    on = F.col("_l_id").eqNullSafe(F.col("_l_doc")) & (F.col("_l_own") == F.col("_l_key"))
     joined = keyed.join(found, on, "left")
     split = joined.select(
-        *kept, "_l_gone",
-        F.expr(rf"split(`{text}`, '\n')").alias("_l_lines"),
+        "_row", "_l_gone",
+        F.expr(rf"split(_row.`{text}`, '\n')").alias("_l_lines"),
     ).select(
-        *kept, "_l_gone", "_l_lines",
+        "_row", "_l_gone", "_l_lines",
         F.expr(f"filter(sequence(0, size(_l_lines) - 1), i -> _l_lines[i] RLIKE '{HAS_WORD}')").alias("_l_index"),
     )
     rest = split.select(
-        *kept, "_l_gone", "_l_lines", "_l_index",
+        "_row", "_l_gone", "_l_lines", "_l_index",
         F.expr("""CASE WHEN _l_gone IS NOT NULL THEN array_except(
             sequence(0, size(_l_lines) - 1), transform(_l_gone, p -> _l_index[p])) END""").alias("_l_rest"),
     )
-    left = F.expr(rf"""CASE WHEN _l_rest IS NULL THEN `{text}`
+    left = F.expr(rf"""CASE WHEN _l_rest IS NULL THEN _row.`{text}`
         ELSE array_join(transform(_l_rest, i -> _l_lines[i]), '\n') END""")
     return rest.select(
-        *[left.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns],
+        *[left.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in df.columns],
         F.struct(
             F.expr("CAST(coalesce(size(_l_index), 0) AS BIGINT)").alias("n_lines"),
             F.expr("coalesce(_l_gone, CAST(array() AS ARRAY<INT>))").alias("removed"),

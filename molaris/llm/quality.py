@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from molaris.llm.common import free_name, written
+from molaris.llm.common import free_name, packed_row, written
 
 WORD_GAP = r"[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -198,13 +198,12 @@ def estimates(stats: DataFrame) -> tuple[DataFrame, bool]:
 def judged(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> tuple[DataFrame, str]:
     """The table with a struct column added, and its name: the counts, base_failed, distance and kept."""
     q = free_name(df, "quality")
-    counts = counted(df, text, q)
-    failed = F.expr(f"`{q}`.n_words < {MIN_WORDS} OR 100 * `{q}`.n_repeat_words > {MAX_REPEAT_PERCENT} * `{q}`.n_words")
-    table = written(counts.withColumn(q, F.col(f"`{q}`").withField("base_failed", failed)), "counts")
     # the row is kept in one column, so no name of its own can clash
+    counts = counted(df.select(packed_row(df), F.col(f"`{text}`").alias("_text")), "_text", "_counts").drop("_text")
+    failed = F.expr(f"_counts.n_words < {MIN_WORDS} OR 100 * _counts.n_repeat_words > {MAX_REPEAT_PERCENT} * _counts.n_words")
+    table = written(counts.withColumn("_counts", F.col("_counts").withField("base_failed", failed)), "counts")
     described = table.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{q}`").alias("_counts"),
-        F.col(f"`{lang}`").cast("string").alias("_lang"), F.col(f"`{source}`").cast("string").alias("_source"),
+        "_row", "_counts", F.col(f"_row.`{lang}`").cast("string").alias("_lang"), F.col(f"_row.`{source}`").cast("string").alias("_source"),
     ).select("*", *[x.alias(f"x{i}") for i, x in enumerate(statistics("_counts"))])
     columns = ["_lang", "_source", *[f"x{i}" for i in range(DIMS)]]
     found, small = estimates(described.filter("NOT _counts.base_failed").select(*columns))

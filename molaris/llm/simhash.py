@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molaris.llm.common import written
+from molaris.llm.common import packed_row, written
 from molaris.llm.components import connected
 
 SHINGLE = 4
@@ -257,17 +257,23 @@ def one_of_each(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED,
     max_bits: int = MAX_BITS,
 ) -> DataFrame:
-    """The rows of the smallest id of every component, equal rows of one id once.
+    """The rows of the smallest id of every component, one for each of its texts.
 
-    Of a component all of whose ids are null, the row of one fingerprint with the smallest text stays.
+    Of a component all of whose ids are null, the row of one fingerprint with the smallest text stays. Of rows equal in id
+    and text the one with the smallest hash of all its columns stays, whatever order they come in.
     """
     found = written(near_duplicates(df, text, doc_id, shingle, seed, max_bits), "components")
     keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_s_doc")).distinct()
-    own = F.col(f"`{doc_id}`")
-    named = df.filter(own.isNotNull()).join(keep, own == F.col("_s_doc"), "left_semi").dropDuplicates([doc_id, text])
+    hashed = ", ".join(f"`{c}`" for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind)
+    # the row is kept in one column, so no name of its own can clash
+    rows = df.select(packed_row(df), F.col(f"`{doc_id}`").cast("bigint").alias("_s_id"), F.expr(f"coalesce(`{text}`, '')").alias("_s_text"),
+                     F.expr(f"struct(xxhash64({hashed}) AS a, xxhash64('2', {hashed}) AS b)").alias("_s_hash"))
+    named = rows.join(keep, F.col("_s_id") == F.col("_s_doc"), "left_semi").groupBy(
+        "_s_id", F.expr(f"xxhash64(_row.`{text}`)").alias("_s_t1"), F.expr(f"xxhash64('2', _row.`{text}`)").alias("_s_t2"),
+    ).agg(F.min_by("_row", "_s_hash").alias("_row"))
     alone = found.filter("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("_s_fp"))
-    nameless = df.filter(own.isNull()).withColumn("_s_own", fingerprint(F.col(f"`{text}`"), shingle, seed))
+    nameless = rows.filter("_s_id IS NULL").withColumn("_s_own", fingerprint(F.col(f"_row.`{text}`"), shingle, seed))
     # equal fingerprints of null ids may be different texts: the smallest text
     rest = nameless.join(alone, F.col("_s_own") == F.col("_s_fp")).groupBy("_s_fp").agg(
-        F.expr(f"min_by(struct({', '.join(f'`{c}`' for c in df.columns)}), coalesce(`{text}`, ''))").alias("_s_row"))
-    return named.unionByName(rest.select("_s_row.*"))
+        F.min_by("_row", F.struct("_s_text", "_s_hash")).alias("_row"))
+    return named.select("_row.*").unionByName(rest.select("_row.*"))

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molaris.llm.common import free_name, written
+from molaris.llm.common import free_name, packed_row, written
 
 LENGTH = 50
 Q = 16
@@ -529,9 +529,9 @@ def repeats_removed(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     if not 3 * Q - 1 <= length < Q + 128:
         raise ValueError(f"length must lie between {3 * Q - 1} and {Q + 127}")
     out = free_name(df, "repeats")
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    # the row is kept in one column, so no name of its own can clash
     raw = df.select(
-        *columns, F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NULL_ID)).alias("_s_doc"),
+        packed_row(df), F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NULL_ID)).alias("_s_doc"),
         F.expr(f"CAST(coalesce(`{text}`, '') AS BINARY)").alias("_s_raw"))
     only = raw.select("_s_doc", "_s_raw")
     total = only.agg(F.sum(F.length("_s_raw"))).first()[0] or 0
@@ -559,4 +559,5 @@ def repeats_removed(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     gone = spans.unionByName(written(fine, "fine")).filter(f"kind = {GONE}").groupBy("doc").agg(
         F.collect_list(F.struct("at", "n", "seen")).alias("_s_spans")).withColumnRenamed("doc", "_s_of")
     joined = raw.join(gone, F.col("_s_doc") == F.col("_s_of"), "left")
-    return joined.select(*columns, _kept(F.col("_s_raw"), F.col("_s_spans"), length).alias(out)), out
+    return joined.select("_row", _kept(F.col("_s_raw"), F.col("_s_spans"), length).alias("_s_out")).select(
+        "_row.*", F.col("_s_out").alias(out)), out

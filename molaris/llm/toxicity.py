@@ -127,8 +127,9 @@ def fit(texts: DataFrame, labels: DataFrame) -> Classifier | None:
     def featured(batch: pa.Array) -> pa.Array:
         return pa.array([sorted(features_of(t.as_py() or "")) for t in batch], pa.list_(pa.string()))
 
-    # a row of both kinds appears twice
-    chosen = texts.join(some, "id").unionByName(texts.join(any_, "id")).dropDuplicates(["id", "kind"])
+    # an id of both kinds appears twice; of several texts of an id the one with the smallest hash
+    chosen = texts.join(some, "id").unionByName(texts.join(any_, "id")).groupBy("id", "kind").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     sample = written(chosen.select("id", "kind", featured("text").alias("f")), "featured")
     totals = dict(sample.groupBy("kind").count().collect())
     if not totals.get(0) or not totals.get(1):

@@ -31,7 +31,9 @@ def odd(spark):
         (None, None, None, None, None), (7, "Ünïcødé 日本語 \x1c   <|endoftext|> 😀 don't", "fr", "c", 5), (8, "line\n" * 40, "en", "a", 200),
     ]
     df = spark.createDataFrame(rows, DOCS)
-    for name in ("quality", "lines", "fingerprint", "component_id", "score", "FP", "length", "value", "part", "key", "split"):
+    for name in ("quality", "lines", "fingerprint", "component_id", "score", "FP", "length", "value", "part", "key", "split",
+                 "_row", "_text", "_counts", "_lang", "_source", "x0", "_q_text", "_q_n", "_q_words", "_l_own", "_l_gone", "_l_doc", "_l_index",
+                 "_l_id", "_s_doc", "_s_raw", "_s_spans", "_s_fp", "_s_id", "_s_own", "doc", "h", "n", "at", "term", "bucket", "kept", "total"):
         df = df.withColumn(name, F.lit("mine"))
     return df
 

@@ -105,5 +105,5 @@ def test_odd_rows(spark, odd, none):
     assert got(divergence.audit(odd, least=1)) == plain(rows, 1)
     assert got(divergence.audit(odd)) == plain(rows)  # no term is kept: distances of 0
     assert divergence.audit(none).count() == 0
-    named = odd.withColumnsRenamed({"text": "term", "lang": "bucket", "source": "n"}).withColumnsRenamed({"n_chars": "total"})
+    named = odd.select("text", "lang", "source", "n_chars").withColumnsRenamed({"text": "term", "lang": "bucket", "source": "n", "n_chars": "total"})
     assert got(divergence.audit(named, "term", "bucket", "n", 2)) == plain(rows, 2)
