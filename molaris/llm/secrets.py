@@ -6,17 +6,16 @@ quote, at least ``NAMED_LENGTH`` characters of any kind. Its features are length
 changes, spread of characters, coverage by a dictionary of plain words, signs of a path, what stands before it (an
 assignment, a quote, a credential word) and after it. The forest is trained in numpy from labelled findings.
 
-``weak_labels`` derives labels from the corpus where there are none. A value of a credential name is a secret if it
-is quoted or mixes digits and letters; numbers, paths, UUIDs, placeholders and values of an id's name are none. All
-others are undecided and not trained on. A forest from such labels does not see the name, quote and credential word
-that they are made from.
+The forest's verdict stands for every candidate. ``fit`` takes labelled findings. ``weak_labels`` derives labels from the
+corpus where there are none, for training only: a value of a credential name is a secret if it is quoted or mixes digits and
+letters; numbers, paths, UUIDs, placeholders and values of an id's name are none. All others are undecided and not trained on.
 
 Training takes at most ``MAX_TRAIN`` findings of each label, the first by hash of their value and context; the
 dictionary is of the words around these. The scan covers every whole text.
 
 * Null text has no finding. Repeated rows give their findings once each. Null ids are carried along.
-* A forest from derived labels decides only what they leave open; what they decide is certain, whatever else the
-  input holds. Without findings of both labels there is no forest, and undecided candidates stay.
+* With fewer than ``MIN_TRAIN`` findings of a label there is no forest; then the derived labels are the verdicts, and
+  undecided candidates stay.
 """
 
 from __future__ import annotations
@@ -37,6 +36,9 @@ MIN_LENGTH = 16
 NAMED_LENGTH = 4
 CONTEXT = 48
 MAX_TRAIN = 2_000
+MIN_TRAIN = 12
+#: A word that stands near fewer findings tells nothing.
+MIN_SEEN = 4
 DICTIONARY = 2_000
 TREES = 24
 DEPTH = 7
@@ -134,12 +136,8 @@ def weak_label(value: str, before: str) -> int | None:
     return 0 if len(parts) > 2 and 2 * sum(bool(_PATH_PART.match(p)) for p in parts) > len(parts) else None
 
 
-#: The last features are the signs that weak labels are made from.
-SIGNS = 4
-
-
-def features(value: str, before: str, after: str, dictionary: frozenset[str], weak: bool = False) -> list[float]:
-    """weak: without the signs of the weak labels."""
+def features(value: str, before: str, after: str, dictionary: dict[str, float]) -> list[float]:
+    """dictionary: the words around findings, and how much more often each stands near secrets (log odds)."""
     kinds = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s" for c in value]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(value) - 1)
     counts = np.array(list(Counter(value).values())) / len(value)
@@ -148,16 +146,16 @@ def features(value: str, before: str, after: str, dictionary: frozenset[str], we
     near = words_of(before[-CONTEXT // 2:])
     plain = [w for w in near if not _CREDENTIAL.search(w)]
     name = assigned_name(before)
-    found = [
+    return [
         float(len(value)), changes, float(-(counts * np.log2(counts)).sum()), covered,
         kinds.count("d") / len(value), kinds.count("u") / len(value),
         float(len(set(value.lower()) - set("0123456789abcdef")) == 0),
         value.count("/") / len(value), float(before[-1:] in tuple("/\\.@")), float(after[:1] in tuple("/\\.@")),
         sum(w in dictionary for w in plain) / max(1, len(plain)),
         float(bool(name)), float(bool(_CREDENTIAL.search(name))), float(before[-1:] in tuple("\"'`")),
-        float(any(_CREDENTIAL.search(w) for w in near)),
+        sum(dictionary.get(w, 0.0) for w in plain), sum(dictionary.get(w, 0.0) for w in words_of(after[:CONTEXT // 2])),
+        float(any(_CREDENTIAL.search(w) for w in near)), float(bool(_ID_NAME.search(before))), float(bool(_UUID.match(value))),
     ]
-    return found[:-SIGNS] if weak else found
 
 
 # forest
@@ -165,11 +163,10 @@ def features(value: str, before: str, after: str, dictionary: frozenset[str], we
 
 @dataclass
 class Forest:
-    """Trees as arrays: feature (-1 at a leaf), bound, children and share of secrets of each node. weak: from weak labels."""
+    """Trees as arrays: feature (-1 at a leaf), bound, children and share of secrets of each node."""
 
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    dictionary: frozenset[str]
-    weak: bool = False
+    dictionary: dict[str, float]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -201,7 +198,7 @@ def _best_split(x: np.ndarray, y: np.ndarray, columns: np.ndarray) -> tuple[int,
     return found
 
 
-def grown(x: np.ndarray, y: np.ndarray, dictionary: frozenset[str], seed: int = 0, weak: bool = False) -> Forest:
+def grown(x: np.ndarray, y: np.ndarray, dictionary: dict[str, float], seed: int = 0) -> Forest:
     rng = np.random.default_rng(seed)
     some = max(1, int(np.sqrt(x.shape[1])))
     trees = []
@@ -230,7 +227,7 @@ def grown(x: np.ndarray, y: np.ndarray, dictionary: frozenset[str], seed: int =
             child[at] = first  # the right child follows
             todo += [(first, rows[~right], depth + 1), (second, rows[right], depth + 1)]
         trees.append((np.array(feature), np.array(bound), np.array(child), np.array(share)))
-    return Forest(trees, dictionary, weak)
+    return Forest(trees, dictionary)
 
 
 # Spark
@@ -265,38 +262,38 @@ def weak_labels(findings: DataFrame) -> DataFrame:
     return findings.withColumn("label", label("value", "before"))
 
 
-def fit(labelled: DataFrame, weak: bool = False) -> Forest | None:
-    """Train on a bounded number of labelled findings (value, before, after, label). weak: the labels are weak_labels."""
+def fit(labelled: DataFrame) -> Forest | None:
+    """Train on a bounded number of labelled findings (value, before, after, label)."""
     columns = ["value", "before", "after"]
     rows = []
     for label in (0, 1):
         some = labelled.filter(F.col("label") == label).select(*columns, "label")
         rows += some.orderBy(F.xxhash64(*columns), *columns).limit(MAX_TRAIN).collect()
     y = np.array([float(r["label"]) for r in rows])
-    if not len(y) or y.min() == y.max():
+    if min((y == 0).sum(), (y == 1).sum()) < MIN_TRAIN:
         return None
-    seen = Counter(w for r in rows for w in {*words_of(r["before"]), *words_of(r["after"])} if not _CREDENTIAL.search(w))
-    dictionary = frozenset(w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:DICTIONARY])
-    x = np.array([features(r["value"], r["before"], r["after"], dictionary, weak) for r in rows])
-    return grown(x, y, dictionary, weak=weak)
+    seen = [Counter(w for r in rows if r["label"] == label for w in {*words_of(r["before"]), *words_of(r["after"])}
+                    if not _CREDENTIAL.search(w)) for label in (0, 1)]
+    common = sorted((seen[0] + seen[1]).items(), key=lambda x: (-x[1], x[0]))[:DICTIONARY]
+    n = [(y == 0).sum() + 2, (y == 1).sum() + 2]
+    dictionary = {w: float(np.log((seen[1][w] + 1) / n[1]) - np.log((seen[0][w] + 1) / n[0])) if k >= MIN_SEEN else 0.0 for w, k in common}
+    x = np.array([features(r["value"], r["before"], r["after"], dictionary) for r in rows])
+    return grown(x, y, dictionary)
 
 
 def _probability(forest: Forest | None, spans: list[tuple[str, str, str]]) -> np.ndarray:
-    found = np.zeros(len(spans))
-    if forest is not None and spans:
-        found = forest.probability(np.array([features(*s, forest.dictionary, forest.weak) for s in spans]))
-    if forest is None or forest.weak:
-        for i, (value, before, _) in enumerate(spans):
-            label = weak_label(value, before)
-            found[i] = found[i] if label is None else label
-    return found
+    if forest is None:
+        return np.array([float(weak_label(value, before) == 1) for value, before, _ in spans])
+    if not spans:
+        return np.zeros(0)
+    return forest.probability(np.array([features(*s, forest.dictionary) for s in spans]))
 
 
 def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", forest: Forest | None = None) -> tuple[DataFrame, Forest | None]:
     """(doc_id, start, length, value, probability, is_secret) for every candidate, and the forest used."""
     every = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(candidates(F.col(f"`{text}`"))).alias("f"))
     findings = written(every.select("doc_id", "f.*"), "findings")
-    forest = forest or fit(weak_labels(findings), weak=True)
+    forest = forest or fit(weak_labels(findings))
 
     @F.arrow_udf("double")
     def probability(value: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:

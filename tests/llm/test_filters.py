@@ -277,7 +277,7 @@ def test_forest_held_out():
     rng = np.random.default_rng(3)
     x = rng.random((2000, 6))
     y = ((x[:, 0] > 0.5) & (x[:, 1] < 0.7)).astype(float)
-    forest = secrets.grown(x[:1000], y[:1000], frozenset())
+    forest = secrets.grown(x[:1000], y[:1000], {})
     assert ((forest.probability(x[1000:]) >= 0.5) == y[1000:]).mean() > 0.93
 
 
@@ -316,13 +316,56 @@ def test_secrets_of_any_form():
         assert secrets.weak_label(text[a:b], text[:a]) == label, text
 
 
-def test_forest_does_not_see_its_labels_signs(spark):
-    value = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
-    assert secrets.features(value, 'token = "', '"', frozenset(), True) == secrets.features(value, "the word ", " ", frozenset(), True)
+SECRET_WORDS = ["use the key {} to sign in", "log in with {} today", "my account opens with {} only", "send {} as the passphrase", "ask Ann for {} to unlock it"]
+OTHER_WORDS = ["build {} has finished", "the object {} was stored", "see change {} of the tree", "parcel {} has arrived", "page {} was rendered"]
+
+
+def planted(rnd, n):
+    """Values of one kind in sentences; no rule decides any, the words around them tell."""
+    out = []
+    for d in range(n):
+        secret = rnd.random() < 0.4
+        value = "7" + "".join(rnd.choice(rnd.choice(["0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"])) for _ in range(rnd.randint(20, 40)))
+        lead = " ".join(rnd.choice(["so", "then", "it", "was", "said", "that", "we"]) for _ in range(rnd.randint(0, 6)))
+        out.append((d, f"{lead} {rnd.choice(SECRET_WORDS if secret else OTHER_WORDS).format(value)} {lead}", value, secret))
+    return out
+
+
+def test_forest_decides_what_no_rule_does(spark):
+    """Trained from labelled findings; recall and precision on other planted values."""
+    train, test = planted(random.Random(1), 1500), planted(random.Random(2), 1500)
+    kind = "doc_id bigint, text string, planted string, secret boolean"
+    known = spark.createDataFrame(train, kind)
+    found = known.select("secret", F.explode(secrets.candidates(F.col("text"))).alias("f")).select(F.col("secret").cast("int").alias("label"), "f.*")
+    forest = secrets.fit(found)
+    assert secrets.weak_labels(found.select("value", "before", "after")).filter("label IS NOT NULL").isEmpty()
+    rows, _ = secrets.scan(spark.createDataFrame(test, kind), forest=forest)
+    truth = {value: secret for _, _, value, secret in test}
+    got = {r.value: r.is_secret for r in rows.collect()}
+    assert got.keys() == truth.keys()
+    hits = sum(got[v] and truth[v] for v in truth)
+    assert hits / sum(truth.values()) >= 0.9 and hits / sum(got.values()) >= 0.9
+
+
+def test_every_verdict_is_the_forests(spark, monkeypatch):
+    """Whatever the label rules say of a value, the probability is that of the forest."""
+    df, truth = corpus(spark)
+    _, forest = secrets.scan(df)
+    found, _ = secrets.scan(df, forest=forest)
+    monkeypatch.setattr(secrets, "weak_label", None)
+    for r in found.collect():
+        text = df.filter(F.col("doc_id") == r.doc_id).first().text if r.doc_id < 5 else None
+        if text:
+            a, b = r.start, r.start + r.length
+            span = (text[a:b], text[max(0, a - secrets.CONTEXT):a], text[b:b + secrets.CONTEXT])
+            assert abs(secrets._probability(forest, [span])[0] - r.probability) < 1e-12
+    assert {r.value for r in found.collect() if r.is_secret} == truth
+
+
+def test_unquoted_secrets_beside_quoted_ones(spark):
     df, truth = corpus(spark)
     rows = [(1000 + i, f"unquoted secret_key={v} and") for i, v in enumerate(sorted(truth))]
-    found, forest = secrets.scan(df.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string")))
-    assert forest.weak
+    found, _ = secrets.scan(df.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string")))
     hits = [r for r in found.collect() if r.is_secret]
     assert {r.value for r in hits} == truth and sum(r.doc_id >= 1000 for r in hits) == len(rows)
 
@@ -333,7 +376,7 @@ def test_secrets_without_forest(spark):
     for more in ([], [(9, "the number 4111111111111111")]):
         df = spark.createDataFrame(rows + more, "doc_id bigint, text string")
         found, forest = secrets.scan(df)
-        assert (forest is None) == (not more)
+        assert forest is None
         assert sum(r.is_secret for r in found.collect()) == 10
         clean = {r.doc_id: r.t for r in df.select("doc_id", secrets.redacted(F.col("text"), forest).alias("t")).collect()}
         assert all(clean[d] == f'password = "{secrets.MASK}" or API_KEY={secrets.MASK}' for d, _ in rows)
