@@ -2,15 +2,18 @@
 
 Each document gets counts of its words, symbols, repeated lines and repeated word windows. Documents that
 pass the base rules are described by four transformed statistics. For every (language, source) group the
-minimum covariance determinant estimate of these is found by concentration steps: start from medians and
-median deviations, keep the closest ``SUBSET`` of the group, take mean and covariance of what was kept,
-and again. A document is rejected if its Mahalanobis distance is beyond ``CUTOFF``.
+minimum covariance determinant estimate of these is sought by concentration steps: take an estimate, keep the closest
+``SUBSET`` of the group, take mean and covariance of what was kept, and again until no determinant changes. There are two
+starts, medians with median deviations and plain moments; the one that ends with the smaller determinant counts. A
+document is rejected if its Mahalanobis distance is beyond ``CUTOFF``.
 
 * Covariances get ``FLOOR`` squared on the diagonal: most clean texts have no symbol or repeated line at
   all, and a zero variance would reject the first one that has.
 * Medians and subset bounds are read off histograms of fixed steps, so they do not depend on the order in
-  which rows arrive, and a group of any size is summed before it is shuffled.
-* A group of fewer than ``MIN_GROUP`` documents that pass the base rules has no estimate; these are kept.
+  which rows arrive, and a group of any size is summed before it is shuffled. A step is one pass: sums of each bucket of
+  distances, added up to the bound.
+* A group of fewer than ``MIN_GROUP`` documents that pass the base rules is judged by the estimate of all documents of its
+  language, and where these are fewer, by that of all documents. Only if there are fewer at all is none rejected.
 * A null text has no words and fails the base rules. Null language or source is a group of its own.
 * Repeated rows each get the same verdict; null ids do no harm, as nothing is joined by id.
 """
@@ -34,7 +37,9 @@ FLOOR = (0.05, 0.04, 0.15, 0.15)
 SUBSET = 0.75
 #: SUBSET / P(chi2 with 6 degrees <= its 0.75 quantile with 4): makes the subset's covariance consistent.
 CONSISTENCY = 1.4853
-STEPS = 3
+MAX_STEPS = 12
+#: Logarithms of determinants that differ by less are the same.
+STABLE = 1e-9
 #: About the 1 - 1e-6 quantile of chi2 with 4 degrees.
 CUTOFF = 33.4
 MIN_GROUP = 20
@@ -110,17 +115,15 @@ def statistics(q: str) -> list[Column]:
     ]
 
 
-def _quantile(df: DataFrame, keys: list[str], bucket: str, share: float) -> DataFrame:
-    """The first bucket of each group below or in which ``share`` of its rows lie, and the group's size."""
-    counts = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("n"))
+def _reached(df: DataFrame, keys: list[str], bucket: str, share: float, sums: tuple[str, ...] = ()) -> DataFrame:
+    """The first bucket of each group up to which ``share`` of its rows lie (n counts them), with the group's size and
+    the sums up to it."""
     w = W.partitionBy(*keys)
-    up_to = counts.select(
-        *keys, bucket,
-        F.sum("n").over(w.orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)).alias("up_to"),
-        F.sum("n").over(w).alias("size"),
-    )
+    up = w.orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)
+    up_to = df.select(
+        *keys, bucket, F.sum("n").over(up).alias("up_to"), F.sum("n").over(w).alias("size"), *[F.sum(c).over(up).alias(c) for c in sums])
     reached = up_to.filter(F.col("up_to") >= F.ceil(F.col("size") * F.lit(share)))
-    return reached.groupBy(*keys).agg(F.min(bucket).alias(bucket), F.max("size").alias("size"))
+    return reached.groupBy(*keys).agg(F.min_by(F.struct(bucket, "up_to", "size", *sums), bucket).alias("r")).select(*keys, "r.*")
 
 
 MEDIAN_STEP = 1.0 / 1024
@@ -128,33 +131,46 @@ MEDIAN_STEP = 1.0 / 1024
 BOUND_STEP = 1.0 / 128
 
 
+KEY = "_group"
+
+
 def _medians(df: DataFrame) -> DataFrame:
     """Median of every statistic x0, x1, ... of each group, as m0, m1, ..."""
-    long = df.select("_lang", "_source", F.expr(
+    long = df.select(KEY, F.expr(
         "stack({}, {}) AS (dim, x)".format(DIMS, ", ".join(f"{i}, x{i}" for i in range(DIMS)))
     )).withColumn("bucket", F.expr(f"CAST(round(x / {MEDIAN_STEP}D) AS BIGINT)"))
-    middle = _quantile(long, ["_lang", "_source", "dim"], "bucket", 0.5)
-    return middle.groupBy("_lang", "_source").agg(
-        *[F.max(F.expr(f"CASE WHEN dim = {i} THEN bucket * {MEDIAN_STEP}D END")).alias(f"m{i}") for i in range(DIMS)],
-        F.max("size").alias("size"),
-    )
+    counts = long.groupBy(KEY, "dim", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    middle = _reached(counts, [KEY, "dim"], "bucket", 0.5)
+    return middle.groupBy(KEY).agg(
+        *[F.max(F.expr(f"CASE WHEN dim = {i} THEN bucket * {MEDIAN_STEP}D END")).alias(f"m{i}") for i in range(DIMS)])
 
 
-def _factored(estimate: DataFrame) -> DataFrame:
-    """From means m* and covariances c* to means and the Cholesky factor l*."""
-    out = estimate
+def _factored(estimate: DataFrame, start: int | None = None) -> DataFrame:
+    """From means m* and covariances c* to means, the Cholesky factor l* and the logarithm of the determinant."""
+    out = estimate if start is None else estimate.withColumn("start", F.lit(start))
     for i in range(DIMS):
         for j in range(i + 1):
             inner = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
             value = f"sqrt(c{i}{i}{inner})" if i == j else f"(c{i}{j}{inner}) / l{j}{j}"
             out = out.withColumn(f"l{i}{j}", F.expr(value))
-    return out.select("_lang", "_source", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in _PAIRS])
+    spread = " + ".join(f"2 * ln(l{i}{i})" for i in range(DIMS))
+    return out.select(KEY, "start", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in _PAIRS], F.expr(spread).alias("spread"))
+
+
+_SUMS = tuple([f"s{i}" for i in range(DIMS)] + [f"p{i}{j}" for i, j in _PAIRS])
+
+
+def _summed(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)],
+        *[F.sum(F.expr(f"x{i} * x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS])
 
 
-def _joined(df: DataFrame, groups: DataFrame, broadcast: bool) -> DataFrame:
-    on = df["_lang"].eqNullSafe(groups["_lang"]) & df["_source"].eqNullSafe(groups["_source"])
-    right = F.broadcast(groups) if broadcast else groups
-    return df.join(right, on, "left").drop(groups["_lang"]).drop(groups["_source"])
+def _moments(sums: DataFrame, n: str, factor: float, *keys: str) -> DataFrame:
+    """Means and covariances, with the floor, from sums."""
+    return sums.select(
+        *keys, *[F.expr(f"s{i} / {n}").alias(f"m{i}") for i in range(DIMS)],
+        *[F.expr(f"(p{i}{j} / {n} - (s{i} / {n}) * (s{j} / {n})) * {factor}D + {FLOOR[i] ** 2 if i == j else 0.0}D").alias(f"c{i}{j}") for i, j in _PAIRS])
 
 
 def _distances(df: DataFrame) -> DataFrame:
@@ -164,35 +180,62 @@ def _distances(df: DataFrame) -> DataFrame:
         inner = "".join(f" - l{i}{k} * y{k}" for k in range(i))
         out = out.withColumn(f"y{i}", F.expr(f"(x{i} - m{i}{inner}) / l{i}{i}"))
     return out.withColumn("d2", F.expr(" + ".join(f"y{i} * y{i}" for i in range(DIMS)))).drop(
-        *[f"y{i}" for i in range(DIMS)], *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in _PAIRS])
+        *[f"y{i}" for i in range(DIMS)], *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in _PAIRS], "spread")
 
 
-def estimates(stats: DataFrame) -> tuple[DataFrame, bool]:
-    """Mean and factor of each group of the rows (_lang, _source, x0, ...); whether these may be broadcast."""
-    centre = written(_medians(stats).filter(F.col("size") >= MIN_GROUP), "medians")
+def _named(level: int, *columns: str) -> str:
+    """The name of a group: of a source, of a language, or of all."""
+    return "to_json(struct({} AS level{}), map('ignoreNullFields', 'false'))".format(level, "".join(f", {c}" for c in columns))
+
+
+def groups(stats: DataFrame) -> DataFrame:
+    """(_lang, _source, own, pools): the group that judges a (language, source), and all that its documents count in."""
+    sizes = stats.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
+    of_lang, everywhere = W.partitionBy("_lang"), W.partitionBy(F.lit(0))
+    level = f"CASE WHEN n >= {MIN_GROUP} THEN 0 WHEN in_lang >= {MIN_GROUP} THEN 1 WHEN in_all >= {MIN_GROUP} THEN 2 END"
+    # one row for each group
+    placed = sizes.withColumns({"in_lang": F.sum("n").over(of_lang), "in_all": F.sum("n").over(everywhere)}).withColumn(
+        "level", F.expr(level)).withColumns({
+            "for_lang": F.max(F.expr("level <=> 1")).over(of_lang), "for_all": F.max(F.expr("level <=> 2")).over(everywhere)})
+    source, language, all_ = _named(0, "_lang", "_source"), _named(1, "_lang"), _named(2)
+    return placed.select(
+        "_lang", "_source", F.expr(f"CASE level WHEN 0 THEN {source} WHEN 1 THEN {language} WHEN 2 THEN {all_} END").alias("own"),
+        F.expr(f"filter(array(IF(level <=> 0, {source}, NULL), IF(for_lang, {language}, NULL), IF(for_all, {all_}, NULL)), g -> g IS NOT NULL)").alias("pools"))
+
+
+def _by_source(df: DataFrame, found: DataFrame, broadcast: bool) -> DataFrame:
+    on = df["_lang"].eqNullSafe(found["_lang"]) & df["_source"].eqNullSafe(found["_source"])
+    right = F.broadcast(found) if broadcast else found
+    return df.join(right, on, "left").drop(found["_lang"]).drop(found["_source"])
+
+
+def estimates(stats: DataFrame) -> DataFrame:
+    """Mean and factor of each group of the rows (_group, x0, ...)."""
+    centre = written(_medians(stats), "medians")
     small = centre.count() <= BROADCAST_GROUPS
-    gaps = _joined(stats, centre, small).filter(F.col("m0").isNotNull()).select(
-        "_lang", "_source", *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in range(DIMS)])
-    spread = _medians(gaps).select("_lang", "_source", *[F.col(f"m{i}").alias(f"s{i}") for i in range(DIMS)])
-    start = _joined(centre, spread, small)
-    found = written(_factored(start.select(
-        "_lang", "_source", *[f"m{i}" for i in range(DIMS)],
+
+    def near(groups_: DataFrame) -> DataFrame:
+        return F.broadcast(groups_) if small else groups_
+
+    gaps = stats.join(near(centre), KEY).select(KEY, *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in range(DIMS)])
+    spread = _medians(gaps).select(KEY, *[F.col(f"m{i}").alias(f"s{i}") for i in range(DIMS)])
+    by_medians = centre.join(near(spread), KEY).select(
+        KEY, *[f"m{i}" for i in range(DIMS)],
         # 1.4826 median deviations are a standard deviation
-        *[F.expr(f"pow(1.4826D * s{i}, 2) + pow({FLOOR[i]}D, 2)" if i == j else "0.0D").alias(f"c{i}{j}") for i, j in _PAIRS],
-    )), "start")
-    for step in range(STEPS):
-        at = _distances(_joined(stats, found, small)).filter(F.col("d2").isNotNull()).withColumn(
-            "bucket", F.expr(f"CAST(floor(ln(1 + d2) / {BOUND_STEP}D) AS BIGINT)"))
-        bound = _quantile(at, ["_lang", "_source"], "bucket", SUBSET).select(
-            "_lang", "_source", F.col("bucket").alias("bound"))
-        subset = _joined(at, bound, small).filter(F.col("bucket") <= F.col("bound"))
-        moments = subset.groupBy("_lang", "_source").agg(
-            *[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)],
-            *[(F.covar_pop(f"x{i}", f"x{j}") * F.lit(CONSISTENCY) + F.lit(FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
-              for i, j in _PAIRS],
-        )
-        found = written(_factored(moments), f"step{step}")
-    return found, small
+        *[F.expr(f"pow(1.4826D * s{i}, 2) + pow({FLOOR[i]}D, 2)" if i == j else "0.0D").alias(f"c{i}{j}") for i, j in _PAIRS])
+    by_moments = _moments(_summed(stats, KEY), "n", 1.0, KEY)
+    found = written(_factored(by_medians, 0).unionByName(_factored(by_moments, 1)), "start")
+    for step in range(MAX_STEPS):
+        at = _distances(stats.join(near(found), KEY)).withColumn("bucket", F.expr(f"CAST(floor(ln(1 + d2) / {BOUND_STEP}D) AS BIGINT)"))
+        subset = _reached(_summed(at, KEY, "start", "bucket"), [KEY, "start"], "bucket", SUBSET, _SUMS)
+        after = written(_factored(_moments(subset, "up_to", CONSISTENCY, KEY, "start")), f"step{step}")
+        both = after.join(found.select(KEY, "start", F.col("spread").alias("before")), [KEY, "start"])
+        change = both.agg(F.max(F.expr("abs(spread - before)"))).first()[0]
+        found = after
+        if change is None or change < STABLE:
+            break
+    columns = [c for c in found.columns if c != KEY]
+    return found.groupBy(KEY).agg(F.min_by(F.struct(*columns), F.struct("spread", "start")).alias("e")).select(KEY, "e.*").drop("start")
 
 
 def judged(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> tuple[DataFrame, str]:
@@ -205,9 +248,13 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang", source: str =
     described = table.select(
         "_row", "_counts", F.col(f"_row.`{lang}`").cast("string").alias("_lang"), F.col(f"_row.`{source}`").cast("string").alias("_source"),
     ).select("*", *[x.alias(f"x{i}") for i, x in enumerate(statistics("_counts"))])
-    columns = ["_lang", "_source", *[f"x{i}" for i in range(DIMS)]]
-    found, small = estimates(described.filter("NOT _counts.base_failed").select(*columns))
-    placed = _distances(_joined(described, found, small))
+    good = described.filter("NOT _counts.base_failed").select("_lang", "_source", *[f"x{i}" for i in range(DIMS)])
+    of_group = written(groups(good), "groups")
+    small = of_group.count() <= BROADCAST_GROUPS
+    stats = written(_by_source(good, of_group, small).select(F.explode("pools").alias(KEY), *[f"x{i}" for i in range(DIMS)]), "stats")
+    found = written(estimates(stats), "estimates")
+    owned = of_group.select("_lang", "_source", "own").join(F.broadcast(found) if small else found, F.col("own") == F.col(KEY), "left").drop(KEY, "own")
+    placed = _distances(_by_source(described, owned, small))
     kept = F.expr(f"NOT _counts.base_failed AND coalesce(d2 <= {CUTOFF}D, true)")
     verdict = F.col("_counts").withField("distance", F.col("d2")).withField("kept", kept)
     return placed.select("_row.*", verdict.alias(q)), q

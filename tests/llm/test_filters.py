@@ -36,10 +36,17 @@ def plain_verdicts(rows):
         np.log((c[1] + 1) / (c[0] + 1)), np.sqrt(c[2] / max(c[1], 1)), np.sqrt(c[3] / max(c[5], 1)), np.sqrt(c[4] / max(c[0], 1)),
     ] for c in counts]).reshape(-1, 4)
     distance = [None] * len(rows)
-    groups = {}
-    for i, (lang, source, _) in enumerate(rows):
-        groups.setdefault((lang, source), []).append(i)
     floor = np.diag(np.square(quality.FLOOR))
+    good = [i for i in range(len(rows)) if not failed[i]]
+    sizes = Counter(rows[i][:2] for i in good)
+    langs = Counter(rows[i][0] for i in good)
+
+    def own(lang, source):
+        if sizes[lang, source] >= quality.MIN_GROUP:
+            return lang, source
+        if langs[lang] >= quality.MIN_GROUP:
+            return (lang,)
+        return () if len(good) >= quality.MIN_GROUP else None
 
     def reached(buckets, share):
         return np.sort(buckets)[int(np.ceil(len(buckets) * share)) - 1]
@@ -53,20 +60,28 @@ def plain_verdicts(rows):
         gap = points - mean
         return (gap @ np.linalg.inv(cov) * gap).sum(axis=1)
 
-    for own in groups.values():
-        good = [i for i in own if not failed[i]]
-        if len(good) < quality.MIN_GROUP:
-            continue
-        g = x[good]
+    found = {}
+    for key in {own(*k) for k in sizes} - {None}:
+        g = x[[i for i in good if rows[i][:len(key)] == key]]
         mean = np.array([median(g[:, j]) for j in range(4)])
         spread = np.array([median(np.abs(g[:, j] - mean[j])) for j in range(4)])
-        cov = np.diag(np.square(1.4826 * spread)) + floor
-        for _ in range(quality.STEPS):
-            bucket = np.floor(np.log(1 + far(g, mean, cov)) / quality.BOUND_STEP)
-            some = g[bucket <= reached(bucket, quality.SUBSET)]
-            mean, cov = some.mean(axis=0), np.cov(some.T, bias=True) * quality.CONSISTENCY + floor
-        for i, d in zip(own, far(x[own], mean, cov)):
-            distance[i] = d
+        found[key] = g, [(mean, np.diag(np.square(1.4826 * spread)) + floor), (g.mean(axis=0), np.cov(g.T, bias=True) + floor)]
+    for _ in range(quality.MAX_STEPS):
+        change = 0.0
+        for g, estimates in found.values():
+            for k, (mean, cov) in enumerate(estimates):
+                bucket = np.floor(np.log(1 + far(g, mean, cov)) / quality.BOUND_STEP)
+                some = g[bucket <= reached(bucket, quality.SUBSET)]
+                estimates[k] = some.mean(axis=0), np.cov(some.T, bias=True) * quality.CONSISTENCY + floor
+                change = max(change, abs(np.linalg.slogdet(cov)[1] - np.linalg.slogdet(estimates[k][1])[1]))
+        if change < quality.STABLE:
+            break
+    for i, (lang, source, _) in enumerate(rows):
+        key = own(lang, source) if (lang, source) in sizes else None
+        if key is not None:
+            # starts that end in one place differ by rounding only
+            best = min(found[key][1], key=lambda e: round(np.linalg.slogdet(e[1])[1], 9))
+            distance[i] = far(x[i:i + 1], *best)[0]
     return counts, failed, distance
 
 
@@ -89,6 +104,36 @@ def test_quality_equals_numpy(spark, docs):
     assert seen[True, False] > 100 and seen[False, False] and seen[False, True]
 
 
+def test_small_groups_are_pooled(spark):
+    """Too few of a source: all of its language; too few of a language: all there are; fewer than that: none is rejected."""
+    rnd = random.Random(4)
+
+    def text(n, more=""):
+        return " ".join(rnd.choice(["some", "words", "of", "a", "plain", "text", "or", "other"]) + rnd.choice(["s", "", "ing"]) for _ in range(n)) + more
+
+    rows = [("en", "big", text(60)) for _ in range(40)] + [("en", "few", text(60)) for _ in range(5)] + [("de", "x", text(60)) for _ in range(3)]
+    rows += [("en", "few", text(60, " " + "#$%&" * 60)), ("de", "x", text(60, " " + "<|>*" * 60)), (None, None, text(60))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, lang string, source string, text string")
+    _, failed, distance = plain_verdicts(rows)
+    found, q = quality.judged(df)
+    got = {r.doc_id: r[q] for r in found.collect()}
+    for i, (f, d) in enumerate(zip(failed, distance)):
+        assert not f and abs(got[i].distance - d) < 1e-6 * (1 + d) and got[i].kept == (d <= quality.CUTOFF)
+    assert [i for i in got if not got[i].kept] == [48, 49]
+    few, q = quality.judged(df.filter("doc_id >= 40"))
+    assert all(r[q].kept and r[q].distance is None for r in few.collect())
+
+
+def test_op10_verdicts(spark):
+    """The query's verdicts where groups have estimates of their own, and where they are pooled."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    counts, failed, distance = plain_verdicts([(r.lang, r.source, r.text) for r in docs])
+    expected = {r.doc_id: (f, not f and (d is None or d <= quality.CUTOFF)) for r, f, d in zip(docs, failed, distance)}
+    assert {r.doc_id: (r.base_failed, r.kept) for r in queries.op10_quality(spark, sf).collect()} == expected
+    assert sum(not f and not k for f, k in expected.values()) > 5
+
+
 def test_op10_repeats(spark, sf, texts):
     for r in queries.op10_quality(spark, sf).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_counts(texts[r.doc_id])[:5]
