@@ -1,15 +1,17 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
-Pivots are rows of the data. Queries and data fall to the cell of their nearest pivot, and small summaries per
-cell (radius, count, the distances of the k closest members) give two bounds:
+Pivots are rows of the data. Queries and data fall to the cell of their nearest pivot. Small summaries per cell (radius,
+count, and the k closest members with their distances) give two bounds:
 
 * a query of cell i (pivot p, radius r) has k candidates that score at least the k-th largest of
-  ``p.q - r|q| - s|p| - rs`` over the summarised members, s from pivot q: the cell's threshold;
+  ``p.q - r|q| - s|p| - rs`` over the summarised members, s from pivot q; and it has those that it scores itself with the
+  members of its own cell and of the ``NEAR`` cells next to it. The cell's threshold is the larger bound, by its least query;
 * a row x scores at most ``p.x + r|x|`` with a query of cell i. It goes to the cells whose threshold it can reach.
 
 Query cells are put together in groups of bounded size (a cell with more queries is dealt over several). Each
-group's replicas are dealt in blocks of bounded size, solved by a matrix product, and the best k of the blocks
-of a query are merged. Only per-cell summaries reach the driver; their number grows with the root of the rows.
+group's replicas are dealt in blocks of bounded size, as many as they need; its queries go to these blocks only, each is
+solved by a matrix product, and the best k of the blocks of a query are merged. Only per-cell summaries reach the driver,
+of ``MAX_PIVOTS`` cells at most; with more rows cells get larger.
 
 Scores are integers. Components are floor(scale * x); products are exact up to 2^53, and computed modulo 2^64
 beyond. Vectors of unequal length count as padded with zeros. Vectors that are null, or hold a null or
@@ -32,11 +34,14 @@ from molaris.llm.common import written
 
 SCALE = 64
 K = 20
-#: Cells: a quarter of the root of the rows, and no fewer.
+#: Cells: the root of the rows, within these. The driver holds their pivots, a matrix of their products, and k members of each.
 MIN_PIVOTS = 8
+MAX_PIVOTS = 4096
 #: Queries of a group and replicas of a block, about.
 GROUP_QUERIES = 1024
 BLOCK_ROWS = 8192
+#: Cells beside its own whose closest members a query is scored with beforehand.
+NEAR = 4
 
 
 def prepared(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -101,6 +106,27 @@ def thresholds(pivots: np.ndarray, radius: np.ndarray, close: dict[int, list[flo
     return out
 
 
+def scored_beforehand(pivots: np.ndarray, members: dict[int, np.ndarray], k: int, width: int):
+    """(cell, least) of queries: what k candidates of a query reach among the closest members of cells near it (its own
+    row is allowed for)."""
+    cells = np.array(sorted(members))
+    dots = pivots.astype(np.float64) @ pivots.astype(np.float64).T
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for cell, own in batch.groupby("cell"):
+                near = cells[np.argsort(-dots[cell, cells], kind="stable")[:NEAR]]
+                some = np.concatenate([members[c] for c in dict.fromkeys([int(cell), *near.tolist()])])
+                if len(some) > k:
+                    score = products(matrix(own["v"], width), some)
+                    out.append(pd.DataFrame({"cell": np.int32(cell), "least": np.partition(score, len(some) - k - 1, axis=1)[:, len(some) - k - 1]}))
+            if out:
+                yield pd.concat(out)
+
+    return run
+
+
 def grouped_cells(counts: dict[int, int], pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First group and number of groups of each cell. Cells near each other share a group; a large one has several."""
     first, parts = np.full(len(pivots), -1), np.ones(len(pivots), dtype=np.int64)
@@ -129,21 +155,29 @@ def top_k(df: DataFrame, is_query: str, vec_id: str = "vec_id", vector: str = "e
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     if not size["n"]:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    n_pivots, width = max(MIN_PIVOTS, ceil(sqrt(size["n"]) / 4)), size["width"]
+    n_pivots, width = min(MAX_PIVOTS, max(MIN_PIVOTS, ceil(sqrt(size["n"])))), size["width"]
     chosen = rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(n_pivots).collect()
     pivots = matrix([r["v"] for r in chosen], width)
     data = written(in_cells(rows, pivots), "cells")
     queries = data.filter(is_query)
 
     # the k + 1 closest members of each cell; the window's limit is applied before the shuffle
-    nearest = data.select("cell", "far").withColumn("n", F.row_number().over(W.partitionBy("cell").orderBy("far")))
+    order = W.partitionBy("cell").orderBy("far", "id")
+    nearest = data.select("cell", "far", "v", F.row_number().over(order).alias("n")).filter(F.col("n") <= k + 1)
     close: dict[int, list[float]] = {}
-    for r in nearest.filter(F.col("n") <= k + 1).collect():
+    vectors: dict[int, list] = {}
+    for r in nearest.select("cell", "far", "v").collect():
         close.setdefault(r["cell"], []).append(r["far"])
+        vectors.setdefault(r["cell"], []).append(r["v"])
+    members = {cell: matrix(v, width) for cell, v in vectors.items()}
     radius, counts = np.full(len(pivots), -1.0), {}
     for r in queries.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect():
         radius[r["cell"]], counts[r["cell"]] = r["radius"], r["n"]
     reach = thresholds(pivots, radius, close, k)
+    least = queries.select("cell", "v").mapInPandas(scored_beforehand(pivots, members, k, width), "cell int, least bigint")
+    for r in least.groupBy("cell").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n")).collect():
+        if r["n"] == counts[r["cell"]]:
+            reach[r["cell"]] = max(reach[r["cell"]], r["least"])
     first, parts = grouped_cells(counts, pivots)
     n_groups = int((first + parts)[radius >= 0].max(initial=0))
     active = np.flatnonzero(radius >= 0)
@@ -164,14 +198,15 @@ def top_k(df: DataFrame, is_query: str, vec_id: str = "vec_id", vector: str = "e
                 if len(part):
                     yield part.assign(grp=np.int32(group))
 
-    n_blocks = max(1, ceil(size["n"] / BLOCK_ROWS))
-    block = F.expr(f"CAST(pmod(xxhash64(id, 7), {n_blocks}) AS INT)")
-    replicas = data.select("id", "v").mapInPandas(replicate, "id bigint, v array<bigint>, grp int").withColumn("block", block)
+    replicas = written(data.select("id", "v").mapInPandas(replicate, "id bigint, v array<bigint>, grp int"), "replicas")
+    # one small row for each group
+    blocks = replicas.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    replicas = replicas.join(blocks, "grp").select("id", "v", "grp", F.expr("CAST(pmod(xxhash64(id, 7), blocks) AS INT)").alias("block"))
     of_cell = F.create_map(*[F.lit(int(x)) for c in active for x in (c, first[c])])
     split = F.create_map(*[F.lit(int(x)) for c in active for x in (c, parts[c])])
     asked = queries.select(
         "id", "v", (of_cell[F.col("cell")] + F.pmod(F.xxhash64("id"), split[F.col("cell")])).cast("int").alias("grp"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    ).join(blocks, "grp").select("id", "v", "grp", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):

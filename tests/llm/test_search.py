@@ -33,6 +33,30 @@ def test_op1(spark, sf):
     check_knn(queries.op1_voronoi_knn(spark, sf).collect(), vectors, [i for i in vectors if i % 20 == 0], 20)
 
 
+def test_knn_replicates_little_on_clusters(spark, monkeypatch):
+    """Vectors in narrow clusters: rows go to the groups of their own cluster and of few others; exact all the same."""
+    monkeypatch.setattr(knn, "GROUP_QUERIES", 12)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(24, 32))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    vectors = {i: (centres[i % 24] + rng.normal(size=32) * 0.01).tolist() for i in range(2400)}
+    seen = {}
+    original = knn.written
+
+    def noted(df, name):
+        out = original(df, name)
+        if name == "replicas":
+            seen["replicas"], seen["groups"] = out.count(), out.select("grp").distinct().count()
+        return out
+
+    monkeypatch.setattr(knn, "written", noted)
+    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    check_knn(knn.top_k(df, "id % 10 = 0").collect(), {i: [int(np.floor(64 * x)) for x in v] for i, v in vectors.items()},
+              [i for i in vectors if i % 10 == 0], 20)
+    assert seen["groups"] >= 10 and seen["replicas"] < 0.35 * seen["groups"] * len(vectors), seen
+
+
 def test_knn_clusters_ties_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(knn, "GROUP_QUERIES", 7)
     monkeypatch.setattr(knn, "BLOCK_ROWS", 60)
