@@ -205,6 +205,35 @@ SQL_TEXT: dict[str, str] = {
                count(*) FILTER (gone AND NOT coalesce(before, false)) AS n_runs,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
         FROM r GROUP BY doc_id""",
+    "op9_passage_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, line, n, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw,
+                   CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]')
+                        THEN row_number() OVER (PARTITION BY doc_id, regexp_matches(line, '[^\x20\x09-\x0D]') ORDER BY n) END AS pos
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                         generate_subscripts(string_split(text, chr(10)), 1) AS n
+                  FROM documents)),
+        w AS (
+            SELECT doc_id, pos, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c, nw AS na, lead(nw) OVER d AS nb
+            FROM l WHERE pos IS NOT NULL WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+        v AS (
+            SELECT doc_id, pos, 3 AS size, a, b, c FROM w WHERE c IS NOT NULL
+            UNION ALL SELECT doc_id, pos, 2, a, b, '' FROM w WHERE b IS NOT NULL AND na + nb >= 50
+            UNION ALL SELECT doc_id, pos, 1, a, '', '' FROM w WHERE na >= 50),
+        f AS (
+            SELECT doc_id, pos, size, first_value(doc_id) OVER k AS fd, first_value(pos) OVER k AS fa
+            FROM v WINDOW k AS (PARTITION BY size, a, b, c ORDER BY doc_id, pos)),
+        g AS (
+            SELECT DISTINCT doc_id, pos + k AS pos FROM f, (SELECT unnest([0, 1, 2]) AS k)
+            WHERE k < size AND NOT (doc_id = fd AND pos = fa)),
+        r AS (
+            SELECT l.doc_id, l.line, l.n, l.pos, g.pos IS NOT NULL AS gone,
+                   lag(g.pos IS NOT NULL) OVER (PARTITION BY l.doc_id, l.pos IS NOT NULL ORDER BY l.n) AS before
+            FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos)
+        SELECT doc_id, count(pos) AS n_lines, count(*) FILTER (gone) AS n_removed,
+               count(*) FILTER (gone AND NOT coalesce(before, false)) AS n_runs,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+        FROM r GROUP BY doc_id""",
     "op11_source_divergence": r"""
         WITH d AS (
             SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,

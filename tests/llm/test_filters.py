@@ -153,16 +153,19 @@ def test_quality_odd_rows(odd, none):
 # lines
 
 
-def plain_lines(rows, window=3):
-    """rows: (doc_id, text), ids distinct"""
+def plain_lines(rows, window=3, words=None):
+    """rows: (doc_id, text), ids distinct; with words also shorter windows that have so many"""
     seqs = {d: [x for x in t.split("\n") if WORD.search(x)] for d, t in rows}
     first, gone = {}, {d: set() for d in seqs}
     for d in sorted(seqs):
         s = seqs[d]
-        for i in range(len(s) - window + 1):
-            key = tuple(s[i:i + window])
-            if first.setdefault(key, (d, i)) != (d, i):
-                gone[d].update(range(i, i + window))
+        for size in range(1 if words else window, window + 1):
+            for i in range(len(s) - size + 1):
+                key = tuple(s[i:i + size])
+                if size < window and sum(len(WORD.findall(x)) for x in key) < words:
+                    continue
+                if first.setdefault(key, (d, i)) != (d, i):
+                    gone[d].update(range(i, i + size))
     out = {}
     for d, t in rows:
         kept, at = [], 0
@@ -219,9 +222,12 @@ def test_long_passages_of_few_lines(spark):
     assert (got[200], got[201], got[202], got[203]) == ([long], ["before", short], [short], ["after"])
 
 
-def test_op9(spark, sf, texts):
-    expected = plain_lines(list(texts.items()))
-    for r in queries.op9_line_dedup(spark, sf).collect():
+@pytest.mark.parametrize("query,words", [(queries.op9_line_dedup, None), (queries.op9_passage_dedup, 50)])
+def test_op9(spark, sf, texts, query, words):
+    expected = plain_lines(list(texts.items()), words=words)
+    rows = query(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
         n, gone, runs, kept = expected[r.doc_id]
         assert (r.n_lines, r.n_removed, r.n_runs, r.kept_sha256) == (n, len(gone), runs, hashlib.sha256(kept.encode()).hexdigest())
 

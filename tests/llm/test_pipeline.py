@@ -18,7 +18,7 @@ def test_stages_equal_plain_versions(spark, sf, docs):
 
     counts, failed, distance = plain_verdicts([(r.lang, r.source, r.text) for r in rows.values()])
     texts = {d: t for (d, t), f, x in zip(texts.items(), failed, distance) if not f and (x is None or x <= quality.CUTOFF)}
-    texts = {d: x[3] for d, x in plain_lines(list(texts.items())).items()}
+    texts = {d: x[3] for d, x in plain_lines(list(texts.items()), words=50).items()}
     groups = plain_components([(d, plain_print(t)) for d, t in texts.items()])
     texts = {d: texts[d] for d, _, c in groups if d == c}
     texts = {d: re.sub(r'(?<=token = ")[0-9a-f]{40}', secrets.MASK, t) for d, t in texts.items()}
