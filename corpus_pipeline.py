@@ -30,8 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go from the texts."""
-    found, _ = lines.deduplicated(docs.select(*COLUMNS))
+    """Later repeats of runs of lines go from the texts, and those of one or two lines that have 50 words."""
+    found, _ = lines.deduplicated(docs.select(*COLUMNS), words=50)
     return _documents(found)
 
 
