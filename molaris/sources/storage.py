@@ -50,15 +50,6 @@ def hidden_files(spark: SparkSession, folder: str, pattern: str = "*") -> list[t
     return sorted(out)
 
 
-def copy_into(spark: SparkSession, paths: list[str], folder: str, prefix: str) -> None:
-    """Copy files into a folder under ``prefix`` and their own name."""
-    for path in paths:
-        source, system = _file_system(spark, path)
-        target, there = _file_system(spark, f"{folder}/{prefix}{source.getName()}")
-        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(
-            system, source, there, target, False, True, spark._jsc.hadoopConfiguration())
-
-
 def folders_named(spark: SparkSession, root: str, name: str) -> list[str]:
     """Names below ``root`` that match a regular expression as a whole, oldest first."""
     path, system = _file_system(spark, root)
