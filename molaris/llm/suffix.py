@@ -534,6 +534,9 @@ def repeats_removed(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
         packed_row(df), F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NULL_ID)).alias("_s_doc"),
         F.expr(f"CAST(coalesce(`{text}`, '') AS BINARY)").alias("_s_raw"))
     only = raw.select("_s_doc", "_s_raw")
+    if "Exchange" in only._jdf.queryExecution().executedPlan().toString():
+        # two passes below have to meet the rows in one order, which only a file scan keeps
+        only = written(only, "texts")
     total = only.agg(F.sum(F.length("_s_raw"))).first()[0] or 0
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(max(4 * parts, total // BUCKET_TEXT), 1 << 30)
