@@ -41,8 +41,10 @@ LENGTH = 50
 Q = 16
 SHARD = 1 << 20
 CROWD = 4096
-#: Bytes of text that are hashed together, anchors that are dealt at once, and text per bucket of anchors.
+#: Bytes of text whose anchors are compared together, of these bytes laid out at once (a byte takes about 60 of memory while
+#: its anchor is found), anchors that are dealt at once, and text per bucket of anchors.
 TOGETHER = 1 << 22
+SLICE = 1 << 19
 ANCHORS = 1 << 20
 BUCKET_TEXT = 1 << 22
 
@@ -183,30 +185,51 @@ def _span_rows(doc, at, n, seen, key, kind) -> pa.RecordBatch:
         pa.array(key.view(np.int64), pa.int64()), pa.array(kind, pa.int32())], names=["doc", "at", "n", "seen", "key", "kind"])
 
 
+def _slices(parts: list[tuple[int, int, bytes]], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """The parts by about SLICE bytes; larger ones are cut like long texts."""
+    some, size = [], 0
+    for doc, place, text in parts:
+        for doc, at, piece in _parts(doc, text, length, SLICE) if len(text) > SLICE else [(doc, 0, text)]:
+            if some and size + len(piece) > SLICE:
+                yield some
+                some, size = [], 0
+            some.append((doc, place + at, piece))
+            size += len(piece)
+    yield some
+
+
 def _anchor_columns(parts: list[tuple[int, int, bytes]], length: int, repeated: bool) -> list[np.ndarray]:
     """Columns of the anchors of some parts of texts; if ``repeated``, only of those that come several times."""
-    docs, places, texts = zip(*parts)
-    data = bytes([_GAP]).join(texts) + bytes([_GAP]) * 40
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    found = anchors(data, starts, sizes, length)
+    laid = []
+    for some in _slices(parts, length):
+        docs, places, texts = zip(*some)
+        data = bytes([_GAP]).join(texts) + bytes([_GAP]) * 40
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        text, at, n, key, before, after = anchors(data, starts, sizes, length)
+        laid.append((data, starts[text] + at, np.array(docs, np.int64)[text], np.array(places, np.int64)[text] + at, n, key, before, after))
+    key = np.concatenate([found[5] for found in laid])
+    take = np.ones(len(key), dtype=bool)
     if repeated:
-        order = np.argsort(found[3], kind="stable")
-        alike = np.flatnonzero(found[3][order][1:] == found[3][order][:-1])
-        some = order[np.union1d(alike, alike + 1)]
-        found = tuple(c[some] for c in found)
-    text, at, n, key, before, after = found
-    begin = starts[text] + at
-    spans = zip(begin.tolist(), (begin + n + length - 1).tolist())
-    of = xxhash.xxh3_64_intdigest
-    ctx = np.fromiter((of(data[a:b]) for a, b in spans), np.uint64, len(begin))
-    return [key, ctx, np.array(docs, np.int64)[text], np.array(places, np.int64)[text] + at, n.astype(np.uint8), before, after]
-
-
-def _parts(doc: int, text: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
+        order = np.argsort(key, kind="stable")
+        alike = np.flatnonzero(key[order][1:] == key[order][:-1])
+        take[:] = False
+        take[order[alike]] = take[order[alike + 1]] = True
+    of, out, first = xxhash.xxh3_64_intdigest, [], 0
+    for data, begin, doc, at, n, key, before, after in laid:
+        mine = np.flatnonzero(take[first:first + len(key)])
+        first += len(key)
+        begin, n = begin[mine], n[mine]
+        spans = zip(begin.tolist(), (begin + n + length - 1).tolist())
+        ctx = np.fromiter((of(data[a:b]) for a, b in spans), np.uint64, len(begin))
+        out.append([key[mine], ctx, doc[mine], at[mine], n.astype(np.uint8), before[mine], after[mine]])
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def _parts(doc: int, text: bytes, length: int, size: int = TOGETHER) -> Iterator[tuple[int, int, bytes]]:
     """(id, place, part) of a long text: parts overlap by length - 1 bytes, so each start stands in one of them."""
-    for at in range(0, len(text) - length + 1, TOGETHER):
-        yield doc, at, text[at:at + TOGETHER + length - 1]
+    for at in range(0, len(text) - length + 1, size):
+        yield doc, at, text[at:at + size + length - 1]
 
 
 def _together(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
