@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from molaris.operators import areas, people, scope
+from molaris.operators import areas, lookup, people, scope
 from molaris.operators.cells import LEVELS, build_cells, report_rows
 from molaris.operators.derive import prepare
 from molaris.operators.findings import findings, findings_table
@@ -103,6 +103,18 @@ def test_lookup_null_keys_hot_keys_and_salting(spark, facilities):
     assert plain.where("ampname = 'ไม่ระบุ'").count() == 200
 
 
+def test_dimension_is_broadcast_as_memory_allows(spark, monkeypatch):
+    """More rows than the fixed bound: no shuffle of the records while the table takes a small share of the heap."""
+    def plan():
+        dim = spark.range(260_000).selectExpr("CAST(id AS STRING) AS k", "id AS n")
+        facts = spark.range(10).selectExpr("CAST(id AS STRING) AS k")
+        return left_lookup(facts, dim, "k")._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan() and "SortMergeJoin" not in plan()
+    monkeypatch.setattr(lookup, "smallest_heap", lambda spark: 100 << 20)
+    assert "SortMergeJoin" in plan()
+
+
 def test_first_facility_wins_after_trimming(spark):
     raw = spark.createDataFrame([("1 ", "second", "02-D", 2), ("1", "first", "01-C", 1), (None, "x", "y", 0)],
                                 "HOSCODE string, hosname string, ampname string, o int")
