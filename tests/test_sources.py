@@ -1,3 +1,4 @@
+import csv
 from dataclasses import replace
 
 import pytest
@@ -262,3 +263,28 @@ def test_dictionary(spark, tmp_path):
     path = tmp_path / "d.csv"
     path.write_text('NAME,CAPTION,DESCRIPTION\n PID ,c,"1=a, 2=b"\n', encoding="utf-8-sig")
     assert [tuple(r) for r in files.read_dictionary(spark, str(path)).collect()] == [("pid", "c", "1=a, 2=b")]
+
+
+ODD = ["", " ", "-", " - ", "<NA>", " <NA> ", "N/A", " N/A", "NULL", "null ", "NAN", "nan", "　x ", "x\x85", "\x1cx", "\x00x", " #N/A", "ฟัน ",
+       " 7 ", " 7", "\x017", "1_000", "１", "5d", "0x1p3", "1e400", "-1e-400", ".", "1.", "+.5e-3", "-.5E+3", "inf", "-Infinity", "iNf",
+       "1e5.", "1e", "--1", "1,000", "00012", "-0", "0.1", "4.9e-324", "9007199254740993", "1e23", "20010203", "2001-02-30", " 2001-02-03 04:05 "]
+
+
+def test_values_cleaned_where_they_are_read(spark, tmp_path):
+    """Text files are cleaned by their reader as ``conform`` cleans them, also beside typed Parquet columns of the same names."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    columns = ["pteeth", " Birth", "hoscode", "_kept", "sex", "real", "flag"]
+    with open(folder / "a.csv", "w", newline="", encoding="utf-8") as file:
+        csv.writer(file, quoting=csv.QUOTE_ALL).writerows([columns, *([v] * len(columns) for v in ODD)])
+    (folder / "b.csv").write_text("hoscode,pextract\n 1 ,5d\n-,2\nshort\n")
+    spark.sql("SELECT CAST(0.1 AS FLOAT) AS pteeth, TIMESTAMP '2001-02-03 04:05:06' AS birth, ' 00 ' AS hoscode, 1 AS sex, "
+              "CAST('NaN' AS DOUBLE) AS pcaries, true AS flag, 2.5D AS own").coalesce(1).write.parquet(str(tmp_path / "p"))
+    next((tmp_path / "p").glob("*.parquet")).rename(folder / "c.parquet")
+    found, want = files.load_records(spark, str(folder)), clean.conform(files.read_folder(spark, str(folder)))
+    assert found.dtypes == want.dtypes
+    rows = sorted(map(str, found.collect()))
+    assert len(rows) == len(ODD) + 4 and rows == sorted(map(str, want.collect()))
+    # no look at both ends of every text any more
+    text = files.load_records(spark, str(folder), "*.csv")._jdf.queryExecution().optimizedPlan().toString()
+    assert "trim" not in text and "trim" in want._jdf.queryExecution().optimizedPlan().toString()
